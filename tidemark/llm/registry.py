@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, mixing
+from tidemark.llm import line_dedup, mixing, substring_dedup
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
