@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, mixing, substring_dedup
+from tidemark.llm import line_dedup, mixing, ngram_join, substring_dedup
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
+    "op7_ngram_jaccard": ngram_join.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
