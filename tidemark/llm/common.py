@@ -51,7 +51,7 @@ def n_words(text: Column) -> Column:
 # ------------------------------------------------------------------------------------------------------ Arrow batches
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece holds about ``limit`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:

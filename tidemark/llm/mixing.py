@@ -3,8 +3,8 @@
 Each document gets a fixed 48-bit hash of its id and text. A source that should give ``q + f`` times its tokens
 (``0 <= f < 1``) gives every document ``q`` times, and once more each document whose hash lies below a threshold at which
 the hashes below hold about ``f`` of the tokens. The threshold is found by nested histograms: tokens are summed by source
-and the top 16 bits of the hash, a running sum over the bins (never over documents) shows the bin in which the budget
-ends, and only that bin's documents are summed again by the next 16 bits. Nothing is sorted, a document's fate depends on
+and the top 12 bits of the hash, a running sum over the bins (never over documents) shows the bin in which the budget
+ends, and only that bin's documents are summed again by the next 12 bits. Nothing is sorted, a document's fate depends on
 its own hash and its source's threshold only, and a larger budget keeps every document that a smaller one kept.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import n_words, written
 
 #: Bits of the hash that one histogram resolves, and the number of histograms.
-BITS, LEVELS = 16, 3
+BITS, LEVELS = 12, 4
 
 
 def document_hash(doc_id: Column, text: Column) -> Column:

@@ -14,16 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Packed bytes that one bucket should hold.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 SCHEMA = "bucket int, kind int, rows binary"
 
 
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def pack(bucket: np.ndarray, kind: int, rows: np.ndarray) -> pa.RecordBatch:
     """One (bucket, kind, rows) for each bucket among ``bucket``; ``rows`` is an array of bytes or records, a row each."""
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], np.ascontiguousarray(rows[order])
-    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(bucket))
+    starts = heads(bucket)
+    ends = np.append(starts, len(bucket))[1:]
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(len(starts), kind, np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
         ["bucket", "kind", "rows"],

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import flat, longs, mix, pieces, span_hash, table, words, written
-from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, pack, plan_bytes, reduce_buckets
+from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, plan_bytes, reduce_buckets
 
 WINDOW = 20
 #: Tokens on either side of a mark that it can depend on; see the module's text.
 REACH = 5
 #: Bytes of text that a map task settles at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes packed for each byte of (compressed) input, measured; only sets the number of buckets.
 PACKED_RATIO = 2.5
 
@@ -127,7 +127,7 @@ def _block(parts: list[tuple], buckets: int, salt: int) -> Iterator[pa.RecordBat
     order = np.argsort(own, kind="stable")
     # of each group of equal windows the least (doc, start)
     o = own[order]
-    head = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+    head = heads(o)
     size = np.diff(np.append(head, len(o)))
     first = np.ones(len(doc), bool)
     many = np.repeat(size > 1, size)
@@ -140,7 +140,7 @@ def _block(parts: list[tuple], buckets: int, salt: int) -> Iterator[pa.RecordBat
         yield _pack_lost(doc[lost], start[lost], buckets, salt)
     doc, start, at, name, own = doc[first], start[first], at[first], name[first], own[first]
     # windows in text order: those of one mark stand together
-    head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))))
+    head = heads(doc, at)
     rows = np.zeros(len(head), _MARK)
     rows["name"], rows["doc"], rows["at"] = name[head], doc[head], at[head]
     bit = _U(1) << (at - start - REACH).astype(_U)
@@ -154,7 +154,7 @@ def _block(parts: list[tuple], buckets: int, salt: int) -> Iterator[pa.RecordBat
 
 def _is_first(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether nothing in the same group (groups stand together) has a smaller (doc, start)."""
-    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    head = heads(group)
     size = np.diff(np.append(head, len(group)))
     is_doc = doc == np.repeat(np.minimum.reduceat(doc, head), size)
     least = np.minimum.reduceat(np.where(is_doc, start, np.iinfo(np.int64).max), head)
@@ -176,7 +176,7 @@ def _map(buckets: int):
         from pyspark import TaskContext
 
         parts, held, salt = [], 0, TaskContext.get().partitionId()
-        for piece in pieces(batches, limit=2 << 20):
+        for piece in pieces(batches, limit=1 << 20):
             ids, null = longs(piece.column("doc_id"))
             data, offsets = flat(piece.column("text"))
             row, first, last, bounds = words(data, offsets)
@@ -202,7 +202,7 @@ def _map(buckets: int):
 def _by_doc(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order].astype("<u4")
-    head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    head = heads(doc)
     ends = np.append(head[1:], len(doc))
     return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array([start[a:b].tobytes() for a, b in zip(head, ends, strict=True)], pa.binary())], ["doc_id", "starts"])
 
