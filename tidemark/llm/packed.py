@@ -54,7 +54,8 @@ def reduce_buckets(packed: DataFrame, buckets: int, run: Callable[[int, dict[int
         if held:
             yield from run(now, {k: b"".join(v) for k, v in held.items()})
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tasks, schema)
+    # a few buckets to a partition, so that hashing them to partitions evens out
+    return packed.repartition(max(1, buckets // 3), "bucket").sortWithinPartitions("bucket").mapInArrow(tasks, schema)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +120,7 @@ def window_marks(name: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
 # ------------------------------------------------------------------------------------------------------------ map side
 
 
-def _block(parts: list[tuple], buckets: int, salt: int) -> Iterator[pa.RecordBatch]:
+def _block(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed marks (kind 0) and settled removals (kind 1) of one block. parts: doc, start, at, name, hash of windows."""
     doc, start, at, name, own = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(doc):
@@ -137,7 +138,7 @@ def _block(parts: list[tuple], buckets: int, salt: int) -> Iterator[pa.RecordBat
         first[pick] = _is_first(group, doc[pick], start[pick])
     lost = ~first
     if lost.any():
-        yield _pack_lost(doc[lost], start[lost], buckets, salt)
+        yield _pack_lost(doc[lost], start[lost], buckets)
     doc, start, at, name, own = doc[first], start[first], at[first], name[first], own[first]
     # windows in text order: those of one mark stand together
     head = heads(doc, at)
@@ -161,21 +162,28 @@ def _is_first(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarr
     return is_doc & (start == np.repeat(least, size))
 
 
-_LOST = np.dtype([("doc", "<i8"), ("start", "<u4")])
+#: ``n`` windows of a document that start one after the other, from ``start``.
+_RUN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
 
 
-def _pack_lost(doc: np.ndarray, start: np.ndarray, buckets: int, salt: int) -> pa.RecordBatch:
-    rows = np.zeros(len(doc), _LOST)
-    rows["doc"], rows["start"] = doc, start
-    # these only pass through; a block's go to one bucket, blocks to buckets in turn
-    return pack(np.full(len(doc), salt % buckets), 1, rows)
+def _runs(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    head = heads(doc, start - np.arange(len(start)))
+    rows = np.zeros(len(head), _RUN)
+    rows["doc"], rows["start"], rows["n"] = doc[head], start[head], np.diff(np.append(head, len(doc)))
+    return rows
+
+
+def _pack_lost(doc: np.ndarray, start: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Removed windows, to meet by document."""
+    rows = _runs(doc, start)
+    return pack((mix(rows["doc"].view(_U)) % _U(buckets)).astype(np.int64), 1, rows)
 
 
 def _map(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        parts, held, salt = [], 0, TaskContext.get().partitionId()
+        parts, held = [], 0
         for piece in pieces(batches, limit=1 << 20):
             ids, null = longs(piece.column("doc_id"))
             data, offsets = flat(piece.column("text"))
@@ -185,13 +193,16 @@ def _map(buckets: int):
             mine = ~null[row[start]]
             start, at, symbol = start[mine], at[mine], symbol[mine]
             base = bounds[row[start]]
+            # a mark depends on the tokens in reach, so equal windows agree in those too; with them in its name, short symbols
+            # of common words don't gather all texts in one bucket
+            symbol = mix(symbol ^ span_hash(name, at - REACH, at + REACH))
             parts.append((ids[row[start]], start - base, at - base, symbol, span_hash(name, start, start + WINDOW)))
             held += len(data)
             if held >= BLOCK_BYTES:
-                yield from _block(parts, buckets, salt)
-                parts, held, salt = [], 0, salt + 1
+                yield from _block(parts, buckets)
+                parts, held = [], 0
         if parts:
-            yield from _block(parts, buckets, salt)
+            yield from _block(parts, buckets)
 
     return run
 
@@ -199,18 +210,11 @@ def _map(buckets: int):
 # --------------------------------------------------------------------------------------------------------- reduce side
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype("<u4")
-    head = heads(doc)
-    ends = np.append(head[1:], len(doc))
-    return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array([start[a:b].tobytes() for a, b in zip(head, ends, strict=True)], pa.binary())], ["doc_id", "starts"])
-
-
-def _settle(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+def _settle(bucket: int, held: dict[int, bytes], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of the windows under this bucket's names all but the first, as packed runs, and what blocks have settled."""
     if 1 in held:
-        rows = np.frombuffer(held[1], _LOST)
-        yield _by_doc(rows["doc"], rows["start"].astype(np.int64))
+        rows = np.frombuffer(held[1], _RUN)
+        yield pack(np.full(len(rows), bucket), 1, rows)
     if 0 not in held:
         return
     rows = np.frombuffer(held[0], _MARK)
@@ -234,18 +238,28 @@ def _settle(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         doc, start = rows["doc"][mark[pick]], start[pick]
         lost = ~_is_first(group, doc, start)
         if lost.any():
-            yield _by_doc(doc[lost], start[lost])
+            yield _pack_lost(doc[lost], start[lost], buckets)
+
+
+def _by_doc(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    """One row for each document that loses something."""
+    rows = np.frombuffer(held[1], _RUN)
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    head = heads(rows["doc"])
+    ends = np.append(head[1:], len(rows))
+    spans = np.stack((rows["start"], rows["n"]), 1)
+    yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][head]), pa.array([spans[a:b].tobytes() for a, b in zip(head, ends, strict=True)], pa.binary())], ["doc_id", "runs"])
 
 
 # ------------------------------------------------------------------------------------------------------------- results
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts): first words (from 0, as little-endian uint32) of the windows that also start earlier."""
+    """(doc_id, runs): the windows that also start earlier, as little-endian uint32 pairs of first word and count."""
     texts = docs.select("doc_id", "text")
     buckets = max(8, round(plan_bytes(texts) * PACKED_RATIO / BUCKET_BYTES))
-    found = reduce_buckets(texts.mapInArrow(_map(buckets), SCHEMA), buckets, _settle, "doc_id long, starts binary")
-    return found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    lost = reduce_buckets(texts.mapInArrow(_map(buckets), SCHEMA), buckets, partial(_settle, buckets=buckets), SCHEMA)
+    return reduce_buckets(lost, buckets, _by_doc, "doc_id long, runs binary")
 
 
 def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -264,12 +278,11 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
             data, offsets = flat(piece.column(f"c{with_text}"))
             _, first, last, bounds = words(data, offsets)
             n, gone = np.diff(bounds), np.zeros(len(first) + 1, np.int32)
-            for i, blobs in enumerate(piece.column("starts").to_pylist()):
-                if blobs:
-                    starts = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64) + bounds[i]
-                    starts = starts[starts + WINDOW <= bounds[i + 1]]
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, starts + WINDOW, -1)
+            for i, blob in enumerate(piece.column("runs").to_pylist()):
+                if blob:
+                    start, count = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64).T
+                    np.add.at(gone, np.minimum(bounds[i] + start, bounds[i + 1]), 1)
+                    np.add.at(gone, np.minimum(bounds[i] + start + count - 1 + WINDOW, bounds[i + 1]), -1)
             kept = np.cumsum(gone)[:-1] == 0
             raw, texts = data.tobytes(), []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
