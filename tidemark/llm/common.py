@@ -88,6 +88,9 @@ def table(**columns: np.ndarray | pa.Array | list) -> pa.RecordBatch:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words where only ASCII letters and digits, and all that isn't ASCII, make words.
+PUNCTUATION = np.arange(256) < 0x80
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -97,9 +100,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first byte and end byte of each word, and the index of each row's first word (one more for the end)."""
-    ink = ~_SPACE[data]
+    ink = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first, last = ink.copy(), ink.copy()
