@@ -153,10 +153,39 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix(out)
 
 
+def _bits(x: np.ndarray) -> int:
+    return int(x.max()).bit_length() if len(x) else 0
+
+
 def distinct_sorted(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (group, value) pairs in order."""
-    order = np.lexsort((value, group))
-    group, value = group[order], value[order]
-    new = np.ones(len(group), bool)
-    new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
-    return group[new], value[new]
+    """The distinct (group, value) pairs in order; neither is negative.
+
+    One sort of 64-bit numbers is ten times as fast as a sort by two columns, so group and value share a number where they
+    fit, or else the group and the value's high bits. Should different values then share a number, two columns decide.
+    """
+    high = max(1, _bits(group))
+    if high + _bits(value) <= 64:
+        low = _U(64 - high)
+        both = np.sort((group.astype(_U) << low) | value.astype(_U))
+        both = both[np.concatenate((np.ones(min(1, len(both)), bool), both[1:] != both[:-1]))]
+        return (both >> low).astype(np.int64), (both & ((_U(1) << low) - _U(1))).astype(value.dtype)
+    both = (group.astype(_U) << _U(64 - high)) | (value >> _U(high))
+    order = np.argsort(both)
+    both, sorted_ = both[order], value[order]
+    again = both[1:] == both[:-1]
+    if (again & (sorted_[1:] != sorted_[:-1])).any():
+        order = np.lexsort((value, group))
+        sorted_ = value[order]
+        again = (group[order][1:] == group[order][:-1]) & (sorted_[1:] == sorted_[:-1])
+    new = np.concatenate((np.ones(min(1, len(order)), bool), ~again))
+    return group[order][new], sorted_[new]
+
+
+def stable_order(group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by (group, rank) that leaves equals as they stand; neither is negative."""
+    index = max(1, len(group) - 1).bit_length()
+    low = _bits(rank)
+    if _bits(group) + low + index > 63:
+        return np.lexsort((rank, group))
+    both = np.sort((group.astype(_U) << _U(low + index)) | (rank.astype(_U) << _U(index)) | np.arange(len(group), dtype=_U))
+    return (both & _U((1 << index) - 1)).astype(np.int64)

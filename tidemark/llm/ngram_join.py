@@ -11,7 +11,7 @@ one. Documents with equal sets are one *class*, known by 64 bits of the set. Two
    meet by shingle, bucket by bucket, and those of shingles with one class end there. Shingles so frequent that their rows
    could fill a task skip the buckets and are grouped by Spark with partial aggregation.
 3. Candidates come in rounds. In a star round each shingle's rows are compared with one leader of about their own size
-   (another one each round), which is linear in the rows; what links is merged, and only shingles that still join
+   (first the one with the fewest rarer shingles, then others), which is linear in the rows; what links is merged, and only shingles that still join
    different components go on. The last round takes all pairs of different components that share a shingle there and pass
    the length and positional filters. So thousands of near copies cost a few comparisons each instead of all their pairs,
    and no link that could change a component is missed.
@@ -28,17 +28,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import distinct_sorted, flat, longs, lowered, mix, pieces, span_hash, table, words, written
+from tidemark.llm.common import distinct_sorted, flat, longs, lowered, mix, pieces, span_hash, stable_order, table, words, written
 from tidemark.llm.components import components
 from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, plan_bytes, reduce_buckets
 
 SHINGLE = 5
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 #: Bounds on the slots of the frequency table (4 bytes each when broadcast).
 MIN_SLOTS, MAX_SLOTS = 1 << 17, 1 << 23
 #: A shingle's rows skip the buckets if its slot counts this many and four times the mean.
@@ -46,6 +46,8 @@ HOT = 4096
 #: Packed bytes for each byte of (compressed) input, measured; only sets the number of buckets.
 PACKED_RATIO = 1.4
 _CELLS = 64
+#: Rows of a shingle up to which all its pairs are looked at right away.
+PAIRED = 16
 _U = np.uint64
 _ROW = np.dtype([("key", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
@@ -119,8 +121,7 @@ def _prefixes(docs: DataFrame, counts, slots: int, hot: int, buckets: int) -> Da
             rows, hashes = rows[mine], hashes[mine]
             sizes = np.where(new, sizes, 0)
             count = often[(hashes & _U(slots - 1)).astype(np.int64)]
-            rank = (np.minimum(count, (1 << 24) - 1).astype(_U) << _U(40)) | (hashes >> _U(24))
-            order = np.lexsort((rank, rows))  # stable, so that equal ranks stay in the order of their hashes
+            order = stable_order(rows, count)  # equally rare ones stay in the order of their hashes
             rows, hashes, count = rows[order], hashes[order], count[order]
             pos = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
             n = sizes[rows]
@@ -154,7 +155,28 @@ def _lead_hash(sid: np.ndarray, turn: int) -> np.ndarray:
     return mix(sid.view(_U) + _U(0x9E3779B97F4A7C15 * (turn + 1) & (1 << 64) - 1))
 
 
-_SHARED = "key long, sid long, n long, pos long, lead long, lead_n long"
+_SHARED = "key long, sid long, n long, pos long, lead long, lead_n long, lead_pos long"
+
+
+def _has_partner(rows: np.ndarray) -> np.ndarray:
+    """Whether a row passes the length and positional filters with some other row of its shingle.
+
+    Shingles with more than ``PAIRED`` rows are not looked into, and all their rows stay.
+    """
+    head = heads(rows["key"])
+    size = np.diff(np.append(head, len(rows)))
+    few = np.flatnonzero(np.repeat(size <= PAIRED, size))
+    end = np.repeat(head + size, size)[few]
+    more = end - few - 1
+    one = np.repeat(few, more)
+    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(more) - more, more)
+    n, pos = rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
+    x, y = np.where(n[one] > n[two], one, two), np.where(n[one] > n[two], two, one)
+    left = np.minimum(n[x] - pos[x], n[y] - pos[y])
+    near = (DEN * n[y] >= NUM * n[x]) & ((NUM + DEN) * left >= NUM * (n[x] + n[y]))
+    stays = np.repeat(size > PAIRED, size)
+    stays[x[near]] = stays[y[near]] = True
+    return stays
 
 
 def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +184,7 @@ def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
     if 1 in held:
         rows = np.frombuffer(held[1], _ROW)
         none = pa.nulls(len(rows), pa.int64())
-        yield table(key=rows["key"].view(np.int64).copy(), sid=rows["sid"].copy(), n=rows["n"].astype(np.int64), pos=rows["pos"].astype(np.int64), lead=none, lead_n=none)
+        yield table(key=rows["key"].view(np.int64).copy(), sid=rows["sid"].copy(), n=rows["n"].astype(np.int64), pos=rows["pos"].astype(np.int64), lead=none, lead_n=none, lead_pos=none)
     if 0 not in held:
         return
     rows = np.frombuffer(held[0], _ROW)
@@ -174,16 +196,17 @@ def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
     head = heads(rows["key"])
     size = np.diff(np.append(head, len(rows)))
     rows = rows[np.repeat(size > 1, size)]
+    rows = rows[_has_partner(rows)]
     if not len(rows):
         return
     band, rank = _size_class(rows["n"]), _lead_hash(rows["sid"], 0)
-    rows = rows[order := np.lexsort((rank, band, rows["key"]))]
+    rows = rows[order := np.lexsort((rank, rows["pos"], band, rows["key"]))]
     band = band[order]
     head = heads(rows["key"], band)
     size = np.diff(np.append(head, len(rows)))
     yield table(
         key=rows["key"].view(np.int64).copy(), sid=rows["sid"].copy(), n=rows["n"].astype(np.int64), pos=rows["pos"].astype(np.int64),
-        lead=np.repeat(rows["sid"][head], size), lead_n=np.repeat(rows["n"][head], size).astype(np.int64),
+        lead=np.repeat(rows["sid"][head], size), lead_n=np.repeat(rows["n"][head], size).astype(np.int64), lead_pos=np.repeat(rows["pos"][head], size).astype(np.int64),
     )
 
 
@@ -256,9 +279,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------------------------------- join
 
 
-def _in_reach(n: str, m: str):
-    """The length filter; n >= m or not."""
-    return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
+def _in_reach(n: str, m: str, pos: str, pos_m: str) -> Column:
+    """The length filter, and the positional one: as many as are left from a shared shingle on can be shared at most."""
+    left = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(pos_m))
+    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((NUM + DEN) * left >= NUM * (F.col(n) + F.col(m)))
 
 
 def _open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
@@ -269,11 +293,16 @@ def _open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each row with the leader of its shingle and size class, if their components differ."""
+    """Pairs of each row with the leader of its shingle and size class, if their components differ.
+
+    The first leader is the class in which the shingle stands earliest: it has the fewest rarer shingles, so of near copies
+    it is the one with the fewest changes of its own. Later leaders are drawn by hash.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM)))).cast("int")
-    rows = rows.select("key", "sid", "n", "component", band.alias("band"))
-    lead = rows.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("sid"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("lead"))
-    met = rows.join(lead, ["key", "band"]).filter("component <> lead.component").filter(_in_reach("n", "lead.n"))
+    rows = rows.select("key", "sid", "n", "pos", "component", band.alias("band"))
+    rank = [F.xxhash64("sid", F.lit(turn)).alias("h")] if turn else [F.col("pos").alias("first"), F.xxhash64("sid").alias("h")]
+    lead = rows.groupBy("key", "band").agg(F.min(F.struct(*rank, *(F.col(c).alias(c) for c in ("sid", "n", "pos", "component")))).alias("lead"))
+    met = rows.join(lead, ["key", "band"]).filter("component <> lead.component").filter(_in_reach("n", "lead.n", "pos", "lead.pos"))
     return met.select(F.greatest("sid", "lead.sid").alias("a"), F.least("sid", "lead.sid").alias("b")).distinct()
 
 
@@ -282,9 +311,7 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     x = rows.select("key", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "component")))
     # the shorter one needs only its indexing prefix
     y = rows.filter(F.col("pos") < F.col("n") - F.ceil(2 * NUM * F.col("n") / (NUM + DEN)) + 1).select("key", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "component")))
-    met = x.join(y, "key").filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") > F.col("y_sid"))))).filter(_in_reach("x_n", "y_n"))
-    room = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
-    met = met.filter((NUM + DEN) * room >= NUM * (F.col("x_n") + F.col("y_n")))
+    met = x.join(y, "key").filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") > F.col("y_sid"))))).filter(_in_reach("x_n", "y_n", "x_pos", "y_pos"))
     return met.select(F.greatest("x_sid", "y_sid").alias("a"), F.least("x_sid", "y_sid").alias("b")).distinct()
 
 
@@ -305,7 +332,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     wanted = written(shared.select("sid").distinct())
     texts = written(_texts_of(docs, wanted))
     # the buckets have chosen the first leaders; hot rows have theirs from Spark
-    near = shared.filter((F.col("lead") != F.col("sid")) & _in_reach("n", "lead_n")).select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"))
+    near = shared.filter((F.col("lead") != F.col("sid")) & _in_reach("n", "lead_n", "pos", "lead_pos")).select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"))
     hot = shared.filter("lead is null").withColumn("component", F.col("sid"))
     pairs = written(near.unionByName(_star(hot, 0)).distinct())
     tested, links = pairs, written(_links(pairs, texts))
