@@ -356,6 +356,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, of repeated rows one; rows without words stay.
+
+    Rows are told apart by id and set, so of rows that share both one stays.
+    """
+    found = written(jaccard_classes(docs))
+    # per component, the least id (nulls last), then the least class
+    keep = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("sid").alias("sid"))).alias("k"))
+    keep = keep.select(F.col("k.id").alias("_id"), F.col("k.sid").alias("_sid"))
+    names = docs.columns
+    text = names.index("text")
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(names))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, f"c{text}"):
+            rows, hashes, sizes = shingle_sets(piece.column(f"c{text}"))
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_set_ids(rows, hashes, sizes), mask=sizes == 0)], [*piece.schema.names, "sid"])
+
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    keyed = renamed.mapInArrow(run, f"{schema}, sid long")
+    at = F.col(f"c{names.index('doc_id')}")
+    chosen = keyed.filter("sid is not null").join(keep, (F.col("sid") == F.col("_sid")) & at.eqNullSafe(F.col("_id")), "left_semi")
+    # rows that repeat an id and a set: any one, by the least of all its columns
+    repeated = chosen.groupBy("sid", at.alias("_of")).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("sid").alias("_sid"), "_of")
+    many = chosen.join(repeated, (F.col("sid") == F.col("_sid")) & at.eqNullSafe(F.col("_of")), "left_semi")
+    one = many.groupBy("sid", at.alias("_of")).agg(F.min(F.struct(*renamed.columns)).alias("r")).select("r.*")
+    single = chosen.join(repeated, (F.col("sid") == F.col("_sid")) & at.eqNullSafe(F.col("_of")), "left_anti").select(renamed.columns)
+    return keyed.filter("sid is null").select(renamed.columns).unionByName(single).unionByName(one).toDF(*names)
+
+
 def op7_ngram_jaccard(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
