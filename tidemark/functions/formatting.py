@@ -1,4 +1,8 @@
-"""Numbers for people. Two decimals are rounded half to even, as ``bround`` does."""
+"""Numbers for people.
+
+Two decimals are rounded from the exact binary value, and exact ties go to the even digit. Neither ``format_string`` nor
+``bround`` does that: both start from the shortest decimal that reads back as the same double.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,18 @@ UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
 def _two(x: Column) -> Column:
-    return F.format_string("%.2f", F.bround(x, 2))
+    """A double with two decimals."""
+    x = x.cast("double")
+    # product and error together are exactly 100 x (Dekker's product; 100 needs no splitting)
+    product = x * 100.0
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * 100.0 - product) + (x - high) * 100.0
+    near = F.rint(product)
+    off = product - near
+    cents = near + F.when((off == 0.5) & (error > 0), 1.0).when((off == -0.5) & (error < 0), -1.0).otherwise(0.0)
+    whole = F.abs(cents).cast("decimal(38,0)")
+    digits = F.concat(F.floor(whole / 100).cast("decimal(38,0)").cast("string"), F.lit("."), F.lpad((whole % 100).cast("string"), 2, "0"))
+    return F.concat(F.when(cents < 0, "-").otherwise(""), digits)
 
 
 def format_bytes(n: Column) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidemark.functions.keys import matches_pattern
 from tidemark.functions.values import JSON, NULL, STRING, byte_sum, serialized_size
@@ -73,7 +74,7 @@ def depth_of(x: object) -> int:
     return deepest
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def json_depth(text: pd.Series) -> pd.Series:
     """Depth of JSON documents; null where the text is null or no JSON."""
 

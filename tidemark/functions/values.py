@@ -118,7 +118,7 @@ def _double_bits(d: Column) -> Column:
 
 def to_bytes(v: Column) -> Column:
     """Content as bytes: text in UTF-8, numbers little-endian, a bool as one byte, null empty."""
-    unsigned = F.when(v["u"] > F.lit((1 << 63) - 1).cast("decimal(20,0)"), (v["u"] - F.lit(1 << 64).cast("decimal(21,0)")).cast("long")).otherwise(v["u"].cast("long"))
+    unsigned = F.when(v["u"] > F.lit(str((1 << 63) - 1)).cast("decimal(20,0)"), (v["u"] - F.lit(str(1 << 64)).cast("decimal(21,0)")).cast("long")).otherwise(v["u"].cast("long"))
     return _by_tag(v, {
         STRING: F.encode(v["s"], "UTF-8"), INT64: _little_endian(v["i"]), UINT64: _little_endian(unsigned), FLOAT64: _little_endian(_double_bits(v["d"])),
         BOOL: F.when(v["b"], F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), BYTES: v["bin"], JSON: F.encode(v["j"], "UTF-8"), NULL: F.unhex(F.lit("")),
