@@ -8,6 +8,7 @@ over the bytes (or over word hashes), finished by a bit mixer.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -35,9 +36,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder and read back: later jobs start from the files, whichever executor dies."""
+    return _write(df)[0]
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Written tables that go when the block ends; what is returned from the block must not read them any more.
+
+    The end of the block also lets Spark drop the shuffle files of the frames that went out of use in it, which it does when
+    the driver's garbage is collected.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        table, path = _write(df)
+        self.paths.append(path)
+        return table
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for x in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(conf).delete(path, True)
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Collects garbage, so that Spark's cleaner drops shuffle files that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def lower_ascii(text: Column) -> Column:
@@ -51,7 +88,7 @@ def n_words(text: Column) -> Column:
 # ------------------------------------------------------------------------------------------------------ Arrow batches
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece holds about ``limit`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,16 +26,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each pair of rounds is written to the shared folder. The rounds end when a pair leaves the edges as they were, which
     takes a number of rounds logarithmic in the longest path; then every edge points at its component.
     """
-    edges = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    was = state(edges)
-    while True:
-        edges = written(_star(_star(edges, True), False))
-        now = state(edges)
-        if now == was:
-            break
-        was = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    with Scratch(edges.sparkSession) as tables:
+        edges = tables(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
+        was = state(edges)
+        while True:
+            edges = tables(_star(_star(edges, True), False))
+            now = state(edges)
+            if now == was:
+                break
+            was = now
+        return written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

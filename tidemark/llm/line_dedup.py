@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat, longs, lowered, pieces, shared_dir, span_hash, table, words, written
+from tidemark.llm.common import Scratch, flat, longs, lowered, pieces, shared_dir, span_hash, table, words, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Rows that one probing group and one filter hold at most, on average.
@@ -254,11 +254,13 @@ class _Sizes:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digest: bool = False) -> DataFrame:
     """``docs`` without the lines that other documents keep (see the module); ``digest`` returns counts and a hash instead."""
-    keys = written(line_keys(docs, min_chars))
-    active = written(references(keys.withColumn("change", F.lit(1))).filter(F.col("n_docs") >= min_docs).select("hi", "lo", "keeper"))
-    n = _Sizes(active, keys)
-    filters = written(build_filters(active, n.shards))
-    return _rewritten(docs, drops(keys, active, filters, n.shards, n.salts), min_chars, digest)
+    with Scratch(docs.sparkSession) as tables:
+        keys = tables(line_keys(docs, min_chars))
+        active = tables(references(keys.withColumn("change", F.lit(1))).filter(F.col("n_docs") >= min_docs).select("hi", "lo", "keeper"))
+        n = _Sizes(active, keys)
+        filters = tables(build_filters(active, n.shards))
+        lost = written(drops(keys, active, filters, n.shards, n.salts))
+    return _rewritten(docs, lost, min_chars, digest)
 
 
 class LineIndex:

@@ -15,8 +15,9 @@ one. Documents with equal sets are one *class*, known by 64 bits of the set. Two
    different components go on. The last round takes all pairs of different components that share a shingle there and pass
    the length and positional filters. So thousands of near copies cost a few comparisons each instead of all their pairs,
    and no link that could change a component is missed.
-4. A candidate pair is verified once: the suffix filter bounds the intersection by counts of shingles in hashed cells,
-   and only then the sets are intersected exactly.
+   The suffix filter works on candidates of every round before a text is touched: of 256 hashed cells, those in which the
+   two sets have numbers of different parity bound their symmetric difference from below.
+4. A candidate pair is verified once, by intersecting the sets exactly.
 
 Defined cases: null text or no words: no set, linked with nothing, component is the own doc_id; null doc_id: takes part in
 links, and a component's id is its least doc_id that is not null (null if there is none); repeated rows: one class.
@@ -31,21 +32,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import distinct_sorted, flat, longs, lowered, mix, pieces, span_hash, stable_order, table, words, written
+from tidemark.llm.common import Scratch, distinct_sorted, flat, lowered, mix, pieces, release, span_hash, stable_order, table, words, written
 from tidemark.llm.components import components
 from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, plan_bytes, reduce_buckets
 
 SHINGLE = 5
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Bounds on the slots of the frequency table (4 bytes each when broadcast).
 MIN_SLOTS, MAX_SLOTS = 1 << 17, 1 << 23
 #: A shingle's rows skip the buckets if its slot counts this many and four times the mean.
 HOT = 4096
 #: Packed bytes for each byte of (compressed) input, measured; only sets the number of buckets.
 PACKED_RATIO = 1.4
-_CELLS = 64
+_SKETCH = ("p0", "p1", "p2", "p3")
 #: Rows of a shingle up to which all its pairs are looked at right away.
 PAIRED = 16
 _U = np.uint64
@@ -73,6 +74,13 @@ def _set_ids(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndar
     return mix(total[ends] - total[ends - sizes] + sizes.astype(_U)).view(np.int64)
 
 
+def _sketches(rows: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each row the parities of its shingles' number in 256 hashed cells, as four numbers of 64 bits."""
+    cell = np.bincount(rows * 256 + (hashes >> _U(56)).astype(np.int64), minlength=n * 256) & 1
+    packed = np.packbits(cell.astype(np.uint8).reshape(-1, 256), axis=1)
+    return list(np.ascontiguousarray(packed).view(np.int64).T)
+
+
 def _ceil(a, b):
     return -(-a // b)
 
@@ -81,7 +89,7 @@ def _ceil(a, b):
 
 
 def _profile(docs: DataFrame, slots: int) -> DataFrame:
-    """Rows of two kinds: (slot, n) of a task's shingle counts, and (doc_id, sid, n) of documents (slot null)."""
+    """Rows of two kinds: (slot, n) of a task's shingle counts, and (doc_id, sid, n, sketch) of documents (slot null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(slots, np.int64)
@@ -89,11 +97,13 @@ def _profile(docs: DataFrame, slots: int) -> DataFrame:
             rows, hashes, sizes = shingle_sets(piece.column("text"))
             np.add(seen, np.bincount((hashes & _U(slots - 1)).astype(np.int64), minlength=slots), out=seen)
             sid = _set_ids(rows, hashes, sizes)
-            yield table(slot=pa.nulls(len(sizes), pa.int32()), doc_id=piece.column("doc_id").cast(pa.int64()), sid=pa.array(sid, mask=sizes == 0), n=sizes)
+            sketch = dict(zip(_SKETCH, _sketches(rows, hashes, len(sizes)), strict=True))
+            yield table(slot=pa.nulls(len(sizes), pa.int32()), doc_id=piece.column("doc_id").cast(pa.int64()), sid=pa.array(sid, mask=sizes == 0), n=sizes, **sketch)
         at = np.flatnonzero(seen)
-        yield table(slot=at.astype(np.int32), doc_id=pa.nulls(len(at), pa.int64()), sid=pa.nulls(len(at), pa.int64()), n=seen[at])
+        none = pa.nulls(len(at), pa.int64())
+        yield table(slot=at.astype(np.int32), doc_id=none, sid=none, n=seen[at], **dict.fromkeys(_SKETCH, none))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slot int, doc_id long, sid long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "slot int, doc_id long, sid long, n long, " + ", ".join(f"{x} long" for x in _SKETCH))
 
 
 # ------------------------------------------------------------------------------------------------------------ prefixes
@@ -213,34 +223,48 @@ def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
 # -------------------------------------------------------------------------------------------------------- verification
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, text): one text for each class in ``wanted`` (sid).
-
-    A Bloom filter of at most 4 MB, broadcast, keeps most other texts from being shuffled; the join is exact.
-    """
+def _bloom(wanted: DataFrame) -> np.ndarray:
+    """Two bits of at most 2**25 for each sid in ``wanted`` (sid), packed: 4 MB at most, whatever the number of sids."""
     bits = 1 << min(25, max(16, int(np.ceil(np.log2(wanted.count() * 8 + 1)))))
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = np.zeros(bits, bool)
         for batch in batches:
-            sid = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
-            made[(sid & _U(bits - 1)).astype(np.int64)] = made[((sid >> _U(32)) & _U(bits - 1)).astype(np.int64)] = True
+            for at in _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                made[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(made).tobytes()], pa.binary())], ["bits"])
 
     made = np.zeros(bits // 8, np.uint8)
     for row in wanted.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         made |= np.frombuffer(row[0], np.uint8)
-    known = docs.sparkSession.sparkContext.broadcast(made)
+    return made
+
+
+def _bloom_bits(sid: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    u = sid.view(_U)
+    return (u & _U(bits - 1)).astype(np.int64), ((u >> _U(32)) & _U(bits - 1)).astype(np.int64)
+
+
+def _may_hold(made: np.ndarray, sid: np.ndarray) -> np.ndarray:
+    one, two = _bloom_bits(sid, len(made) * 8)
+    held = np.unpackbits(made).astype(bool)
+    return held[one] & held[two]
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text): one text for each class in ``wanted`` (sid).
+
+    The Bloom filter keeps most other texts from being shuffled; the join is exact.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, sent = np.unpackbits(known.value).astype(bool), set()
+        sent = set()
         for piece in pieces(batches):
             rows, hashes, sizes = shingle_sets(piece.column("text"))
             sid = _set_ids(rows, hashes, sizes)
-            u = sid.view(_U)
-            hit = (sizes > 0) & may[(u & _U(bits - 1)).astype(np.int64)] & may[((u >> _U(32)) & _U(bits - 1)).astype(np.int64)]
             take = []
-            for i in np.flatnonzero(hit):
+            for i in np.flatnonzero((sizes > 0) & _may_hold(known.value, sid)):
                 if sid[i] not in sent:
                     sent.add(sid[i])
                     take.append(i)
@@ -255,24 +279,24 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(pieces(batches, "x", 1 << 20), "y", 1 << 20):
         one, hash_one, n = shingle_sets(piece.column("x"))
         two, hash_two, m = shingle_sets(piece.column("y"))
-        need = _ceil(NUM * (n + m), NUM + DEN)
-        # suffix filter: no more can be shared than every cell allows
-        cells = len(n) * _CELLS
-        bound = np.minimum(*(np.bincount(r * _CELLS + (h >> _U(58)).astype(np.int64), minlength=cells) for r, h in ((one, hash_one), (two, hash_two)))).reshape(-1, _CELLS).sum(1)
-        open_ = bound >= need
-        a, b = open_[one], open_[two]
-        row, value = np.concatenate((one[a], two[b])), np.concatenate((hash_one[a], hash_two[b]))
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
-        same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-        shared = np.bincount(row[1:][same], minlength=len(n))
-        links = pa.array(open_ & (DEN * shared >= NUM * (n + m - shared)))
+        # a shingle that both sets of a pair have is one less among the distinct ones of both
+        row, _ = distinct_sorted(np.concatenate((one, two)), np.concatenate((hash_one, hash_two)))
+        union = np.bincount(row, minlength=len(n))
+        links = pa.array(DEN * (n + m - union) >= NUM * union)
         yield pa.RecordBatch.from_arrays([piece.column("a").filter(links), piece.column("b").filter(links)], ["a", "b"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    with_x = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a")
-    both = with_x.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) that link. Texts that no pair needs stay where they are."""
+    known = pairs.sparkSession.sparkContext.broadcast(_bloom(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_hold(known.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    few = texts.mapInArrow(run, texts.schema)
+    with_x = pairs.join(few.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a")
+    both = with_x.join(few.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_verify, "a long, b long")
 
 
@@ -285,9 +309,15 @@ def _in_reach(n: str, m: str, pos: str, pos_m: str) -> Column:
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((NUM + DEN) * left >= NUM * (F.col(n) + F.col(m)))
 
 
+def _alike(n: str, m: str, one: str = "", two: str = "other.") -> Column:
+    """The suffix filter: cells whose parities differ, each of which has an element that only one of the sets has."""
+    apart = sum((F.bit_count(F.col(f"{one}{p}").bitwiseXOR(F.col(f"{two}{p}"))) for p in _SKETCH), F.lit(0))
+    return (NUM + DEN) * apart <= (DEN - NUM) * (F.col(n) + F.col(m))
+
+
 def _open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of shingles that still join two components, with their component."""
-    rows = shared.select("key", "sid", "n", "pos").join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    rows = shared.select("key", "sid", "n", "pos", *_SKETCH).join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     spread = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     return rows.join(spread, "key", "left_semi")
 
@@ -299,19 +329,20 @@ def _star(rows: DataFrame, turn: int) -> DataFrame:
     it is the one with the fewest changes of its own. Later leaders are drawn by hash.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM)))).cast("int")
-    rows = rows.select("key", "sid", "n", "pos", "component", band.alias("band"))
+    rows = rows.select("key", "sid", "n", "pos", "component", *_SKETCH, band.alias("band"))
     rank = [F.xxhash64("sid", F.lit(turn)).alias("h")] if turn else [F.col("pos").alias("first"), F.xxhash64("sid").alias("h")]
-    lead = rows.groupBy("key", "band").agg(F.min(F.struct(*rank, *(F.col(c).alias(c) for c in ("sid", "n", "pos", "component")))).alias("lead"))
-    met = rows.join(lead, ["key", "band"]).filter("component <> lead.component").filter(_in_reach("n", "lead.n", "pos", "lead.pos"))
+    lead = rows.groupBy("key", "band").agg(F.min(F.struct(*rank, *(F.col(c).alias(c) for c in ("sid", "n", "pos", "component", *_SKETCH)))).alias("lead"))
+    met = rows.join(lead, ["key", "band"]).filter("component <> lead.component").filter(_in_reach("n", "lead.n", "pos", "lead.pos") & _alike("n", "lead.n", "", "lead."))
     return met.select(F.greatest("sid", "lead.sid").alias("a"), F.least("sid", "lead.sid").alias("b")).distinct()
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of different components that share a shingle and pass the length and positional filters."""
-    x = rows.select("key", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "component")))
+    columns = ("sid", "n", "pos", "component", *_SKETCH)
+    x = rows.select("key", *(F.col(c).alias(f"x_{c}") for c in columns))
     # the shorter one needs only its indexing prefix
-    y = rows.filter(F.col("pos") < F.col("n") - F.ceil(2 * NUM * F.col("n") / (NUM + DEN)) + 1).select("key", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "component")))
-    met = x.join(y, "key").filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") > F.col("y_sid"))))).filter(_in_reach("x_n", "y_n", "x_pos", "y_pos"))
+    y = rows.filter(F.col("pos") < F.col("n") - F.ceil(2 * NUM * F.col("n") / (NUM + DEN)) + 1).select("key", *(F.col(c).alias(f"y_{c}") for c in columns))
+    met = x.join(y, "key").filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") > F.col("y_sid"))))).filter(_in_reach("x_n", "y_n", "x_pos", "y_pos") & _alike("x_n", "y_n", "x_", "y_"))
     return met.select(F.greatest("x_sid", "y_sid").alias("a"), F.least("x_sid", "y_sid").alias("b")).distinct()
 
 
@@ -320,38 +351,44 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     size = plan_bytes(docs)
     slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << max(0, int(np.ceil(np.log2(size / 4096 + 1))))))
-    profile = written(_profile(docs, slots))
-    counted = profile.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(slots, np.uint32)
-    often[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 0xFFFFFFFF)
-    counts = docs.sparkSession.sparkContext.broadcast(often)
-    buckets = max(8, round(size * PACKED_RATIO / BUCKET_BYTES))
-    shared = written(reduce_buckets(_prefixes(docs, counts, slots, HOT + 4 * int(often.mean()), buckets), buckets, _meet, _SHARED))
-    classes = profile.filter("slot is null").select("doc_id", "sid", F.col("n").alias("n_shingles"))
-
-    wanted = written(shared.select("sid").distinct())
-    texts = written(_texts_of(docs, wanted))
-    # the buckets have chosen the first leaders; hot rows have theirs from Spark
-    near = shared.filter((F.col("lead") != F.col("sid")) & _in_reach("n", "lead_n", "pos", "lead_pos")).select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"))
-    hot = shared.filter("lead is null").withColumn("component", F.col("sid"))
-    pairs = written(near.unionByName(_star(hot, 0)).distinct())
-    tested, links = pairs, written(_links(pairs, texts))
-    comps = components(links)
-    for turn in range(1, STAR_ROUNDS + 1):
-        shared = written(_open_rows(shared, comps))
-        if not shared.take(1):
-            break
-        last = turn == STAR_ROUNDS
-        pairs = written((_all_pairs(shared) if last else _star(shared, turn)).join(tested, ["a", "b"], "left_anti"))
-        if pairs.take(1):
-            tested, links = tested.unionByName(pairs), links.unionByName(written(_links(pairs, texts)))
-            comps = components(links)
-    return classes.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component"))
+    with Scratch(docs.sparkSession) as tables:
+        profile = tables(_profile(docs, slots))
+        counted = profile.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        often = np.zeros(slots, np.uint32)
+        often[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 0xFFFFFFFF)
+        counts = docs.sparkSession.sparkContext.broadcast(often)
+        buckets = max(8, round(size * PACKED_RATIO / BUCKET_BYTES))
+        met = tables(reduce_buckets(_prefixes(docs, counts, slots, HOT + 4 * int(often.mean()), buckets), buckets, _meet, _SHARED))
+        release(docs.sparkSession)
+        classes = profile.filter("slot is null").select("doc_id", "sid", F.col("n").alias("n_shingles"))
+        wanted = tables(met.select("sid").distinct())
+        sketches = tables(profile.filter("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(*(F.min(p).alias(p) for p in _SKETCH)))
+        texts = tables(_texts_of(docs, wanted))
+        release(docs.sparkSession)
+        shared = met.select("key", "sid", "n", "pos").join(sketches, "sid")
+        # the buckets have chosen the first leaders; hot rows have theirs from Spark
+        near = met.filter((F.col("lead") != F.col("sid")) & _in_reach("n", "lead_n", "pos", "lead_pos")).select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"), (F.col("n") + F.col("lead_n")).alias("both")).distinct()
+        one, two = (sketches.select(F.col("sid").alias(x), *(F.col(p).alias(f"{x}_{p}") for p in _SKETCH)) for x in "ab")
+        near = near.join(one, "a").join(two, "b").withColumn("zero", F.lit(0)).filter(_alike("both", "zero", "a_", "b_")).select("a", "b")
+        hot = shared.join(met.filter("lead is null").select("key").distinct(), "key", "left_semi").withColumn("component", F.col("sid"))
+        pairs = tables(near.unionByName(_star(hot, 0)).distinct())
+        tested, links = pairs, tables(_links(pairs, texts))
+        comps = components(links)
+        for turn in range(1, STAR_ROUNDS + 1):
+            shared = tables(_open_rows(shared, comps))
+            if not shared.take(1):
+                break
+            last = turn == STAR_ROUNDS
+            pairs = tables((_all_pairs(shared) if last else _star(shared, turn)).join(tested, ["a", "b"], "left_anti"))
+            if pairs.take(1):
+                tested, links = tested.unionByName(pairs), links.unionByName(tables(_links(pairs, texts)))
+                comps = components(links)
+        return written(classes.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that links reach from each document."""
-    found = written(jaccard_classes(docs))
+    found = jaccard_classes(docs)
     least = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return found.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -361,7 +398,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by id and set, so of rows that share both one stays.
     """
-    found = written(jaccard_classes(docs))
+    found = jaccard_classes(docs)
     # per component, the least id (nulls last), then the least class
     keep = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("sid").alias("sid"))).alias("k"))
     keep = keep.select(F.col("k.id").alias("_id"), F.col("k.sid").alias("_sid"))
