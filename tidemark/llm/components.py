@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge, the component being its least node. Nodes are longs.
+def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """(node, component) for every node of an edge, the component being its least node. Nodes are longs; ``keep`` writes
+    the result.
 
     Each pair of rounds is written to the shared folder. The rounds end when a pair leaves the edges as they were, which
     takes a number of rounds logarithmic in the longest path; then every edge points at its component.
@@ -39,4 +42,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if now == was:
                 break
             was = now
-        return written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+        return keep(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

@@ -10,7 +10,8 @@ one. Documents with equal sets are one *class*, known by 64 bits of the set. Two
 2. Each class sends the prefix of its set, which is all it needs to meet any partner: ``n - ceil(t n) + 1`` shingles. Rows
    meet by shingle, bucket by bucket, and those of shingles with one class end there. Shingles so frequent that their rows
    could fill a task skip the buckets and are grouped by Spark with partial aggregation.
-3. Candidates come in rounds. In a star round each shingle's rows are compared with one leader of about their own size
+3. Shingles of few classes give all their pairs that pass the length and positional filters. For the others candidates come
+   in rounds. In a star round each shingle's rows are compared with one leader of about their own size
    (first the one with the fewest rarer shingles, then others), which is linear in the rows; what links is merged, and only shingles that still join
    different components go on. The last round takes all pairs of different components that share a shingle there and pass
    the length and positional filters. So thousands of near copies cost a few comparisons each instead of all their pairs,
@@ -47,7 +48,7 @@ HOT = 4096
 #: Packed bytes for each byte of (compressed) input, measured; only sets the number of buckets.
 PACKED_RATIO = 1.4
 _SKETCH = ("p0", "p1", "p2", "p3")
-#: Rows of a shingle up to which all its pairs are looked at right away.
+#: Classes of a shingle up to which all its pairs are candidates right away, without rounds.
 PAIRED = 16
 _U = np.uint64
 _ROW = np.dtype([("key", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -168,29 +169,28 @@ def _lead_hash(sid: np.ndarray, turn: int) -> np.ndarray:
 _SHARED = "key long, sid long, n long, pos long, lead long, lead_n long, lead_pos long"
 
 
-def _has_partner(rows: np.ndarray) -> np.ndarray:
-    """Whether a row passes the length and positional filters with some other row of its shingle.
-
-    Shingles with more than ``PAIRED`` rows are not looked into, and all their rows stay.
-    """
-    head = heads(rows["key"])
-    size = np.diff(np.append(head, len(rows)))
-    few = np.flatnonzero(np.repeat(size <= PAIRED, size))
-    end = np.repeat(head + size, size)[few]
-    more = end - few - 1
-    one = np.repeat(few, more)
+def _few(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (longer, shorter) of rows that share a shingle and pass the filters, for shingles of ``size`` rows."""
+    end = np.repeat(np.cumsum(size), size)
+    more = end - np.arange(len(rows)) - 1
+    one = np.repeat(np.arange(len(rows)), more)
     two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(more) - more, more)
     n, pos = rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
-    x, y = np.where(n[one] > n[two], one, two), np.where(n[one] > n[two], two, one)
+    longer = (n[one] > n[two]) | ((n[one] == n[two]) & (rows["sid"][one] > rows["sid"][two]))
+    x, y = np.where(longer, one, two), np.where(longer, two, one)
     left = np.minimum(n[x] - pos[x], n[y] - pos[y])
-    near = (DEN * n[y] >= NUM * n[x]) & ((NUM + DEN) * left >= NUM * (n[x] + n[y]))
-    stays = np.repeat(size > PAIRED, size)
-    stays[x[near]] = stays[y[near]] = True
-    return stays
+    good = (DEN * n[y] >= NUM * n[x]) & ((NUM + DEN) * left >= NUM * (n[x] + n[y])) & (pos[y] < _index_prefix(n[y]))
+    return x[good], y[good]
+
+
+def _index_prefix(n):
+    """What the shorter set of a pair needs to meet the longer one."""
+    return n - _ceil(2 * NUM * n, NUM + DEN) + 1
 
 
 def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-    """The rows of shingles with two classes or more, each with the leader of its shingle and size class."""
+    """Of shingles with few classes all candidate pairs (sid, lead; key is null); of the others the rows, each with the leader
+    of its shingle and size class; of hot ones the rows without a leader."""
     if 1 in held:
         rows = np.frombuffer(held[1], _ROW)
         none = pa.nulls(len(rows), pa.int64())
@@ -200,23 +200,27 @@ def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
     rows = np.frombuffer(held[0], _ROW)
     order = np.lexsort((rows["sid"], rows["key"]))
     rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["sid"][1:] != rows["sid"][:-1])
-    rows = rows[new]
+    rows = rows[heads(rows["key"], rows["sid"])]
     head = heads(rows["key"])
     size = np.diff(np.append(head, len(rows)))
-    rows = rows[np.repeat(size > 1, size)]
-    rows = rows[_has_partner(rows)]
-    if not len(rows):
+    each = np.repeat(size, size)
+    few, many = rows[(each > 1) & (each <= PAIRED)], rows[each > PAIRED]
+    x, y = _few(few, size[(size > 1) & (size <= PAIRED)])
+    if len(x):
+        pair = np.stack((few["sid"][x], few["sid"][y], few["n"][x].astype(np.int64), few["n"][y].astype(np.int64)), 1)
+        pair = np.unique(pair, axis=0)
+        zero = np.zeros(len(pair), np.int64)
+        yield table(key=pa.nulls(len(pair), pa.int64()), sid=pair[:, 0].copy(), n=pair[:, 2].copy(), pos=zero, lead=pair[:, 1].copy(), lead_n=pair[:, 3].copy(), lead_pos=zero)
+    if not len(many):
         return
-    band, rank = _size_class(rows["n"]), _lead_hash(rows["sid"], 0)
-    rows = rows[order := np.lexsort((rank, rows["pos"], band, rows["key"]))]
-    band = band[order]
-    head = heads(rows["key"], band)
-    size = np.diff(np.append(head, len(rows)))
+    band, rank = _size_class(many["n"]), _lead_hash(many["sid"], 0)
+    order = np.lexsort((rank, many["pos"], band, many["key"]))
+    many, band = many[order], band[order]
+    head = heads(many["key"], band)
+    size = np.diff(np.append(head, len(many)))
     yield table(
-        key=rows["key"].view(np.int64).copy(), sid=rows["sid"].copy(), n=rows["n"].astype(np.int64), pos=rows["pos"].astype(np.int64),
-        lead=np.repeat(rows["sid"][head], size), lead_n=np.repeat(rows["n"][head], size).astype(np.int64), lead_pos=np.repeat(rows["pos"][head], size).astype(np.int64),
+        key=many["key"].view(np.int64).copy(), sid=many["sid"].copy(), n=many["n"].astype(np.int64), pos=many["pos"].astype(np.int64),
+        lead=np.repeat(many["sid"][head], size), lead_n=np.repeat(many["n"][head], size).astype(np.int64), lead_pos=np.repeat(many["pos"][head], size).astype(np.int64),
     )
 
 
@@ -361,19 +365,21 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         met = tables(reduce_buckets(_prefixes(docs, counts, slots, HOT + 4 * int(often.mean()), buckets), buckets, _meet, _SHARED))
         release(docs.sparkSession)
         classes = profile.filter("slot is null").select("doc_id", "sid", F.col("n").alias("n_shingles"))
-        wanted = tables(met.select("sid").distinct())
+        rows = met.filter("key is not null")
+        wanted = tables(met.select("sid").unionByName(met.filter("key is null").select(F.col("lead").alias("sid"))).distinct())
         sketches = tables(profile.filter("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(*(F.min(p).alias(p) for p in _SKETCH)))
-        texts = tables(_texts_of(docs, wanted))
-        release(docs.sparkSession)
-        shared = met.select("key", "sid", "n", "pos").join(sketches, "sid")
-        # the buckets have chosen the first leaders; hot rows have theirs from Spark
+        shared = rows.select("key", "sid", "n", "pos").join(sketches, "sid")
+        # the buckets have paired few or chosen the first leaders of many; hot rows have theirs from Spark
         near = met.filter((F.col("lead") != F.col("sid")) & _in_reach("n", "lead_n", "pos", "lead_pos")).select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"), (F.col("n") + F.col("lead_n")).alias("both")).distinct()
         one, two = (sketches.select(F.col("sid").alias(x), *(F.col(p).alias(f"{x}_{p}") for p in _SKETCH)) for x in "ab")
         near = near.join(one, "a").join(two, "b").withColumn("zero", F.lit(0)).filter(_alike("both", "zero", "a_", "b_")).select("a", "b")
-        hot = shared.join(met.filter("lead is null").select("key").distinct(), "key", "left_semi").withColumn("component", F.col("sid"))
+        hot = shared.join(rows.filter("lead is null").select("key").distinct(), "key", "left_semi").withColumn("component", F.col("sid"))
         pairs = tables(near.unionByName(_star(hot, 0)).distinct())
+        need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(rows.select("sid"))
+        texts = tables(_texts_of(docs, tables(need.distinct())))
+        release(docs.sparkSession)
         tested, links = pairs, tables(_links(pairs, texts))
-        comps = components(links)
+        comps = components(links, keep=tables)
         for turn in range(1, STAR_ROUNDS + 1):
             shared = tables(_open_rows(shared, comps))
             if not shared.take(1):
@@ -382,7 +388,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
             pairs = tables((_all_pairs(shared) if last else _star(shared, turn)).join(tested, ["a", "b"], "left_anti"))
             if pairs.take(1):
                 tested, links = tested.unionByName(pairs), links.unionByName(tables(_links(pairs, texts)))
-                comps = components(links)
+                comps = components(links, keep=tables)
         return written(classes.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component")))
 
 
