@@ -22,10 +22,12 @@ def again(store):
 
 def test_prefix_and_range(store):
     store.batch_put([("user:1", 1), ("user:2", 2), ("user:3", 3), ("config:debug", True)])
-    assert [k for k, _ in rows_of(store.scan_prefix("user:"))] == ["user:1", "user:2", "user:3"]
-    assert len(rows_of(store.scan_range("user:1", "user:3"))) == 3
-    assert rows_of(store.scan_range("user:2", "user:1")) == []
-    assert rows_of(store.scan_range("user:1", "", limit=2)) == [("user:1", 1), ("user:2", 2)]
+    assert [k for k, _ in rows_of(store.scan_prefix_with_values("user:"))] == ["user:1", "user:2", "user:3"]
+    assert len(rows_of(store.scan_range_with_values("user:1", "user:3"))) == 3
+    assert rows_of(store.scan_range_with_values("user:2", "user:1")) == []
+    assert rows_of(store.scan_range_with_values("user:1", "", limit=2)) == [("user:1", 1), ("user:2", 2)]
+    assert [r["k"] for r in store.scan_prefix("user:").collect()] == [r["k"] for r in store.scan_range_limit("user:1", "user:3", 9).collect()] == ["user:1", "user:2", "user:3"]
+    assert rows_of(store.scan_next("user:", "user:1")) == [("user:2", 2)] and rows_of(store.scan_range_limit_with_values("a", "z", 1)) == [("config:debug", True)]
     assert store.get("config:debug") is True and store.get("nothing") is None
 
 
@@ -125,9 +127,9 @@ def test_families(store):
     store.batch_put_cf([("x1", 1), ("x2", 2), ("x22", 3)], "u")
     store.put("x1", "bare")
     assert store.get_cf("x1", "u") == 1 and store.get("x1") == "bare" and store.get("u#x1") == 1
-    assert rows_of(store.scan_prefix_cf("x2", "u")) == [("x2", 2), ("x22", 3)]
-    assert rows_of(store.scan_prefix_cf("x2", "u", relative=True)) == [("", 2), ("2", 3)]
-    assert [k for k, _ in rows_of(store.scan_range_cf("x1", "x2", "u"))] == ["x1", "x2", "x22"]
+    assert rows_of(store.scan_prefix_with_values_cf("x2", "u")) == [("x2", 2), ("x22", 3)]
+    assert rows_of(store.scan_prefix_with_values_cf("x2", "u", relative=True)) == [("", 2), ("2", 3)]
+    assert [k for k, _ in rows_of(store.scan_range_with_values_cf("x1", "x2", "u"))] == ["x1", "x2", "x22"]
     assert [k for k, _ in store.iter_range_cf("x1", "x2", "u")] == ["x1", "x2"]
     assert {r["cf"]: r["keys"] for r in store.column_family_stats().collect()} == {"default": 0, "u": 3}
     store.drop_column_family("u")
@@ -170,7 +172,7 @@ def test_leveled_compaction_keeps_files_few(spark, tmp_path):
     runs = store.manifests.read().runs
     assert sum(r.level == 0 for r in runs) <= 4 and any(r.level == 1 for r in runs)
     assert [store.get(f"k{i}") for i in (0, 8)] == [0, 8]
-    assert store.health_check() == "Healthy"
+    assert store.health_check() == "Healthy" and store.metrics_summary().startswith("Keys: 9, ") and "tidemark_runs" in store.export_metrics_prometheus()
     store.files.remove(runs[0].path)
     assert store.health_check() == "Unhealthy"
 
@@ -216,6 +218,6 @@ def test_random_operations_match_a_dictionary(store):
             store.compact(levels=rng.choice([None, [0]]), to_level=rng.choice([None, 1]))
         if step % 12 == 11:
             assert rows_of(store.scan_all()) == sorted(model.items())
-            assert rows_of(store.scan_range("a:03", "b:0")) == sorted((k, v) for k, v in model.items() if "a:03" <= k < "b:1")
+            assert rows_of(store.scan_range_with_values("a:03", "b:0")) == sorted((k, v) for k, v in model.items() if "a:03" <= k < "b:1")
             assert store.batch_get(keys) == [model.get(k) for k in keys]
     assert rows_of(again(store).scan_all()) == sorted(model.items())

@@ -90,6 +90,15 @@ def after_checkpoint(log: DataFrame, is_checkpoint: Column) -> DataFrame:
     return log if last is None else log.filter(F.col("seq") > last)
 
 
+def durable_watermark(slots: DataFrame) -> DataFrame:
+    """The valid slot (generation, position, data, checksum) of the greatest generation; its checksum is the CRC32 of data.
+
+    Slots are written in turn, so that one of them is whole whenever a write is cut off.
+    """
+    whole = slots.filter(F.crc32("data") == F.col("checksum"))
+    return whole.agg(F.max("generation").alias("generation"), F.max_by("position", "generation").alias("position")).filter("generation IS NOT NULL")
+
+
 def dedupe_runs(*runs: DataFrame, drop_tombstones: bool) -> DataFrame:
     """Compaction's merge: one version a key; tombstones go only if nothing older can lie below."""
     merged = newest(merge_layers(*runs))

@@ -188,12 +188,31 @@ class KvStore:
         """The same for a data frame (pos, k) of any size."""
         return reads.batch_get(self.state(), keys, ordered=False)
 
-    def scan_prefix(self, prefix: str = "", limit: int | None = None) -> DataFrame:
+    def scan_prefix_with_values(self, prefix: str = "", limit: int | None = None) -> DataFrame:
         return reads.scan_prefix(self._between(prefix, succ(prefix)), prefix, limit).select("k", "v")
 
-    def scan_range(self, start: str = "", end: str = "", limit: int | None = None, end_mode: str = "succ") -> DataFrame:
+    def scan_range_with_values(self, start: str = "", end: str = "", limit: int | None = None, end_mode: str = "succ") -> DataFrame:
         return reads.scan_range(self._between(start, succ(end)), start, end, limit, end_mode).select("k", "v")
 
+    scan_prefix_pairs, scan_range_pairs = scan_prefix_with_values, scan_range_with_values
+
+    def scan_range_limit_with_values(self, start: str, end: str, limit: int) -> DataFrame:
+        return self.scan_range_with_values(start, end, limit)
+
+    def scan_prefix(self, prefix: str = "", limit: int | None = None) -> DataFrame:
+        """Keys only; values aren't read."""
+        return self.scan_prefix_with_values(prefix, limit).select("k")
+
+    def scan_range(self, start: str = "", end: str = "", limit: int | None = None, end_mode: str = "succ") -> DataFrame:
+        return self.scan_range_with_values(start, end, limit, end_mode).select("k")
+
+    def scan_range_limit(self, start: str, end: str, limit: int) -> DataFrame:
+        return self.scan_range(start, end, limit)
+
+    def scan_next(self, prefix: str, after: str | None = None, limit: int = 1) -> DataFrame:
+        """The next pairs under a prefix after a key."""
+        return reads.scan_next(self._between(max(prefix, after or ""), succ(prefix)), prefix, after, limit).select("k", "v")
+
     def scan_all(self) -> DataFrame:
         return reads.scan_all(self.state()).select("k", "v")
 
@@ -201,7 +220,7 @@ class KvStore:
         return reads.keys(self.state())
 
     def iter_range(self, start: str = "", end: str = "") -> Iterator[tuple[str, Any]]:
-        for r in self.scan_range(start, end).toLocalIterator():
+        for r in self.scan_range_with_values(start, end).toLocalIterator():
             yield r["k"], decode(r["v"])
 
     def cursor(self, prefix: str) -> reads.PrefixCursor:
@@ -286,19 +305,28 @@ class KvStore:
         name = f"{self._family(cf)}{CF_SEPARATOR}"
         return reads.in_cf(self._between(name, succ(name)), cf)
 
-    def scan_prefix_cf(self, prefix: str = "", cf: str = DEFAULT_CF, limit: int | None = None, relative: bool = False) -> DataFrame:
+    def scan_prefix_with_values_cf(self, prefix: str = "", cf: str = DEFAULT_CF, limit: int | None = None, relative: bool = False) -> DataFrame:
         out = reads.scan_prefix(self._in_cf(cf), prefix, limit).select("k", "v")
         return out.withColumn("k", F.substring("k", F.lit(len(prefix) + 1), F.length("k"))) if relative else out
 
-    def scan_range_cf(self, start: str = "", end: str = "", cf: str = DEFAULT_CF, limit: int | None = None, end_mode: str = "succ") -> DataFrame:
+    def scan_range_with_values_cf(self, start: str = "", end: str = "", cf: str = DEFAULT_CF, limit: int | None = None, end_mode: str = "succ") -> DataFrame:
         return reads.scan_range(self._in_cf(cf), start, end, limit, end_mode).select("k", "v")
 
+    def scan_prefix_cf(self, prefix: str = "", cf: str = DEFAULT_CF, limit: int | None = None, relative: bool = False) -> DataFrame:
+        return self.scan_prefix_with_values_cf(prefix, cf, limit, relative).select("k")
+
+    def scan_range_cf(self, start: str = "", end: str = "", cf: str = DEFAULT_CF, limit: int | None = None, end_mode: str = "succ") -> DataFrame:
+        return self.scan_range_with_values_cf(start, end, cf, limit, end_mode).select("k")
+
+    def scan_range_limit_cf(self, start: str, end: str, limit: int, cf: str = DEFAULT_CF) -> DataFrame:
+        return self.scan_range_cf(start, end, cf, limit)
+
     def scan_all_cf(self, cf: str = DEFAULT_CF) -> DataFrame:
-        return self.scan_prefix_cf("", cf)
+        return self.scan_prefix_with_values_cf("", cf)
 
     def iter_range_cf(self, start: str = "", end: str = "", cf: str = DEFAULT_CF) -> Iterator[tuple[str, Any]]:
         """The one range whose end includes ``end`` itself and nothing else that begins with it."""
-        for r in self.scan_range_cf(start, end, cf, end_mode="inclusive").toLocalIterator():
+        for r in self.scan_range_with_values_cf(start, end, cf, end_mode="inclusive").toLocalIterator():
             yield r["k"], decode(r["v"])
 
     # ------------------------------------------------------------------------------------------- flush and compaction
@@ -441,6 +469,11 @@ class KvStore:
     def recommendations(self, read_ms: float = 0.0, write_ms: float = 0.0, operations: int = 0) -> DataFrame:
         return stats.recommendations(self.manifest_frame(), read_ms, write_ms, len(self.compaction_stats()), operations)
 
+    def metrics_summary(self) -> str:
+        """One line of the main figures."""
+        row = self.stats().select(stats.summary(F.col("total_keys"), F.col("disk_bytes"), F.lit(1.0), F.lit(0.0), F.lit(self.health_check()))).first()
+        return row[0]
+
     def export_metrics_prometheus(self) -> str:
         m = self.manifests.read()
         rows = [("tidemark_runs", "Runs in the manifest", "gauge", len(m.runs)), ("tidemark_disk_bytes", "Bytes of all runs", "gauge", sum(r.file_size for r in m.runs)), ("tidemark_next_seq", "Next sequence number", "counter", m.next_seq), ("tidemark_compactions_total", "Compactions on record", "counter", len(m.compactions))]
