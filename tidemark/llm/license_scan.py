@@ -30,7 +30,8 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Rules in order of priority. A line has label | keyword | weight | pattern over normalised words; {v} in a label or
+#: Rules in order of priority. A line has label | keyword | weight | pattern over normalised words. The keyword is text that
+#: every match has in it (an underscore is a space), so that looking for it first loses nothing; {v} in a label or
 #: pattern stands for each version after the block's name, one rule for each. Full grants come before names, names with
 #: versions before names without, and mentions last.
 SIGNATURES = r"""
@@ -58,30 +59,31 @@ unlicense | spdx | 0.99 | spdx license identifier unlicense
 other-spdx | spdx | 0.9 | spdx license identifier [a-z0-9]+
 
 [grants: 1 2 3]
-agpl-3.0-or-later | affero | 0.98 | gnu affero general public license (?:as published by the free software foundation )?(?:either )?version 3 (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
-lgpl-{v}-or-later | lesser | 0.98 | gnu lesser general public license (?:as published by the free software foundation )?(?:either )?version {v}(?: [01])? (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
-gpl-{v}.0-or-later | gnu | 0.98 | gnu general public license (?:as published by the free software foundation )?(?:either )?version {v}(?: 0)? (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
-apache-2.0 | apache | 0.98 | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
-mit | permission | 0.98 | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-mit-no-attribution | permission | 0.97 | permission is hereby granted free of charge to any person obtaining a copy of this software to deal in
-isc | permission | 0.98 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-ntp | permission | 0.95 | permission to use copy modify and distribute this software and its documentation for any purpose (?:with or )?without fee is hereby granted
-bsd-3-clause | redistribution | 0.95 | redistribution and use in source and binary forms with or without modification are permitted .{0,900}?neither the name
-bsd-2-clause | redistribution | 0.9 | redistribution and use in source and binary forms with or without modification are permitted
-zlib | warranty | 0.95 | this software is provided as is without any express or implied warranty in no event will the authors be held liable
-boost-1.0 | permission | 0.97 | boost software license version 1 0
+agpl-3.0-or-later | affero general | 0.98 | gnu affero general public license (?:as published by the free software foundation )?(?:either )?version 3 (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
+lgpl-{v}-or-later | lesser general | 0.98 | gnu lesser general public license (?:as published by the free software foundation )?(?:either )?version {v}(?: [01])? (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
+gpl-{v}.0-or-later | gnu general public | 0.98 | gnu general public license (?:as published by the free software foundation )?(?:either )?version {v}(?: 0)? (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
+apache-2.0 | _apache_ | 0.98 | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+mit | permission is hereby | 0.98 | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit-no-attribution | permission is hereby | 0.97 | permission is hereby granted free of charge to any person obtaining a copy of this software to deal in
+isc | permission to use | 0.98 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+ntp | permission to use | 0.95 | permission to use copy modify and distribute this software and its documentation for any purpose (?:with or )?without fee is hereby granted
+bsd-3-clause | redistribution and use | 0.95 | redistribution and use in source and binary forms with or without modification are permitted .{0,900}?neither the name
+bsd-2-clause | redistribution and use | 0.9 | redistribution and use in source and binary forms with or without modification are permitted
+zlib | held liable | 0.95 | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+boost-1.0 | boost software | 0.97 | boost software license version 1 0
 unlicense | unencumbered | 0.98 | this is free and unencumbered software released into the public domain
-wtfpl | do | 0.97 | do what the fuck you want to public license
-cc0-1.0 | waived | 0.9 | has (?:dedicated the work to the public domain by waiving|waived all copyright and related)
-no-warranty | warranty | 0.5 | (?:provided|distributed) (?:on an )?as is (?:basis )?without warranties or conditions of any kind
+wtfpl | do what the | 0.97 | do what the fuck you want to public license
+cc0-1.0 | by waiving | 0.9 | has dedicated the work to the public domain by waiving
+cc0-1.0 | waived all copyright | 0.9 | has waived all copyright and related
+no-warranty | warranties or conditions | 0.5 | (?:provided|distributed) (?:on an )?as is (?:basis )?without warranties or conditions of any kind
 
 [creative commons: 1 2 3 4]
-cc-by-nc-sa-{v}.0 | cc | 0.95 | cc by nc sa {v} 0
-cc-by-nc-nd-{v}.0 | cc | 0.95 | cc by nc nd {v} 0
-cc-by-nc-{v}.0 | cc | 0.95 | cc by nc {v} 0
-cc-by-sa-{v}.0 | cc | 0.95 | cc by sa {v} 0
-cc-by-nd-{v}.0 | cc | 0.95 | cc by nd {v} 0
-cc-by-{v}.0 | cc | 0.95 | cc by {v} 0
+cc-by-nc-sa-{v}.0 | cc by | 0.95 | cc by nc sa {v} 0
+cc-by-nc-nd-{v}.0 | cc by | 0.95 | cc by nc nd {v} 0
+cc-by-nc-{v}.0 | cc by | 0.95 | cc by nc {v} 0
+cc-by-sa-{v}.0 | cc by | 0.95 | cc by sa {v} 0
+cc-by-nd-{v}.0 | cc by | 0.95 | cc by nd {v} 0
+cc-by-{v}.0 | cc by | 0.95 | cc by {v} 0
 cc-by-nc-sa-{v}.0 | commons | 0.95 | creative commons attribution non ?commercial share ?alike {v} 0(?: international| unported| generic)?
 cc-by-nc-nd-{v}.0 | commons | 0.95 | creative commons attribution non ?commercial no ?deriv(?:ative|ative work)?s {v} 0(?: international| unported| generic)?
 cc-by-nc-{v}.0 | commons | 0.95 | creative commons attribution non ?commercial {v} 0(?: international| unported| generic)?
@@ -96,23 +98,24 @@ cc-by-nd-{v}.0 | creativecommons | 0.95 | creativecommons org licenses by nd {v}
 cc-by-{v}.0 | creativecommons | 0.95 | creativecommons org licenses by {v} 0
 
 [creative commons without version]
-cc0-1.0 | cc0 | 0.9 | (?:creative commons zero|cc0)(?: 1 0)?(?: universal)?
-cc-by-nc-sa | cc | 0.85 | cc by nc sa
-cc-by-nc-nd | cc | 0.85 | cc by nc nd
-cc-by-nc | cc | 0.85 | cc by nc
-cc-by-sa | cc | 0.85 | cc by sa
-cc-by-nd | cc | 0.85 | cc by nd
+cc0-1.0 | commons zero | 0.9 | creative commons zero(?: 1 0)?(?: universal)?
+cc0-1.0 | cc0 | 0.9 | cc0(?: 1 0)?(?: universal)?
+cc-by-nc-sa | cc by | 0.85 | cc by nc sa
+cc-by-nc-nd | cc by | 0.85 | cc by nc nd
+cc-by-nc | cc by | 0.85 | cc by nc
+cc-by-sa | cc by | 0.85 | cc by sa
+cc-by-nd | cc by | 0.85 | cc by nd
 cc-by | commons | 0.8 | creative commons attribution
 cc-public-domain | creativecommons | 0.9 | creativecommons org publicdomain
 creative-commons | commons | 0.6 | creative commons
 
 [gnu: 1 2 3]
-agpl-{v}.0 | affero | 0.95 | (?:gnu )?affero general public license (?:agpl )?(?:version|v) ?{v}(?: 0)?
-lgpl-{v}.0 | lesser | 0.95 | (?:gnu )?lesser general public license (?:lgpl )?(?:version|v) ?{v}(?: 0)?
-lgpl-{v}.1 | lesser | 0.95 | (?:gnu )?lesser general public license (?:lgpl )?(?:version|v) ?{v} 1
-lgpl-{v}.0 | library | 0.95 | gnu library general public license (?:lgpl )?(?:version|v) ?{v}(?: 0)?
-gpl-{v}.0 | gnu | 0.95 | gnu general public license (?:gpl )?(?:version|v) ?{v}(?: 0)?
-gfdl-1.{v} | documentation | 0.95 | gnu free documentation license (?:gfdl )?(?:version|v) ?1 {v}
+agpl-{v}.0 | affero general | 0.95 | (?:gnu )?affero general public license (?:agpl )?(?:version|v) ?{v}(?: 0)?
+lgpl-{v}.0 | lesser general | 0.95 | (?:gnu )?lesser general public license (?:lgpl )?(?:version|v) ?{v}(?: 0)?
+lgpl-{v}.1 | lesser general | 0.95 | (?:gnu )?lesser general public license (?:lgpl )?(?:version|v) ?{v} 1
+lgpl-{v}.0 | library general | 0.95 | gnu library general public license (?:lgpl )?(?:version|v) ?{v}(?: 0)?
+gpl-{v}.0 | gnu general public | 0.95 | gnu general public license (?:gpl )?(?:version|v) ?{v}(?: 0)?
+gfdl-1.{v} | free documentation | 0.95 | gnu free documentation license (?:gfdl )?(?:version|v) ?1 {v}
 agpl-{v}.0 | agpl | 0.9 | (?:gnu )?agpl ?v? ?{v}(?: 0)?
 lgpl-{v}.0 | lgpl | 0.9 | (?:gnu )?lgpl ?v? ?{v}(?: 0)?
 gpl-{v}.0 | gpl | 0.9 | (?:gnu )?gpl ?v? ?{v}(?: 0)?
@@ -121,99 +124,101 @@ lgpl-{v}.0 | lgplv{v} | 0.9 | lgplv{v}
 agpl-{v}.0 | agplv{v} | 0.9 | agplv{v}
 
 [gnu without version]
-gpl-with-classpath-exception | classpath | 0.9 | gnu general public license .{0,60}?classpath exception
-gpl-with-linking-exception | exception | 0.85 | gnu general public license .{0,60}?linking exception
-agpl | affero | 0.85 | (?:gnu )?affero general public license
-lgpl | lesser | 0.85 | (?:gnu )?lesser general public license
-lgpl | library | 0.85 | gnu library general public license
-gfdl | documentation | 0.85 | gnu free documentation license
+gpl-with-classpath-exception | classpath exception | 0.9 | gnu general public license .{0,60}?classpath exception
+gpl-with-linking-exception | linking exception | 0.85 | gnu general public license .{0,60}?linking exception
+agpl | affero general | 0.85 | (?:gnu )?affero general public license
+lgpl | lesser general | 0.85 | (?:gnu )?lesser general public license
+lgpl | library general | 0.85 | gnu library general public license
+gfdl | free documentation | 0.85 | gnu free documentation license
 agpl | agpl | 0.6 | agpl
 lgpl | lgpl | 0.6 | lgpl
 gpl | gpl | 0.6 | (?:gnu )?gpl
 
 [names: 1 2 3]
-apache-{v}.0 | apache | 0.95 | apache (?:software )?license (?:version|v) ?{v}(?: 0)?
-apache-{v}.0 | apache | 0.9 | apache (?:license )?{v} 0
+apache-{v}.0 | _apache_ | 0.95 | apache (?:software )?license (?:version|v) ?{v}(?: 0)?
+apache-{v}.0 | _apache_ | 0.9 | apache (?:license )?{v} 0
 mpl-{v}.0 | mozilla | 0.95 | mozilla public license (?:mpl )?(?:version|v) ?{v}(?: 0)?
 mpl-{v}.1 | mozilla | 0.95 | mozilla public license (?:mpl )?(?:version|v) ?{v} 1
-mpl-{v}.0 | mpl | 0.9 | mpl (?:v ?)?{v} 0
+mpl-{v}.0 | _mpl_ | 0.9 | mpl (?:v ?)?{v} 0
 epl-{v}.0 | eclipse | 0.95 | eclipse public license (?:epl )?(?:version|v) ?{v}(?: 0)?
-epl-{v}.0 | epl | 0.9 | epl (?:v ?)?{v} 0
+epl-{v}.0 | _epl_ | 0.9 | epl (?:v ?)?{v} 0
 cddl-{v}.0 | distribution | 0.95 | common development and distribution license (?:cddl )?(?:version|v) ?{v}(?: 0)?
-cddl-{v}.0 | cddl | 0.9 | cddl (?:v ?)?{v} 0
-cpl-{v}.0 | common | 0.95 | common public license (?:version|v) ?{v}(?: 0)?
-eupl-1.{v} | european | 0.95 | european union public licence (?:version|v) ?1 {v}
-eupl-1.{v} | eupl | 0.9 | eupl (?:v ?)?1 {v}
-afl-{v}.0 | academic | 0.95 | academic free license (?:version|v) ?{v}(?: 0)?
-osl-{v}.0 | open | 0.95 | open software license (?:version|v) ?{v}(?: 0)?
-artistic-{v}.0 | artistic | 0.95 | artistic license (?:version|v)? ?{v}(?: 0)?
-psf-{v} | python | 0.95 | python software foundation license (?:version|v) ?{v}
-lppl-1.{v} | latex | 0.95 | latex project public license (?:version|v) ?1 {v}
-ofl-1.{v} | sil | 0.95 | sil open font license (?:version|v) ?1 {v}
-odbl-{v}.0 | database | 0.95 | open (?:data commons open )?database license (?:version|v)? ?{v}(?: 0)?
+cddl-{v}.0 | _cddl_ | 0.9 | cddl (?:v ?)?{v} 0
+cpl-{v}.0 | common public | 0.95 | common public license (?:version|v) ?{v}(?: 0)?
+eupl-1.{v} | european union public | 0.95 | european union public licence (?:version|v) ?1 {v}
+eupl-1.{v} | _eupl_ | 0.9 | eupl (?:v ?)?1 {v}
+afl-{v}.0 | academic free | 0.95 | academic free license (?:version|v) ?{v}(?: 0)?
+osl-{v}.0 | open software license | 0.95 | open software license (?:version|v) ?{v}(?: 0)?
+artistic-{v}.0 | artistic license | 0.95 | artistic license (?:version|v)? ?{v}(?: 0)?
+psf-{v} | python software | 0.95 | python software foundation license (?:version|v) ?{v}
+lppl-1.{v} | latex project | 0.95 | latex project public license (?:version|v) ?1 {v}
+ofl-1.{v} | sil open font | 0.95 | sil open font license (?:version|v) ?1 {v}
+odbl-{v}.0 | database license | 0.95 | open (?:data commons open )?database license (?:version|v)? ?{v}(?: 0)?
 cecill-{v}.0 | cecill | 0.95 | cecill (?:free software license agreement )?(?:version|v)? ?{v}(?: 0)?
-ms-pl-{v} | microsoft | 0.9 | microsoft public license (?:version|v) ?{v}
-bsd-{v}-clause | bsd | 0.95 | bsd {v} clause(?: license)?
-bsd-{v}-clause | clause | 0.95 | {v} clause bsd(?: license)?
-upl-{v}.0 | universal | 0.95 | universal permissive license (?:version|v) ?{v}(?: 0)?
+ms-pl-{v} | microsoft public | 0.9 | microsoft public license (?:version|v) ?{v}
+bsd-{v}-clause | bsd {v} clause | 0.95 | bsd {v} clause(?: license)?
+bsd-{v}-clause | {v} clause bsd | 0.95 | {v} clause bsd(?: license)?
+upl-{v}.0 | universal permissive | 0.95 | universal permissive license (?:version|v) ?{v}(?: 0)?
 
 [names without version]
-apache | apache | 0.8 | apache software license
-apache | apache | 0.75 | apache licensed?
-mpl | mozilla | 0.8 | mozilla public licen[cs]e
-epl | eclipse | 0.8 | eclipse public licen[cs]e
-cddl | distribution | 0.8 | common development and distribution licen[cs]e
-cpl | common | 0.8 | common public license
-eupl | european | 0.8 | european union public licen[cs]e
-afl | academic | 0.8 | academic free licen[cs]e
-osl | open | 0.7 | open software licen[cs]e
-artistic | artistic | 0.8 | (?:perl )?artistic licen[cs]e
-psf | python | 0.8 | python (?:software foundation )?licen[cs]e
-lppl | latex | 0.8 | latex project public licen[cs]e
-ofl | font | 0.8 | open font licen[cs]e
-odbl | database | 0.8 | open database licen[cs]e
-odc-by | commons | 0.8 | open data commons attribution licen[cs]e
-pddl | commons | 0.8 | public domain dedication and licen[cs]e
+apache | _apache_ | 0.8 | apache software license
+apache | _apache_ | 0.75 | apache licensed?
+mpl | mozilla public licen | 0.8 | mozilla public licen[cs]e
+epl | eclipse public licen | 0.8 | eclipse public licen[cs]e
+cddl | distribution licen | 0.8 | common development and distribution licen[cs]e
+cpl | common public license | 0.8 | common public license
+eupl | european union public | 0.8 | european union public licen[cs]e
+afl | academic free | 0.8 | academic free licen[cs]e
+osl | open software licen | 0.7 | open software licen[cs]e
+artistic | artistic licen | 0.8 | (?:perl )?artistic licen[cs]e
+psf | _python_ | 0.8 | python (?:software foundation )?licen[cs]e
+lppl | latex project | 0.8 | latex project public licen[cs]e
+ofl | open font licen | 0.8 | open font licen[cs]e
+odbl | database licen | 0.8 | open database licen[cs]e
+odc-by | data commons | 0.8 | open data commons attribution licen[cs]e
+pddl | public domain dedication | 0.8 | public domain dedication and licen[cs]e
 cecill | cecill | 0.7 | cecill
-ms-pl | microsoft | 0.8 | microsoft public licen[cs]e
-ms-rl | reciprocal | 0.8 | microsoft reciprocal licen[cs]e
-boost | boost | 0.8 | boost software licen[cs]e
-isc | isc | 0.8 | isc licen[cs]e
-zlib | zlib | 0.8 | zlib(?: libpng)? licen[cs]e
-libpng | libpng | 0.8 | libpng licen[cs]e
-x11 | x11 | 0.8 | x11 licen[cs]e
-mit-expat | expat | 0.8 | expat licen[cs]e
-bsd | bsd | 0.8 | (?:new |modified |revised |simplified |original |free)?bsd (?:style )?licen[cs]ed?
+ms-pl | microsoft public | 0.8 | microsoft public licen[cs]e
+ms-rl | reciprocal licen | 0.8 | microsoft reciprocal licen[cs]e
+boost | boost software | 0.8 | boost software licen[cs]e
+isc | isc licen | 0.8 | isc licen[cs]e
+zlib | _zlib_ | 0.8 | zlib(?: libpng)? licen[cs]e
+libpng | libpng licen | 0.8 | libpng licen[cs]e
+x11 | x11 licen | 0.8 | x11 licen[cs]e
+mit-expat | expat licen | 0.8 | expat licen[cs]e
+bsd | bsd_ | 0.8 | (?:new |modified |revised |simplified |original )?bsd (?:style )?licen[cs]ed?
 unlicense | unlicense | 0.8 | (?:the )?unlicense
 wtfpl | wtfpl | 0.8 | wtfpl
-openssl | openssl | 0.8 | openssl licen[cs]e
-php | php | 0.8 | php licen[cs]e
-ruby | ruby | 0.8 | ruby licen[cs]e
-postgresql | postgresql | 0.8 | postgresql licen[cs]e
-sspl | server | 0.8 | server side public licen[cs]e
-busl | business | 0.8 | business source licen[cs]e
-elastic | elastic | 0.8 | elastic licen[cs]e
-openrail | openrail | 0.7 | (?:creativeml )?open ?rail(?: [ms])?
-llama | llama | 0.8 | llama (?:[0-9] )*community licen[cs]e
-opl | publication | 0.8 | open publication licen[cs]e
-fal | art | 0.8 | free art licen[cs]e
-ogl | government | 0.8 | open government licen[cs]e
+openssl | openssl licen | 0.8 | openssl licen[cs]e
+php | php licen | 0.8 | php licen[cs]e
+ruby | ruby licen | 0.8 | ruby licen[cs]e
+postgresql | postgresql licen | 0.8 | postgresql licen[cs]e
+sspl | server side public | 0.8 | server side public licen[cs]e
+busl | business source | 0.8 | business source licen[cs]e
+elastic | elastic licen | 0.8 | elastic licen[cs]e
+openrail | open rail | 0.7 | (?:creativeml )?open rail(?: [ms])?
+openrail | openrail | 0.7 | (?:creativeml )?openrail(?: [ms])?
+llama | community licen | 0.8 | llama (?:[0-9] )*community licen[cs]e
+opl | open publication | 0.8 | open publication licen[cs]e
+fal | free art licen | 0.8 | free art licen[cs]e
+ogl | open government | 0.8 | open government licen[cs]e
 
 [grants by name]
-mit | mit | 0.95 | (?:released|licensed|distributed|available|published|covered) under (?:the )?(?:terms of )?(?:the )?mit licen[cs]e
-mit | mit | 0.9 | mit licensed?
-public-domain | domain | 0.9 | (?:released|placed|dedicated|put) (?:in|into|to) the public domain
-public-domain | domain | 0.6 | public domain
-proprietary | rights | 0.8 | all rights reserved
+mit | mit licen | 0.95 | (?:released|licensed|distributed|available|published|covered) under (?:the )?(?:terms of )?(?:the )?mit licen[cs]e
+mit | mit licen | 0.9 | mit licensed?
+public-domain | public domain | 0.9 | (?:released|placed|dedicated|put) (?:in|into|to) the public domain
+public-domain | public domain | 0.6 | public domain
+proprietary | rights reserved | 0.8 | all rights reserved
 proprietary | proprietary | 0.7 | proprietary (?:and confidential|licen[cs]e|software)
-non-commercial | commercial | 0.6 | (?:for )?non ?commercial use(?: only)?
-research-only | research | 0.6 | (?:for )?research (?:use|purposes) only
-no-redistribution | redistribute | 0.6 | (?:do|may|must) not redistribute
+non-commercial | commercial use | 0.6 | (?:for )?non ?commercial use(?: only)?
+research-only | _research_ | 0.6 | (?:for )?research (?:use|purposes) only
+no-redistribution | not redistribute | 0.6 | (?:do|may|must) not redistribute
 copyleft | copyleft | 0.5 | copyleft
 copyright-notice | copyright | 0.4 | copyright (?:c |© )?[0-9]{4}
-open-source | source | 0.3 | open source licen[cs]e
-license-unknown | licensed | 0.3 | licen[cs]ed under(?: the)?(?: terms of)?(?: the)? [^ ]+
-license-unknown | license | 0.2 | licen[cs]e agreement
+open-source | open source licen | 0.3 | open source licen[cs]e
+license-unknown | licensed under | 0.3 | licensed under(?: the)?+(?: terms of)?+(?: the)?+ [a-z0-9]+
+license-unknown | license agreement | 0.2 | license agreement
+license-unknown | licence agreement | 0.2 | licence agreement
 """
 
 _VERSIONS = ("1", "2", "3", "4")
@@ -230,7 +235,7 @@ def rules() -> list[tuple[str, str, float, str]]:
             label, keyword, weight, pattern = (x.strip() for x in line.split(" | "))
             for v in versions if "{v}" in line else ("",):
                 put = lambda x, v=v: x.replace("{v}", v)
-                found.append((put(label), put(keyword), float(weight), f"(?<= )(?:{put(pattern)})(?= )"))
+                found.append((put(label), put(keyword).replace("_", " "), float(weight), f"(?<= )(?:{put(pattern)})(?= )"))
     return found
 
 
@@ -261,8 +266,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs`` (doc_id, text)."""
     at = docs.select("doc_id", normalised(F.col("text")).alias("_t"))
     keywords = sorted({r[1] for r in rules()})
-    held = F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?<= )({'|'.join(keywords)})(?= )"), F.lit(1)))
-    gate = F.col("_t").rlike(f" (?:{'|'.join(keywords)}) ")
+    held = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_t"), k))
+    gate = F.col("_t").rlike("|".join(keywords))
     at = at.select("*", (_spaces(F.col("_t")) - 1).cast("long").alias("_n"), F.when(gate, held).alias("_k"))
     at = at.select("*", F.when(F.size("_k") > 0, _detections(F.col("_k"))).alias("_d"))
     counts, firsts, lasts, labels = [], [], [], []
