@@ -32,7 +32,7 @@ def brute(rows):
         rate = {h: (sum(f[rule] for f in fs), len(fs)) for h, fs in hosts.items()}
         mean = sum(f for f, _ in rate.values()) / total if total else 0
         spread = sum(n * (f / n - mean) ** 2 for f, n in rate.values()) / total if total else 0
-        weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+        weight = min(max(mean * (1 - mean) / spread - 1, 5.0), 1e6) if spread > 0 else 1e6
         bad |= {h for h, (f, n) in rate.items() if (f + mean * weight) / (n + weight) > 0.5}
     out = []
     for doc, host, m in judged:

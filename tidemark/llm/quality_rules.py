@@ -19,7 +19,7 @@ from tidemark.llm.common import WORD, written
 
 LIMIT = 0.5
 #: Bounds on the prior's weight, in documents.
-LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e6
+LEAST_WEIGHT, MOST_WEIGHT = 5.0, 1e6
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rule: SQL condition under which a document fails it. The first two are the base rules.
