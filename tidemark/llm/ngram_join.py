@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, distinct_sorted, flat, lowered, mix, pieces, release, span_hash, stable_order, table, words, written
 from tidemark.llm.components import components
-from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, plan_bytes, reduce_buckets
+from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, text_bytes, reduce_buckets
 
 SHINGLE = 5
 #: The similarity as a fraction.
@@ -353,7 +353,7 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, sid, component): one row a document of ``docs`` (doc_id, text); sid and component are classes."""
     docs = docs.select("doc_id", "text")
-    size = plan_bytes(docs)
+    size = text_bytes(docs)
     slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << max(0, int(np.ceil(np.log2(size / 4096 + 1))))))
     with Scratch(docs.sparkSession) as tables:
         profile = tables(_profile(docs, slots))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import flat, longs, mix, pieces, span_hash, table, words, written
-from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, plan_bytes, reduce_buckets
+from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, text_bytes, reduce_buckets
 
 WINDOW = 20
 #: Tokens on either side of a mark that it can depend on; see the module's text.
@@ -257,7 +257,7 @@ def _by_doc(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, runs): the windows that also start earlier, as little-endian uint32 pairs of first word and count."""
     texts = docs.select("doc_id", "text")
-    buckets = max(8, round(plan_bytes(texts) * PACKED_RATIO / BUCKET_BYTES))
+    buckets = max(8, round(text_bytes(texts) * PACKED_RATIO / BUCKET_BYTES))
     lost = reduce_buckets(texts.mapInArrow(_map(buckets), SCHEMA), buckets, partial(_settle, buckets=buckets), SCHEMA)
     return reduce_buckets(lost, buckets, _by_doc, "doc_id long, runs binary")
 
