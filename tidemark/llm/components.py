@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, written
+from tidemark.llm.common import Scratch, release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,6 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Callable[[Dat
         was = state(edges)
         while True:
             edges = tables(_star(_star(edges, True), False))
+            release(edges.sparkSession)
             now = state(edges)
             if now == was:
                 break

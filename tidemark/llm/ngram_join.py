@@ -16,8 +16,9 @@ one. Documents with equal sets are one *class*, known by 64 bits of the set. Two
    different components go on. The last round takes all pairs of different components that share a shingle there and pass
    the length and positional filters. So thousands of near copies cost a few comparisons each instead of all their pairs,
    and no link that could change a component is missed.
-   The suffix filter works on candidates of every round before a text is touched: of 256 hashed cells, those in which the
-   two sets have numbers of different parity bound their symmetric difference from below.
+   The suffix filter works on candidates of every round before a text is touched: of hashed cells, those in which the two
+   sets have numbers of different parity bound their symmetric difference from below. 256 cells go with the rows, and as many
+   as the set is large with the pairs.
 4. A candidate pair is verified once, by intersecting the sets exactly.
 
 Defined cases: null text or no words: no set, linked with nothing, component is the own doc_id; null doc_id: takes part in
@@ -40,7 +41,7 @@ from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, text_bytes, r
 SHINGLE = 5
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Bounds on the slots of the frequency table (4 bytes each when broadcast).
 MIN_SLOTS, MAX_SLOTS = 1 << 17, 1 << 23
 #: A shingle's rows skip the buckets if its slot counts this many and four times the mean.
@@ -49,7 +50,9 @@ HOT = 4096
 PACKED_RATIO = 1.4
 _SKETCH = ("p0", "p1", "p2", "p3")
 #: Classes of a shingle up to which all its pairs are candidates right away, without rounds.
-PAIRED = 16
+PAIRED = 48
+#: Pairs that are looked at together.
+PAIRS_AT_ONCE = 500_000
 _U = np.uint64
 _ROW = np.dtype([("key", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
@@ -82,6 +85,23 @@ def _sketches(rows: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
     return list(np.ascontiguousarray(packed).view(np.int64).T)
 
 
+def _fine_sketches(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The same with as many cells as a power of two from the set's size on, packed; halves of one fold into a coarser one."""
+    ends = np.cumsum(sizes)
+    out = []
+    for a, b in zip(ends - sizes, ends, strict=True):
+        bits = max(8, int(b - a - 1).bit_length())
+        cell = (hashes[a:b] & _U((1 << bits) - 1)).astype(np.int64)
+        out.append(np.packbits(np.bincount(cell, minlength=1 << bits).astype(np.uint8) & 1).tobytes())
+    return out
+
+
+def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def _ceil(a, b):
     return -(-a // b)
 
@@ -99,12 +119,13 @@ def _profile(docs: DataFrame, slots: int) -> DataFrame:
             np.add(seen, np.bincount((hashes & _U(slots - 1)).astype(np.int64), minlength=slots), out=seen)
             sid = _set_ids(rows, hashes, sizes)
             sketch = dict(zip(_SKETCH, _sketches(rows, hashes, len(sizes)), strict=True))
-            yield table(slot=pa.nulls(len(sizes), pa.int32()), doc_id=piece.column("doc_id").cast(pa.int64()), sid=pa.array(sid, mask=sizes == 0), n=sizes, **sketch)
+            fine = pa.array(_fine_sketches(rows, hashes, sizes), pa.binary())
+            yield table(slot=pa.nulls(len(sizes), pa.int32()), doc_id=piece.column("doc_id").cast(pa.int64()), sid=pa.array(sid, mask=sizes == 0), n=sizes, **sketch, fine=fine)
         at = np.flatnonzero(seen)
         none = pa.nulls(len(at), pa.int64())
-        yield table(slot=at.astype(np.int32), doc_id=none, sid=none, n=seen[at], **dict.fromkeys(_SKETCH, none))
+        yield table(slot=at.astype(np.int32), doc_id=none, sid=none, n=seen[at], **dict.fromkeys(_SKETCH, none), fine=pa.nulls(len(at), pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slot int, doc_id long, sid long, n long, " + ", ".join(f"{x} long" for x in _SKETCH))
+    return docs.select("doc_id", "text").mapInArrow(run, "slot int, doc_id long, sid long, n long, " + ", ".join(f"{x} long" for x in _SKETCH) + ", fine binary")
 
 
 # ------------------------------------------------------------------------------------------------------------ prefixes
@@ -205,10 +226,16 @@ def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(head, len(rows)))
     each = np.repeat(size, size)
     few, many = rows[(each > 1) & (each <= PAIRED)], rows[each > PAIRED]
-    x, y = _few(few, size[(size > 1) & (size <= PAIRED)])
-    if len(x):
-        pair = np.stack((few["sid"][x], few["sid"][y], few["n"][x].astype(np.int64), few["n"][y].astype(np.int64)), 1)
-        pair = np.unique(pair, axis=0)
+    sizes = size[(size > 1) & (size <= PAIRED)]
+    found, slice_ = [np.empty((0, 4), np.int64)], np.cumsum(sizes * sizes // 2) // PAIRS_AT_ONCE
+    ends = np.cumsum(sizes)
+    for at in np.unique(slice_):
+        mine = np.flatnonzero(slice_ == at)
+        part = few[ends[mine[0]] - sizes[mine[0]] : ends[mine[-1]]]
+        x, y = _few(part, sizes[mine])
+        found.append(np.unique(np.stack((part["sid"][x], part["sid"][y], part["n"][x].astype(np.int64), part["n"][y].astype(np.int64)), 1), axis=0))
+    pair = np.unique(np.concatenate(found), axis=0)
+    if len(pair):
         zero = np.zeros(len(pair), np.int64)
         yield table(key=pa.nulls(len(pair), pa.int64()), sid=pair[:, 0].copy(), n=pair[:, 2].copy(), pos=zero, lead=pair[:, 1].copy(), lead_n=pair[:, 3].copy(), lead_pos=zero)
     if not len(many):
@@ -255,6 +282,17 @@ def _may_hold(made: np.ndarray, sid: np.ndarray) -> np.ndarray:
     return held[one] & held[two]
 
 
+def _held(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` (sid first) whose sid is in ``wanted`` (sid), and a few more."""
+    known = rows.sparkSession.sparkContext.broadcast(_bloom(wanted))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_hold(known.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, text): one text for each class in ``wanted`` (sid).
 
@@ -290,15 +328,31 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("a").filter(links), piece.column("b").filter(links)], ["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Texts that no pair needs stay where they are."""
-    known = pairs.sparkSession.sparkContext.broadcast(_bloom(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))))
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fine sketches don't rule a link out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_may_hold(known.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            both = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
+            keep = []
+            for x, y, n in zip(batch.column("x"), batch.column("y"), both, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                keep.append((NUM + DEN) * apart <= (DEN - NUM) * n)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    one, two = (sketches.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(y)) for x, y in ("ax", "by"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
 
-    few = texts.mapInArrow(run, texts.schema)
+def _sids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. Texts that no pair needs stay where they are."""
+    few = _held(texts, _sids(pairs))
     with_x = pairs.join(few.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a")
     both = with_x.join(few.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_verify, "a long, b long")
@@ -367,27 +421,28 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         classes = profile.filter("slot is null").select("doc_id", "sid", F.col("n").alias("n_shingles"))
         rows = met.filter("key is not null")
         wanted = tables(met.select("sid").unionByName(met.filter("key is null").select(F.col("lead").alias("sid"))).distinct())
-        sketches = tables(profile.filter("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(*(F.min(p).alias(p) for p in _SKETCH)))
-        shared = rows.select("key", "sid", "n", "pos").join(sketches, "sid")
+        sketches = tables(_held(profile.filter("sid is not null").select("sid", "n", *_SKETCH, "fine"), wanted).join(wanted, "sid", "left_semi").groupBy("sid").agg(*(F.min(p).alias(p) for p in ("n", *_SKETCH, "fine"))))
+        shared = rows.select("key", "sid", "n", "pos").join(sketches.select("sid", *_SKETCH), "sid")
         # the buckets have paired few or chosen the first leaders of many; hot rows have theirs from Spark
         near = met.filter((F.col("lead") != F.col("sid")) & _in_reach("n", "lead_n", "pos", "lead_pos")).select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"), (F.col("n") + F.col("lead_n")).alias("both")).distinct()
         one, two = (sketches.select(F.col("sid").alias(x), *(F.col(p).alias(f"{x}_{p}") for p in _SKETCH)) for x in "ab")
         near = near.join(one, "a").join(two, "b").withColumn("zero", F.lit(0)).filter(_alike("both", "zero", "a_", "b_")).select("a", "b")
         hot = shared.join(rows.filter("lead is null").select("key").distinct(), "key", "left_semi").withColumn("component", F.col("sid"))
-        pairs = tables(near.unionByName(_star(hot, 0)).distinct())
-        need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(rows.select("sid"))
-        texts = tables(_texts_of(docs, tables(need.distinct())))
+        pairs = tables(_close(near.unionByName(_star(hot, 0)).distinct(), sketches))
+        texts = tables(_texts_of(docs, tables(_sids(pairs).distinct())))
         release(docs.sparkSession)
         tested, links = pairs, tables(_links(pairs, texts))
+        release(docs.sparkSession)
         comps = components(links, keep=tables)
         for turn in range(1, STAR_ROUNDS + 1):
             shared = tables(_open_rows(shared, comps))
             if not shared.take(1):
                 break
             last = turn == STAR_ROUNDS
-            pairs = tables((_all_pairs(shared) if last else _star(shared, turn)).join(tested, ["a", "b"], "left_anti"))
+            pairs = tables(_close((_all_pairs(shared) if last else _star(shared, turn)).join(tested, ["a", "b"], "left_anti"), sketches))
             if pairs.take(1):
-                tested, links = tested.unionByName(pairs), links.unionByName(tables(_links(pairs, texts)))
+                more = tables(_texts_of(docs, tables(_sids(pairs).distinct())))
+                tested, links = tested.unionByName(pairs), links.unionByName(tables(_links(pairs, more)))
                 comps = components(links, keep=tables)
         return written(classes.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component")))
 

@@ -55,8 +55,37 @@ def reduce_buckets(packed: DataFrame, buckets: int, run: Callable[[int, dict[int
         if held:
             yield from run(now, {k: b"".join(v) for k, v in held.items()})
 
-    # a few buckets to a partition, so that hashing them to partitions evens out
-    return packed.repartition(max(1, buckets // 3), "bucket").sortWithinPartitions("bucket").mapInArrow(tasks, schema)
+    to = F.col("bucket")
+    if buckets <= _SPREAD:
+        # one bucket to a partition: their numbers are stood for by integers that Spark's hash sends to different ones
+        to = F.element_at(F.array(*map(F.lit, _representatives(buckets))), to + 1)
+    return packed.repartition(buckets, to).sortWithinPartitions("bucket").mapInArrow(tasks, schema)
+
+
+#: Buckets up to which they are spread evenly; with more of them, several to a partition, hashing evens out by itself.
+_SPREAD = 4096
+
+
+def _spark_hash(x: int) -> int:
+    """Spark's hash of an integer column: Murmur3 (32 bits) with seed 42."""
+    m = (1 << 32) - 1
+    turn = lambda v, n: ((v << n) | (v >> (32 - n))) & m
+    k = turn(x * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+    h = (turn(42 ^ k, 13) * 5 + 0xE6546B64 & m) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def _representatives(buckets: int) -> list[int]:
+    """For each bucket the least integer that is hashed to the partition of its number."""
+    found: dict[int, int] = {}
+    x = 0
+    while len(found) < buckets:
+        found.setdefault(_spark_hash(x) % buckets, x)
+        x += 1
+    return [found[b] for b in range(buckets)]
 
 
 def text_bytes(df: DataFrame) -> int:
