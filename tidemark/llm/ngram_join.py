@@ -50,7 +50,7 @@ HOT = 4096
 PACKED_RATIO = 1.4
 _SKETCH = ("p0", "p1", "p2", "p3")
 #: Classes of a shingle up to which all its pairs are candidates right away, without rounds.
-PAIRED = 48
+PAIRED = 16
 #: Pairs that are looked at together.
 PAIRS_AT_ONCE = 500_000
 _U = np.uint64
