@@ -24,7 +24,8 @@ def corpus():
 
 def test_stages(spark, tmp_path):
     rows, labels, items = corpus()
-    frame(spark, rows + odd()).write.parquet(str(tmp_path / "documents.parquet"))
+    strange = [(None if d is None else d + 1000, *r) for d, *r in odd()]
+    frame(spark, rows + strange).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
