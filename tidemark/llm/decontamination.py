@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PUNCTUATION, flat, longs, lowered, mix, pieces, span_hash, table, words
+from tidemark.llm.common import PUNCTUATION, flat, longs, lowered, mix, pieces, span_hash, table, words, written
 
 #: Edits for each word of an item: one in five.
 EDITS = 5
@@ -234,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, repeats: int = REPEATS) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """The rows of ``docs`` that contain no item. Rows without doc_id are told apart by their words."""
-    leaks = find_leaks(docs, benchmark, repeats).select(F.col("doc_id").alias("_leak"), F.col("row_hash").alias("_words")).distinct()
+    leaks = written(find_leaks(docs, benchmark, repeats).select(F.col("doc_id").alias("_leak"), F.col("row_hash").alias("_words")).distinct())
     marked = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at, text = (F.col(f"c{docs.columns.index(x)}") for x in ("doc_id", "text"))
     with_id = marked.filter(at.isNotNull()).join(leaks.filter("_leak is not null").select("_leak").distinct(), at == F.col("_leak"), "left_anti")

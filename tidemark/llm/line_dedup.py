@@ -215,7 +215,8 @@ def _rewritten(docs: DataFrame, lost: DataFrame, min_chars: int, digest: bool) -
     """Each row with its kept lines: as a digest (doc_id, n_lines, n_dropped, kept_sha256), or with text rewritten."""
     names = docs.columns
     at, with_text = names.index("doc_id"), names.index("text")
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), "drop")
+    # merged whatever its size: it grows with the corpus, and a job should not change its shape as it does
+    lost = lost.select(F.col("doc_id").alias("_lost_id"), "drop").hint("merge")
     renamed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     joined = renamed.join(lost, F.col(f"c{at}") == F.col("_lost_id"), "left").drop("_lost_id")
 

@@ -269,7 +269,8 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     names = docs.columns
     at, with_text = names.index("doc_id"), names.index("text")
-    found = written(repeated_windows(docs)).withColumnRenamed("doc_id", "_of")
+    # merged whatever its size: it grows with the corpus, and a job should not change its shape as it does
+    found = written(repeated_windows(docs)).withColumnRenamed("doc_id", "_of").hint("merge")
     renamed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     joined = renamed.join(found, F.col(f"c{at}") == F.col("_of"), "left").drop("_of")
 
