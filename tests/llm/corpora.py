@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with those that operators use inside.
 CLASHING = {"hi": "1", "lo": "2", "drop": "'x'", "runs": "3", "sid": "4", "component": "5", "score": "0.5", "hash": "6", "size": "7", "bucket": "8", "k": "'k'", "c0": "9", "seq": "10"}
@@ -53,5 +55,5 @@ def frame(spark, rows, clash=False):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     if clash:
         for name, x in CLASHING.items():
-            df = df.withColumn(name, __import__("pyspark").sql.functions.expr(x))
+            df = df.withColumn(name, F.expr(x))
     return df
