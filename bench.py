@@ -13,7 +13,7 @@ import sys
 import tempfile
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import FLOAT64, value
@@ -48,7 +48,7 @@ def store_phases(spark: SparkSession) -> dict[str, float]:
     try:
         store = KvStore.open(spark, folder)
         rows = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
-        changes = rows.select(F.format_string("li:%08d:%d", "l_orderkey", "l_linenumber").alias("k"), F.row_number().over(__import__("pyspark").sql.Window.orderBy("l_orderkey")).alias("ordinal"), value(FLOAT64, F.col("l_extendedprice")).alias("v"))
+        changes = rows.select(F.format_string("li:%08d:%d", "l_orderkey", "l_linenumber").alias("k"), F.row_number().over(Window.orderBy("l_orderkey")).alias("ordinal"), value(FLOAT64, F.col("l_extendedprice")).alias("v"))
         last = time.time()
         store.append(changes)
         store.flush()
