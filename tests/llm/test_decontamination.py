@@ -70,6 +70,24 @@ def test_recall_and_precision(spark, seed):
     assert exact <= set(got)
 
 
+@pytest.mark.parametrize("size", [6, 10, 15, 25, 50, 100, 200, 500])
+def test_recall_at_every_length(spark, size):
+    rng = random.Random(size)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items, rows = [], []
+    for i in range(60):
+        item = new(size)
+        items.append((i, " ".join(item)))
+        passage = list(item)
+        for _ in range(size // 5):
+            at = rng.randrange(len(passage))
+            # a word replaced, deleted or inserted
+            passage[at : at + (i % 3 < 2)] = new(i % 3 != 1)
+        rows.append((i, " ".join(new(20) + passage + new(20)), "en", "s", 0))
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(frame(spark, rows), items_frame(spark, items)).collect()}
+    assert got <= {(i, i) for i in range(60)} and len(got) >= 0.95 * 60
+
+
 def test_odd_cases(spark, monkeypatch):
     items = [(1, None), (2, ""), (None, "één ÉÉN 日本 語"), (4, "x"), (5, "a b a b a b"), (5, "a b a b a b"), (6, "long " * 500)]
     rows = odd() + [(7, "word " * 5 + "long " * 500, "en", "s", 0)]

@@ -4,12 +4,14 @@ An item of m words (letters, digits and non-ASCII characters, A-Z lowered) is co
 within ``m // 5`` word edits of it. The random walk of Chakraborty, Goldenberg and Koucky copies a word sequence into a
 longer one, advancing at each step by a random bit that depends on the step and the word, so that sequences k edits apart
 become embeddings that differ in few positions. Each repetition draws a walk and a few positions; windows and items that
-agree in those positions of their embeddings are candidates, and the repetitions make up for walks that went apart.
+agree in those positions of their embeddings are candidates, and the repetitions make up for walks that went apart. Walks
+go apart the further the longer they are, so items of more than ``SEGMENT`` words are embedded in overlapping segments, any
+one of which makes a candidate.
 
-Windows have the length of an item and start where they can matter: of an item cut into ``m // 5 + 1`` blocks at least one
+Windows have the length of a segment and start where they can matter: of an item cut into ``m // 5 + 1`` blocks at least one
 stands unchanged in any passage within ``m // 5`` edits, so a window is laid wherever a block of some item occurs, at the
-place where the item would begin. That costs no recall and spares embedding the rest of the corpus. A candidate is then
-verified by the exact edit distance between the item and the best passage around the window.
+place where the block's segment would begin. That costs no recall and spares embedding the rest of the corpus. A candidate
+is then verified by the exact edit distance between the whole item and the best passage around the window.
 
 Defined cases: null or wordless texts and items match nothing; items under five words must occur exactly; repeated rows and
 items are each reported; a null doc_id or item_id is reported as null.
@@ -29,8 +31,11 @@ from tidemark.llm.common import PUNCTUATION, flat, longs, lowered, mix, pieces,
 
 #: Edits for each word of an item: one in five.
 EDITS = 5
-#: Walks, and positions compared in each. REPEATS follows from the target: see ``repeats_for``.
-SAMPLED, TARGET, AGREE = 3, 0.98, 0.6
+#: Positions compared in each walk, and what REPEATS follows from (see ``repeats_for``): AGREE is such that every length
+#: measured reached TARGET at ``m // 5`` edits, deletions alone (the worst kind) included.
+SAMPLED, TARGET, AGREE = 3, 0.98, 0.49
+#: Words of an item that are embedded together.
+SEGMENT = 14
 #: Items that one pass over the documents takes; a larger benchmark takes more passes.
 BLOCK_ITEMS = 20_000
 _U = np.uint64
@@ -86,38 +91,48 @@ class _Index:
     ids: list
     tokens: list[np.ndarray]
     lengths: np.ndarray
-    #: block length: sorted hashes, and the item and offset of each
+    #: block length: sorted hashes, and of each the length of its segment and its offset from the segment's first word
     blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    #: item length: sorted keys and the items of each
-    keys: dict[int, tuple[np.ndarray, np.ndarray]]
+    #: segment length: sorted keys, and of each the item and the segment's offset in it
+    keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     repeats: int
 
 
-def build_index(ids: list, texts: list, repeats: int) -> _Index:
+def segments(m: int) -> np.ndarray:
+    """Where the segments of an item of m words begin: as many of ``SEGMENT`` words as cover it, or the item itself."""
+    return np.linspace(0, max(m - SEGMENT, 0), -(-m // SEGMENT)).astype(np.int64)
+
+
+def build_index(ids: list, texts: list, repeats: int = REPEATS) -> _Index:
     _, names, bounds = _tokens(pa.array(texts, pa.string()))
     tokens = [names[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     found: dict[int, list] = {}
+    cut: dict[int, list] = {}
     for i, t in enumerate(tokens):
         if len(t):
             edits = len(t) // EDITS
             size = len(t) // (edits + 1)
             starts = np.arange(edits + 1) * size
-            found.setdefault(size, []).append((span_hash(t, starts, starts + size), np.full(edits + 1, i), starts))
+            # a block is filed under the segment whose middle is nearest to its own
+            wide, begin = min(len(t), SEGMENT), segments(len(t))
+            near = begin[np.abs(2 * (starts[:, None] - begin) + size - wide).argmin(1)]
+            found.setdefault(size, []).append((span_hash(t, starts, starts + size), np.full(edits + 1, wide), starts - near))
+            for o in begin.tolist():
+                cut.setdefault(wide, []).append((i, o))
     blocks = {}
     for size, rows in found.items():
-        h, item, off = (np.concatenate(x) for x in zip(*rows, strict=True))
+        h, wide, off = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(h, kind="stable")
-        blocks[size] = h[order], item[order], off[order]
-    length = np.array([len(t) for t in tokens])
+        blocks[size] = h[order], wide[order], off[order]
+    lengths = np.array([len(t) for t in tokens], np.int64)
     keys = {}
-    for m in np.unique(length[length > 0]).tolist():
-        items = np.flatnonzero(length == m)
-        k = _keys(np.stack([tokens[i] for i in items]), repeats, SAMPLED)
-        item = np.repeat(items, k.shape[1])
+    for wide, at in cut.items():
+        k = _keys(np.stack([tokens[i][o : o + wide] for i, o in at]), repeats, SAMPLED)
+        item, off = np.repeat(np.array(at), k.shape[1], 0).T
         k = k.ravel()
         order = np.argsort(k, kind="stable")
-        keys[m] = k[order], item[order]
-    return _Index(ids, tokens, length, blocks, keys, repeats)
+        keys[wide] = k[order], item[order], off[order]
+    return _Index(ids, tokens, lengths, blocks, keys, repeats)
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +143,10 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(row: np.ndarray, name: np.ndarray, index: _Index) -> np.ndarray:
-    """Distinct (row, start, length): where an item of that length would begin, wherever one of its blocks occurs."""
+    """Distinct (row, start, length): where a segment of that length would begin, wherever one of its item's blocks occurs."""
     found = [np.empty((0, 3), np.int64)]
     low = _U((1 << 20) - 1)
-    for size, (hashes, item, off) in index.blocks.items():
+    for size, (hashes, wide, off) in index.blocks.items():
         if len(name) < size:
             continue
         start = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :])
@@ -141,7 +156,7 @@ def _places(row: np.ndarray, name: np.ndarray, index: _Index) -> np.ndarray:
         hit = np.flatnonzero(may[(h & low).astype(np.int64)])
         i, j = _expand(np.searchsorted(hashes, h[hit]), np.searchsorted(hashes, h[hit], "right"))
         at = start[hit[i]]
-        found.append(np.stack((row[at], at - off[j], index.lengths[item[j]]), 1))
+        found.append(np.stack((row[at], at - off[j], wide[j]), 1))
     return np.unique(np.concatenate(found), axis=0)
 
 
@@ -174,23 +189,34 @@ def _search(piece: pa.RecordBatch, index: _Index) -> Iterator[pa.RecordBatch]:
 
 def _matches(places: np.ndarray, m: int, name: np.ndarray, bounds: np.ndarray, ids: np.ndarray, null: np.ndarray, index: _Index) -> Iterator[pa.RecordBatch]:
     row, at = places[:, 0], places[:, 1]
-    lo, hi, slack = bounds[row], bounds[row + 1], m // EDITS
-    keys, items = index.keys[m]
-    mine = _keys(_cut(name, at, m, lo, hi), index.repeats, SAMPLED).ravel()
+    keys, items, offsets = index.keys[m]
+    mine = _keys(_cut(name, at, m, bounds[row], bounds[row + 1]), index.repeats, SAMPLED).ravel()
     w, j = _expand(np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right"))
-    pairs = np.unique(np.stack((w // index.repeats, items[j]), 1), axis=0)
-    for i in np.unique(pairs[:, 1]).tolist():
-        w = pairs[pairs[:, 1] == i, 0]
-        around = _cut(name, at[w] - slack, m + 2 * slack, lo[w], hi[w])
-        distance, end = edit_distance(index.tokens[i], around)
-        good = distance <= slack
-        w, distance, end = w[good], distance[good], end[good]
-        if len(w):
-            r = row[w]
-            yield table(
-                doc_id=pa.array(ids[r], mask=null[r]), item_id=pa.array([index.ids[i]] * len(w), pa.int64()), distance=distance,
-                last_word=at[w] - slack + end - 1 - lo[w], item_words=np.full(len(w), m), row_hash=span_hash(name, bounds[r], bounds[r + 1]).view(np.int64),
-            )
+    w //= index.repeats
+    length = index.lengths[items[j]]
+    # beginnings of one item less than its allowed edits apart are verified together
+    step = np.maximum(length // EDITS, 1)
+    pairs = np.unique(np.stack((items[j], row[w], (at[w] - offsets[j]) // step * step), 1), axis=0)
+    for i, begin, end in zip(*_runs(pairs[:, 0]), strict=True):
+        size, slack = len(index.tokens[i]), len(index.tokens[i]) // EDITS
+        width = size + 2 * slack + max(slack, 1) - 1
+        some = max(1, 2_000_000 // width)
+        for a in range(begin, end, some):
+            r, start = pairs[a : min(a + some, end), 1:].T
+            distance, last = edit_distance(index.tokens[i], _cut(name, start - slack, width, bounds[r], bounds[r + 1]))
+            good = distance <= slack
+            r, start, distance, last = r[good], start[good], distance[good], last[good]
+            if len(r):
+                yield table(
+                    doc_id=pa.array(ids[r], mask=null[r]), item_id=pa.array([index.ids[i]] * len(r), pa.int64()), distance=distance,
+                    last_word=start - slack + last - 1 - bounds[r], item_words=np.full(len(r), size), row_hash=span_hash(name, bounds[r], bounds[r + 1]).view(np.int64),
+                )
+
+
+def _runs(x: np.ndarray) -> tuple[list, list, list]:
+    """Value, begin and end of each run of equal values."""
+    begin = np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return x[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(x)][: len(begin)]
 
 
 def _cut(name: np.ndarray, start: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
