@@ -30,6 +30,22 @@ def test_rules_are_mined_and_pruned(spark):
     assert got[3][:3] == ("casino.example.org", "/rules/3", None)
 
 
+def test_count_wanted_is_of_urls_covered_and_the_same_at_every_size(spark):
+    # 19 of 25 are bad; 15 of 20; 20 of 20; 13 of 20 and 14 of 14 don't do
+    hosts = {"aa.xa": (25, 19), "bb.xb": (20, 15), "cc.xc": (20, 20), "dd.xd": (20, 13), "ee.xe": (14, 14)}
+    for others in (0, 12_000):
+        pages = [(i, f"https://www.h{i % 3000}.example/p{i}") for i in range(others)]
+        labels = [(i, 1, 0) for i, _ in pages]
+        for host, (n, n_bad) in hosts.items():
+            for j in range(n):
+                labels.append((len(pages), int(j >= n_bad), 0))
+                pages.append((len(pages), f"https://{host}/1"))
+        asked = {len(pages) + j: host for j, host in enumerate(hosts)}
+        pages += [(i, f"https://{host}/2") for i, host in asked.items()]
+        got, _ = verdicts(spark, pages, labels)
+        assert {host: got[i][3] for i, host in asked.items()} == {"aa.xa": "block", "bb.xb": "block", "cc.xc": "block", "dd.xd": "allow", "ee.xe": "allow"}
+
+
 def test_base_rules_and_odd_urls(spark):
     urls = {
         1: ("http://WWW.example.com/en/x?y", ("www.example.com", "/en/x", "www.example.com/en/", "allow")),

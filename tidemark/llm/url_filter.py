@@ -2,8 +2,9 @@
 
 Base rules come first: each has a host and a path prefix and covers the host, its subdomains and paths that start with the
 prefix; the longest that fits decides. Where none fits, mined rules do. Spark's FP-growth finds the token combinations that
-are frequent among labelled urls (a url's label is that of the document of its number; it is bad if the document is of low
-quality or toxic); a combination becomes a rule if it covers ``MIN_ROWS`` urls and a share ``MIN_CONFIDENCE`` of them is
+are frequent among bad urls (a url's label is that of the document of its number; it is bad if the document is of low
+quality or toxic): those in as many as a rule needs at the least, a count that doesn't depend on the table's size. Their
+rows among all labelled urls are then counted exactly; a combination becomes a rule if it covers ``MIN_ROWS`` urls and a share ``MIN_CONFIDENCE`` of them is
 bad, by the lower end of a Wilson interval so that few urls don't convince. Rules that a subset of their tokens already
 makes are pruned. Matching is by inverted index: each rule is filed under its rarest token, a url's tokens are looked up
 there by an equi-join, and a rule found so fits if all its tokens are in the url.
@@ -14,6 +15,8 @@ repeated rows are judged one by one; without labels there are no mined rules; la
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +34,6 @@ BASE_RULES = (
 #: Urls a mined rule covers at least, and the least share of them that is bad (lower bound).
 MIN_ROWS, MIN_CONFIDENCE = 20, 0.5
 MAX_TOKENS = 3
-#: FP-growth looks at combinations that this share of labelled urls has, or MIN_ROWS urls if that is more.
-MIN_SUPPORT = 0.002
-BAD = "label=bad"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -67,29 +67,40 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(kinds, lambda x: ~x.endswith("=")))
 
 
+def lower_bound(n_bad, n, sqrt=math.sqrt):
+    """Lower end of the Wilson interval of the share n_bad / n."""
+    z, p = 1.64, n_bad / n
+    return (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def least_bad(min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> int:
+    """The bad urls that any rule has at least: those that convince among ``min_rows``, as more rows need more."""
+    return next((b for b in range(1, min_rows) if lower_bound(b, min_rows) >= min_confidence), min_rows)
+
+
 def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, n, n_bad, key): combinations that are bad, from (tokens, bad); key is the least frequent token."""
-    rows = labelled.count()
+    bad, least = labelled.filter("bad").select("tokens"), least_bad(min_rows, min_confidence)
+    rows = bad.count()
     spark = labelled.sparkSession
-    if not rows:
+    if rows < least:
         return spark.createDataFrame([], "tokens array<string>, n long, n_bad long, key string")
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     # a support just below the wanted count, so that rounding up inside never asks for one row more
-    support = min(1.0, max(MIN_SUPPORT, (min_rows - 0.5) / rows))
-    sets = written(FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(baskets).freqItemsets.filter(F.size("items") <= MAX_TOKENS + 1).select(F.array_sort("items").alias("items"), F.col("freq").alias("freq")))
-    bad = sets.filter(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n_bad")).filter(F.size("tokens") > 0)
-    every = sets.filter(~F.array_contains("items", BAD)).select(F.col("items").alias("tokens"), F.col("freq").alias("n"))
-    z, p, n = 1.64, F.col("n_bad") / F.col("n"), F.col("n")
-    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    good = written(bad.join(every, "tokens").filter(low >= min_confidence))
+    found = FPGrowth(itemsCol="tokens", minSupport=(least - 0.5) / rows, minConfidence=1.0).fit(bad).freqItemsets
+    sets = written(found.filter(F.size("items") <= MAX_TOKENS).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")))
+    distinct = written(labelled.groupBy("tokens").agg(F.count("*").alias("rows")))
+    filed = distinct.select("tokens", "rows", F.explode("tokens").alias("key"))
+    often = filed.groupBy("key").agg(F.sum("rows").alias("often"))
+    keyed = sets.select("*", F.explode("tokens").alias("key")).join(often, "key").groupBy("tokens", "n_bad").agg(F.min(F.struct("often", "key")).alias("least"))
+    keyed = keyed.select(F.col("tokens").alias("needs"), "n_bad", F.col("least.key").alias("key"))
+    every = filed.join(keyed, "key").filter(F.size(F.array_except("needs", "tokens")) == 0).groupBy(F.col("needs").alias("tokens"), "n_bad", "key").agg(F.sum("rows").alias("n"))
+    good = written(every.filter((F.col("n") >= min_rows) & (lower_bound(F.col("n_bad"), F.col("n"), F.sqrt) >= min_confidence)))
     # a rule that a smaller one implies adds nothing; subsets are few, as rules have MAX_TOKENS tokens at most
     subsets = good.select("tokens", F.posexplode("tokens").alias("i", "without")).select("tokens", F.array_remove("tokens", F.col("without")).alias("sub"))
     deeper = subsets.select("tokens", F.explode("sub").alias("without"), "sub").select("tokens", F.array_remove("sub", F.col("without")).alias("sub"))
     implied = subsets.select("tokens", "sub").unionByName(deeper).filter(F.size("sub") > 0).join(good.select(F.col("tokens").alias("sub")), "sub").select("tokens").distinct()
     kept = good.join(implied, "tokens", "left_anti")
-    single = sets.filter((F.size("items") == 1) & ~F.array_contains("items", BAD)).select(F.get("items", F.lit(0)).alias("key"), F.col("freq").alias("often"))
-    keyed = kept.select("*", F.explode("tokens").alias("key")).join(single, "key").groupBy("tokens", "n", "n_bad").agg(F.min(F.struct("often", "key")).alias("least"))
-    return keyed.select("tokens", "n", "n_bad", F.col("least.key").alias("key"))
+    return kept.select("tokens", "n", "n_bad", "key")
 
 
 def match(pages: DataFrame, mined: DataFrame) -> DataFrame:
