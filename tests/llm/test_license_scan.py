@@ -70,3 +70,9 @@ def test_rules(spark):
         # without what is optional or one of several, the pattern still has the keyword
         needed = re.sub(r"\(\?:[^()]*\)\??", " ", pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )"))
         assert keyword.strip() in re.sub(r"\[cs\](?!\?)", "", needed) or keyword.strip() in needed, (keyword, needed)
+
+
+def test_names_in_any_script_and_spellings(spark):
+    texts = ["licensed under égalité", "Licenced under the Foo terms", "Licenced under the terms of 日本", "FreeBSD License", "a freebsd style licence", "licensed under the MIT License", "licensed under"]
+    got = {r["doc_id"]: r["labels"] for r in scan(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == ["license-unknown"] * 3 + ["bsd"] * 2 + ["mit", ""]

@@ -186,7 +186,7 @@ zlib | _zlib_ | 0.8 | zlib(?: libpng)? licen[cs]e
 libpng | libpng licen | 0.8 | libpng licen[cs]e
 x11 | x11 licen | 0.8 | x11 licen[cs]e
 mit-expat | expat licen | 0.8 | expat licen[cs]e
-bsd | bsd_ | 0.8 | (?:new |modified |revised |simplified |original )?bsd (?:style )?licen[cs]ed?
+bsd | bsd_ | 0.8 | (?:new |modified |revised |simplified |original |free)?bsd (?:style )?licen[cs]ed?
 unlicense | unlicense | 0.8 | (?:the )?unlicense
 wtfpl | wtfpl | 0.8 | wtfpl
 openssl | openssl licen | 0.8 | openssl licen[cs]e
@@ -216,7 +216,8 @@ no-redistribution | not redistribute | 0.6 | (?:do|may|must) not redistribute
 copyleft | copyleft | 0.5 | copyleft
 copyright-notice | copyright | 0.4 | copyright (?:c |© )?[0-9]{4}
 open-source | open source licen | 0.3 | open source licen[cs]e
-license-unknown | licensed under | 0.3 | licensed under(?: the)?+(?: terms of)?+(?: the)?+ [a-z0-9]+
+license-unknown | licensed under | 0.3 | licensed under(?: the)?+(?: terms of)?+(?: the)?+ [^ \x01]+
+license-unknown | licenced under | 0.3 | licenced under(?: the)?+(?: terms of)?+(?: the)?+ [^ \x01]+
 license-unknown | license agreement | 0.2 | license agreement
 license-unknown | licence agreement | 0.2 | licence agreement
 """
