@@ -36,6 +36,51 @@ def repeats(seed):
     return [(i, " ".join([sentence(rng, rng.randrange(25)), *rng.choices(shared, k=rng.randrange(1, 4)), sentence(rng, rng.randrange(25))]), "en", "s", 0) for i in range(80)]
 
 
+def repeated_rows(seed):
+    """Short rows that stand two or three times, and different texts under one doc_id, with passages in common."""
+    rng = random.Random(seed)
+    shared = [sentence(rng, n) for n in (10, 14, 20, 25, 40)]
+    rows = []
+    for i in range(60):
+        text = " ".join([sentence(rng, rng.randrange(12)), rng.choice(shared), sentence(rng, rng.randrange(12))])
+        rows += [(i // 2 if i % 3 else i, text, "en", "s", 0)] * rng.choice((1, 1, 2, 3))
+    return rows + [(200 + n, sentence(random.Random(n), n), "en", "s", 0) for n in range(20, 41) for _ in range(2)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_and_ids(spark, seed, parts):
+    rows = repeated_rows(seed)
+    docs = frame(spark, rows).coalesce(1) if parts == 1 else frame(spark, rows)
+    assert sorted((tuple(r) for r in dedup_substrings(docs, digest=True).collect()), key=str) == brute(rows)
+
+
+def test_one_id_with_two_texts_loses_only_what_repeats(spark):
+    a, b = sentence(random.Random(1), 60), sentence(random.Random(2), 60)
+    rows = [(1, b, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0)]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in dedup_substrings(frame(spark, rows).coalesce(1), digest=True).collect())
+    assert got == [(1, 0), (5, 0), (5, 60)]
+
+
+def test_common_names_give_the_same(spark, monkeypatch):
+    """A phrase in ever new surroundings, with its windows spread, in small blocks."""
+    import tidemark.llm.substring_dedup as module
+
+    monkeypatch.setattr(module, "COMMON", 3)
+    monkeypatch.setattr(module, "BLOCK_BYTES", 2000)
+    rng = random.Random(5)
+    phrase = sentence(rng, 14)
+    rows = repeats(4) + [(500 + i, f"{sentence(rng, 8)} {phrase} {sentence(rng, 8)}", "en", "s", 0) for i in range(60)] + mixed(3)
+    assert sorted((tuple(r) for r in dedup_substrings(frame(spark, rows), digest=True).collect()), key=str) == brute(rows)
+
+
+def test_texts_are_shuffled_once_for_the_digest(spark):
+    out = dedup_substrings(frame(spark, repeats(1)), digest=True)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "FlatMapGroups" not in plan
+
+
 @pytest.mark.parametrize("rows", [repeats(1), repeats(2), mixed() + odd(), odd(), []])
 def test_against_brute_force(spark, rows):
     assert sorted((tuple(r) for r in dedup_substrings(frame(spark, rows), digest=True).collect()), key=str) == brute(rows)

@@ -95,7 +95,14 @@ def text_bytes(df: DataFrame) -> int:
     from files, can be off by orders of magnitude, so there the texts are measured, and counted by half for compression.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    if "Relation [" in text and not any(x in text for x in ("Join ", "LogicalRDD", "LocalRelation", "Generate ", "Range ")):
+    if _plain(plan):
         return int(plan.stats().sizeInBytes())
     return int(df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // 2
+
+
+def _plain(node) -> bool:
+    """Whether a plan is a scan of files with projections and filters only."""
+    kind = node.getClass().getSimpleName()
+    if kind == "LogicalRelation":
+        return "HadoopFsRelation" in node.relation().getClass().getSimpleName()
+    return kind in ("Project", "Filter") and _plain(node.children().apply(0))
