@@ -1,10 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.corpora import frame, mixed, odd
-from tidemark.llm.quality_rules import judge
+from tidemark.llm.quality_rules import judge, prior
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -31,8 +32,10 @@ def brute(rows):
     for rule in range(5):
         rate = {h: (sum(f[rule] for f in fs), len(fs)) for h, fs in hosts.items()}
         mean = sum(f for f, _ in rate.values()) / total if total else 0
-        spread = sum(n * (f / n - mean) ** 2 for f, n in rate.values()) / total if total else 0
-        weight = min(max(mean * (1 - mean) / spread - 1, 5.0), 1e6) if spread > 0 else 1e6
+        spread = sum(n * (f / n - mean) ** 2 for f, n in rate.values())
+        room = total - sum(n * n for _, n in rate.values()) / max(total, 1) - (len(rate) - 1)
+        alike = (spread / (mean * (1 - mean)) - (len(rate) - 1)) / room if 0 < mean < 1 and room > 0 else 0
+        weight = min(max(1 / alike - 1, 5.0), 1e6) if alike > 0 else 1e6
         bad |= {h for h, (f, n) in rate.items() if (f + mean * weight) / (n + weight) > 0.5}
     out = []
     for doc, host, m in judged:
@@ -54,6 +57,22 @@ def test_against_brute_force(spark, rows):
     assert sorted((tuple(r) for r in judge(frame(spark, rows, clash=True)).collect()), key=str) == brute(rows)
 
 
+def test_prior_takes_sampling_off():
+    rng = np.random.default_rng(3)
+    n = 5
+    sums = lambda x: (len(x), n * len(x), n * n * len(x), int(x.sum()), float((x * x / n).sum()))
+    # hosts that all have one rate differ by chance only: none of them becomes suspect
+    same = rng.binomial(n, 0.3, 2000)
+    mean, weight = prior(*sums(same))
+    assert abs(mean - 0.3) < 0.02 and weight > 50 and (n + mean * weight) / (n + weight) < 0.5
+    # hosts drawn from a beta distribution: its weight comes out
+    drawn = rng.binomial(n, rng.beta(0.3 * 8, 0.7 * 8, 20_000))
+    mean, weight = prior(*sums(drawn))
+    assert abs(mean - 0.3) < 0.02 and abs(weight - 8) < 1
+    # one host, no failures, only failures, no rows
+    assert [prior(*x)[1] for x in [(1, 9.0, 81.0, 3, 1.0), (2, 4.0, 8.0, 0, 0.0), (2, 4.0, 8.0, 4, 4.0), (0, None, None, None, None)]] == [1e6] * 4
+
+
 def test_clean_documents_of_a_dirty_host_stay(spark):
     kept = {r["doc_id"] for r in judge(frame(spark, dirty())).filter("kept").collect()}
     assert kept == {0, 4, 8, 12, 16, 300} | {100 + i for i in range(200)}

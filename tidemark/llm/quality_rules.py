@@ -2,9 +2,10 @@
 
 Every document is measured, and a few rules are judged on the measures. For each host (here the document's source) and each
 rule the failures are summed, and the host's rate is shrunk towards the rate of all hosts by a beta prior fitted to the
-hosts' own rates (method of moments, weighted by documents), so that a host of few documents needs more evidence. A host is
-*suspect* if the shrunk rate of some rule is above ``LIMIT``. A document goes if it fails a base rule, or if its host is
-suspect and it fails any rule itself; clean documents of a suspect host stay.
+hosts' own rates (beta-binomial moments: the spread that sampling alone would give is taken off), so that a host of few
+documents needs the more evidence the less hosts really differ. A host is *suspect* if the shrunk rate of some rule is above
+``LIMIT``. A document goes if it fails a base rule, or if its host is suspect and it fails any rule itself; clean documents of
+a suspect host stay.
 
 Defined cases: a null text is empty, so it has no words and fails; a null source is a host of its own; rows that repeat a
 doc_id are judged one by one; without rows there are no hosts and no prior, and the result is empty.
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD, written
 
 LIMIT = 0.5
-#: Bounds on the prior's weight, in documents.
+#: Bounds on the prior's weight, in documents. The most stands where hosts don't differ. The least is for corpora of few hosts,
+#: where the moments say little: it keeps a host's single document from making the host suspect.
 LEAST_WEIGHT, MOST_WEIGHT = 5.0, 1e6
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -58,17 +60,36 @@ def measures(text: Column, frame: DataFrame) -> DataFrame:
 def suspects(judged: DataFrame) -> DataFrame:
     """(host, suspect) from (host, one boolean for each rule)."""
     hosts = judged.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
-    total = F.sum("n")
-    means = hosts.agg(*((F.sum(r) / total).alias(r) for r in RULES)).first()
-    spread = hosts.agg(*((F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - F.lit(means[r]), F.lit(2))) / total).alias(r) for r in RULES)).first()
+    n = F.col("n").cast("double")
+    # a few numbers, however many hosts there are
+    sums = [F.count("*").alias("hosts"), F.sum(n).alias("total"), F.sum(n * n).alias("squares")]
+    for r in RULES:
+        sums += [F.sum(r).alias(r), F.sum(F.col(r) * F.col(r) / n).alias(f"{r}_squares")]
+    found = hosts.agg(*sums).first()
     bad = F.lit(False)
     for r in RULES:
-        m, v = means[r] or 0.0, spread[r] or 0.0
-        weight = min(max(m * (1 - m) / v - 1, LEAST_WEIGHT), MOST_WEIGHT) if v > 0 else MOST_WEIGHT
-        bad = bad | ((F.col(r) + m * weight) / (F.col("n") + weight) > LIMIT)
+        mean, weight = prior(found["hosts"], found["total"], found["squares"], found[r], found[f"{r}_squares"])
+        bad = bad | ((F.col(r) + mean * weight) / (F.col("n") + weight) > LIMIT)
     return hosts.select("host", bad.alias("suspect"))
 
 
+def prior(hosts: int, total: float | None, squares: float | None, failed: int | None, failed_squares: float | None) -> tuple[float, float]:
+    """Mean and weight of a beta prior by beta-binomial moments.
+
+    Hosts of n documents that all had one rate m would still spread: the sum of n (rate - m)^2 would be m (1 - m) (hosts - 1) from
+    sampling alone. What exceeds that is the correlation of documents of one host, 1 / (weight + 1); if nothing does, hosts
+    don't differ and the prior decides. The arguments are sums over hosts: of n, n^2, failures, and failures^2 / n.
+    """
+    if not total:
+        return 0.0, MOST_WEIGHT
+    mean = failed / total
+    room = total - squares / total - (hosts - 1)
+    if not 0 < mean < 1 or room <= 0:
+        return mean, MOST_WEIGHT
+    alike = ((failed_squares - failed * failed / total) / (mean * (1 - mean)) - (hosts - 1)) / room
+    return mean, MOST_WEIGHT if alike <= 0 else min(max(1 / alike - 1, LEAST_WEIGHT), MOST_WEIGHT)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, the measures, base_failed, kept) for each row of ``docs`` (doc_id, text, source)."""
     slim = docs.select("doc_id", F.col("source").alias("host"), F.col("text").alias("_text"))
@@ -89,9 +110,9 @@ def op1_quality_rules(spark, sf_dir):
 
 
 _RULE_SQL = ", ".join(f"({x}) AS {r}" for r, x in RULES.items())
-_MEANS_SQL = ", ".join(f"sum({r}) / sum(n) AS m_{r}" for r in RULES)
-_SPREAD_SQL = ", ".join(f"sum(n * pow({r} / n - m_{r}, 2)) / sum(n) AS v_{r}" for r in RULES)
-_WEIGHT_SQL = ", ".join(f"CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, {LEAST_WEIGHT}), {MOST_WEIGHT}) ELSE {MOST_WEIGHT} END AS w_{r}" for r in RULES)
+_MEANS_SQL = ", ".join(f"sum({r}) / z.total AS m_{r}" for r in RULES)
+_ALIKE_SQL = ", ".join(f"CASE WHEN m_{r} > 0 AND m_{r} < 1 AND room > 0 THEN ((SELECT sum(n * pow({r} / n - m_{r}, 2)) FROM h) / (m_{r} * (1 - m_{r})) - (hosts - 1)) / room ELSE 0 END AS a_{r}" for r in RULES)
+_WEIGHT_SQL = ", ".join(f"CASE WHEN a_{r} > 0 THEN least(greatest(1 / a_{r} - 1, {LEAST_WEIGHT}), {MOST_WEIGHT}) ELSE {MOST_WEIGHT} END AS w_{r}" for r in RULES)
 _BAD_SQL = " OR ".join(f"({r} + m_{r} * w_{r}) / (n + w_{r}) > {LIMIT}" for r in RULES)
 
 OP1_SQL = rf"""
@@ -106,9 +127,10 @@ m AS (SELECT d.doc_id, d.source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(
       FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
 j AS (SELECT *, {_RULE_SQL} FROM m),
 h AS (SELECT source, count(*) AS n, {", ".join(f"sum(CAST({r} AS BIGINT)) AS {r}" for r in RULES)} FROM j GROUP BY source),
-p AS (SELECT {_MEANS_SQL} FROM h),
-v AS (SELECT {_SPREAD_SQL} FROM h, p),
-q AS (SELECT *, {_WEIGHT_SQL} FROM p, v),
+z AS (SELECT sum(n) AS total FROM h),
+p AS (SELECT count(*) AS hosts, z.total - sum(n * n) / z.total - (count(*) - 1) AS room, {_MEANS_SQL} FROM h, z GROUP BY z.total),
+v AS (SELECT *, {_ALIKE_SQL} FROM p),
+q AS (SELECT *, {_WEIGHT_SQL} FROM v),
 s AS (SELECT source, ({_BAD_SQL}) AS suspect FROM h, q)
 SELECT j.doc_id, {", ".join(f"j.{x}" for x in MEASURES)}, ({" OR ".join(f"j.{r}" for r in BASE)}) AS base_failed,
        NOT ({" OR ".join(f"j.{r}" for r in BASE)}) AND NOT (suspect AND ({" OR ".join(f"j.{r}" for r in RULES)})) AS kept
