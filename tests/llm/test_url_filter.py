@@ -1,6 +1,10 @@
 import random
+import re
+from itertools import combinations
 
-from tidemark.llm.url_filter import judge_urls
+import pytest
+
+from tidemark.llm.url_filter import judge_urls, lower_bound
 
 
 def rows():
@@ -16,20 +20,68 @@ def rows():
     return pages, labels
 
 
-def verdicts(spark, pages, labels):
+def verdicts(spark, pages, labels, **limits):
     p = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'x' AS tokens", "1 AS key", "2 AS bad")
-    got = judge_urls(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    p = p.selectExpr("*", "'h' AS host", "3 AS _row", "4 AS _id", "5 AS item")
+    got = judge_urls(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), **limits)
     return {r["page_id"]: tuple(r)[1:] for r in got.collect()}, got
 
 
 def test_rules_are_mined_and_pruned(spark):
     got, _ = verdicts(spark, *rows())
-    # neither of the tokens casino and win is bad by itself everywhere: the pair is
+    # neither casino nor win in a path is bad everywhere
     assert {got[i][3] for i in range(0, 400, 4)} == {"block"}
     assert {got[i][3] for i in range(400) if i % 4} == {"allow"}
     assert got[3][:3] == ("casino.example.org", "/rules/3", None)
 
 
+def parts_of(url):
+    m = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url or "")
+    host, path = m.groups() if m else ("", "")
+    words = {f"host={x}" for x in re.findall("[a-z0-9]+", host.lower())} | {f"path={x}" for x in re.findall("[a-z0-9]+", path.lower()) if not x.isdigit()}
+    return words if host else set()
+
+
+def brute(pages, labels, min_rows, min_confidence):
+    """Urls that hold some combination, of any length, that is a rule; no base rule fits these hosts."""
+    bad = [(parts_of(dict(pages)[i]), q == 0 or t == 1) for i, q, t in labels]
+    counts = {}
+    for words, is_bad in bad:
+        for n in range(1, len(words) + 1):
+            for c in combinations(sorted(words), n):
+                all_, worse = counts.get(c, (0, 0))
+                counts[c] = all_ + 1, worse + is_bad
+    good = [set(c) for c, (n, n_bad) in counts.items() if n >= min_rows and n_bad and lower_bound(n_bad, n) >= min_confidence]
+    return {i: "block" if any(g <= parts_of(u) for g in good) else "allow" for i, u in pages}, good
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_brute_force_miner(spark, seed):
+    rng = random.Random(seed)
+    pages, labels = [], []
+    for i in range(500):
+        host = ".".join([*rng.sample(["aa", "bb", "cc", "dd", "always"], rng.randrange(1, 4)), "always", "too"])
+        path = "/".join(rng.choices(["w1", "w2", "w3", "w4", "both", "7"], k=rng.randrange(0, 5))).replace("both", "both-ever")
+        pages.append((i, f"https://{host}.org/{path}?x=1"))
+        words = parts_of(pages[-1][1])
+        # only three or four together are bad
+        dirty = {"host=aa", "path=w1", "path=w2"} <= words or {"host=bb", "host=cc", "path=w3", "path=both"} <= words
+        if rng.random() < 0.8:
+            labels.append((i, int(not dirty) if rng.random() < 0.95 else rng.randrange(2), 0))
+    want, good = brute(pages, labels, 5, 0.4)
+    got, _ = verdicts(spark, pages, labels, min_rows=5, min_confidence=0.4)
+    assert {i: v[3] for i, v in got.items()} == want and any(len(g) > 2 for g in good) and "block" in want.values()
+
+
+def test_long_urls_that_come_often(spark):
+    """A bad url of many tokens, seen often, is one item, not all combinations of its tokens."""
+    long_ = "/".join(f"part{i}word" for i in range(300))
+    pages = [(i, f"https://deep.example.org/{long_}") for i in range(40)] + [(100 + i, f"https://deep.example.org/part{i}word/fine") for i in range(60)]
+    labels = [(i, 0, 0) for i in range(40)] + [(100 + i, 1, 0) for i in range(60)]
+    got, _ = verdicts(spark, [*pages, (500, "https://deep.example.org/part9word")], labels)
+    assert {got[i][3] for i in range(40)} == {"block"} and {got[100 + i][3] for i in range(60)} <= {"allow", "block"} and got[0][2] is None
+
+
 def test_count_wanted_is_of_urls_covered_and_the_same_at_every_size(spark):
     # 19 of 25 are bad; 15 of 20; 20 of 20; 13 of 20 and 14 of 14 don't do
     hosts = {"aa.xa": (25, 19), "bb.xb": (20, 15), "cc.xc": (20, 20), "dd.xd": (20, 13), "ee.xe": (14, 14)}

@@ -1,16 +1,23 @@
 """URL filters by association rules over URL tokens.
 
 Base rules come first: each has a host and a path prefix and covers the host, its subdomains and paths that start with the
-prefix; the longest that fits decides. Where none fits, mined rules do. Spark's FP-growth finds the token combinations that
-are frequent among bad urls (a url's label is that of the document of its number; it is bad if the document is of low
-quality or toxic): those in as many as a rule needs at the least, a count that doesn't depend on the table's size. Their
-rows among all labelled urls are then counted exactly; a combination becomes a rule if it covers ``MIN_ROWS`` urls and a share ``MIN_CONFIDENCE`` of them is
-bad, by the lower end of a Wilson interval so that few urls don't convince. Rules that a subset of their tokens already
-makes are pruned. Matching is by inverted index: each rule is filed under its rarest token, a url's tokens are looked up
-there by an equi-join, and a rule found so fits if all its tokens are in the url.
+prefix; the longest that fits decides. Where none fits, mined rules do. A url's label is that of the document of its number; it
+is bad if the document is of low quality or toxic. A combination of tokens is a rule if it covers ``MIN_ROWS`` labelled urls and
+a share ``MIN_CONFIDENCE`` of them is bad, by the lower end of a Wilson interval so that few urls don't convince; a combination
+that contains a smaller rule adds nothing and is pruned. Combinations have any number of tokens, and the counts wanted don't
+depend on the table's size.
+
+Spark's FP-growth finds the combinations, and three steps keep it from enumerating what can't matter: single tokens are counted
+first, and those that are rules by themselves leave the baskets, as all that holds one is pruned; so do tokens in fewer bad urls
+than any rule needs; and tokens that stand in exactly the same labelled urls are one item, as whatever holds for one of them
+holds for all. (What is left is FP-growth's own cost: it grows with the number of frequent combinations of common tokens.)
+
+Matching is by inverted index: each rule is filed under its rarest item, a url's items are looked up there by an equi-join, and
+a rule found so fits if all its items are in the url. Only urls that no base rule decides take part in it.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and no tokens, so it is allowed by default;
-repeated rows are judged one by one; without labels there are no mined rules; labels that are null count as good.
+repeated rows are judged one by one; without labels there are no mined rules; labels that are null count as good; a page_id
+with several labels counts once for each.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, written
+from tidemark.llm.common import Scratch, lower_ascii, written
 
 #: (verdict, host, path).
 BASE_RULES = (
@@ -33,7 +40,6 @@ BASE_RULES = (
 )
 #: Urls a mined rule covers at least, and the least share of them that is bad (lower bound).
 MIN_ROWS, MIN_CONFIDENCE = 20, 0.5
-MAX_TOKENS = 3
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -56,15 +62,9 @@ def base_verdict(host: Column, path: Column, rules=BASE_RULES) -> tuple[Column,
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: the host's labels by themselves and in words, its last two labels, and the path's segments in words."""
-    labels = F.split(host, r"\.")
-    words = F.split(lower_ascii(F.concat_ws("/", host, path)), r"[^a-z0-9]+")
-    kinds = F.concat(
-        F.transform(labels, lambda x: F.concat(F.lit("host="), x)),
-        F.array(F.concat(F.lit("site="), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1))),
-        F.transform(F.filter(words, lambda x: ~x.rlike("^[0-9]*$")), lambda x: F.concat(F.lit("word="), x)),
-    )
-    return F.array_distinct(F.filter(kinds, lambda x: ~x.endswith("=")))
+    """Distinct tokens: the words of the host, and those of the path that aren't numbers."""
+    found = lambda text, kind: F.transform(F.regexp_extract_all(lower_ascii(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.concat(F.lit(f"{kind}="), x))
+    return F.array_distinct(F.concat(found(host, "host"), F.filter(found(path, "path"), lambda x: ~x.rlike("^path=[0-9]*$"))))
 
 
 def lower_bound(n_bad, n, sqrt=math.sqrt):
@@ -78,52 +78,72 @@ def least_bad(min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE)
     return next((b for b in range(1, min_rows) if lower_bound(b, min_rows) >= min_confidence), min_rows)
 
 
-def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, n, n_bad, key): combinations that are bad, from (tokens, bad); key is the least frequent token."""
-    bad, least = labelled.filter("bad").select("tokens"), least_bad(min_rows, min_confidence)
+def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, keep=written) -> tuple[DataFrame, DataFrame]:
+    """Rules (items, n, n_bad, key) and what the items stand for (token, item), from labelled urls (tokens, bad).
+
+    An item stands for the tokens of the same labelled urls, and for any of them it is there; key is a rule's rarest item.
+    ``keep`` writes a table that is read more than once.
+    """
+    least = least_bad(min_rows, min_confidence)
+    good = (F.col("n") >= min_rows) & (lower_bound(F.col("n_bad"), F.col("n"), F.sqrt) >= min_confidence)
+    baskets = keep(labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")))
+    filed = baskets.select("tokens", "n", "n_bad", F.explode("tokens").alias("token"))
+    # tokens of the same baskets have equal sums of the baskets' hashes (two of them, and the number)
+    where = [F.sum(F.xxhash64("tokens", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
+    tokens_ = filed.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), F.count("*").alias("in"), *where).filter(F.col("n_bad") >= least)
+    tokens_ = keep(tokens_.withColumn("rule", good))
+    singles = tokens_.filter("rule").select(F.array("token").alias("items"), "n", "n_bad", F.col("token").alias("key"))
+    alone = tokens_.filter("rule").select("token", F.col("token").alias("item"))
+    rest = tokens_.filter("NOT rule")
+    by = ["n", "n_bad", "in", "h1", "h2"]
+    # tokens with equal sums are few, so they meet by an aggregation and not by a window over all
+    shared = keep(rest.groupBy(*by).agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select("item", "n", F.explode("tokens").alias("token")))
+    bad = filed.filter("n_bad > 0").join(shared.select("token", "item"), "token").groupBy("tokens", "n", "n_bad").agg(F.collect_set("item").alias("items"))
+    bad = keep(bad.filter(F.size("items") > 1).select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad")).alias("_i")).drop("_i"))
     rows = bad.count()
-    spark = labelled.sparkSession
     if rows < least:
-        return spark.createDataFrame([], "tokens array<string>, n long, n_bad long, key string")
+        return singles, alone
     # a support just below the wanted count, so that rounding up inside never asks for one row more
-    found = FPGrowth(itemsCol="tokens", minSupport=(least - 0.5) / rows, minConfidence=1.0).fit(bad).freqItemsets
-    sets = written(found.filter(F.size("items") <= MAX_TOKENS).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")))
-    distinct = written(labelled.groupBy("tokens").agg(F.count("*").alias("rows")))
-    filed = distinct.select("tokens", "rows", F.explode("tokens").alias("key"))
-    often = filed.groupBy("key").agg(F.sum("rows").alias("often"))
-    keyed = sets.select("*", F.explode("tokens").alias("key")).join(often, "key").groupBy("tokens", "n_bad").agg(F.min(F.struct("often", "key")).alias("least"))
-    keyed = keyed.select(F.col("tokens").alias("needs"), "n_bad", F.col("least.key").alias("key"))
-    every = filed.join(keyed, "key").filter(F.size(F.array_except("needs", "tokens")) == 0).groupBy(F.col("needs").alias("tokens"), "n_bad", "key").agg(F.sum("rows").alias("n"))
-    good = written(every.filter((F.col("n") >= min_rows) & (lower_bound(F.col("n_bad"), F.col("n"), F.sqrt) >= min_confidence)))
-    # a rule that a smaller one implies adds nothing; subsets are few, as rules have MAX_TOKENS tokens at most
-    subsets = good.select("tokens", F.posexplode("tokens").alias("i", "without")).select("tokens", F.array_remove("tokens", F.col("without")).alias("sub"))
-    deeper = subsets.select("tokens", F.explode("sub").alias("without"), "sub").select("tokens", F.array_remove("sub", F.col("without")).alias("sub"))
-    implied = subsets.select("tokens", "sub").unionByName(deeper).filter(F.size("sub") > 0).join(good.select(F.col("tokens").alias("sub")), "sub").select("tokens").distinct()
-    kept = good.join(implied, "tokens", "left_anti")
-    return kept.select("tokens", "n", "n_bad", "key")
-
-
-def match(pages: DataFrame, mined: DataFrame) -> DataFrame:
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows, minConfidence=1.0).fit(bad).freqItemsets
+    often = shared.groupBy("item").agg(F.first("n").alias("often"))
+    sets = found.filter(F.size("items") > 1).select(F.array_sort("items").alias("needs"), F.col("freq").alias("n_bad"))
+    keyed = sets.select("*", F.explode("needs").alias("item")).join(often, "item").groupBy("needs", "n_bad").agg(F.min(F.struct("often", "item")).alias("least"))
+    keyed = keyed.select("needs", "n_bad", F.col("least.item").alias("key"))
+    held = filed.join(shared.select("token", "item"), "token").groupBy("tokens", "n").agg(F.collect_set("item").alias("items"))
+    every = held.select("items", "n", F.explode("items").alias("key")).join(keyed, "key").filter(F.size(F.array_except("needs", "items")) == 0)
+    rules = keep(every.groupBy(F.col("needs").alias("items"), "n_bad", "key").agg(F.sum("n").alias("n")).filter(good).select("items", "n", "n_bad", "key"))
+    # a rule that holds a smaller one, found under the smaller one's key
+    smaller = rules.select(F.col("items").alias("needs"), "key")
+    implied = rules.select("items", F.explode("items").alias("key")).join(smaller, "key").filter((F.size("needs") < F.size("items")) & (F.size(F.array_except("needs", "items")) == 0)).select("items").distinct()
+    return singles.unionByName(rules.join(implied, "items", "left_anti")), alone.unionByName(shared.select("token", "item"))
+
+
+def match(pages: DataFrame, mined: DataFrame, stands: DataFrame) -> DataFrame:
     """The ``_row`` of pages (_row, tokens) that some rule fits."""
-    filed = pages.select("_row", "tokens", F.explode("tokens").alias("key"))
-    return filed.join(mined.select("key", F.col("tokens").alias("needs")), "key").filter(F.size(F.array_except("needs", "tokens")) == 0).select("_row").distinct()
+    held = pages.select("_row", F.explode("tokens").alias("token")).join(stands, "token").groupBy("_row").agg(F.collect_set("item").alias("items"))
+    filed = held.select("_row", "items", F.explode("items").alias("key"))
+    return filed.join(mined.select("key", F.col("items").alias("needs")), "key").filter(F.size(F.array_except("needs", "items")) == 0).select("_row").distinct()
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages`` (page_id, url)."""
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = base_verdict(F.col("host"), F.col("path"))
-    # equal urls get equal verdicts, so matches are found once for each host and path
     judged = parts.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    distinct = judged.filter("verdict is null and host <> ''").select("host", "path").distinct().select(F.struct("host", "path").alias("_row"), tokens(F.col("host"), F.col("path")).alias("tokens"))
+    # equal urls get equal verdicts, so matches are found once for each host and path
+    decided = F.col("verdict").isNotNull() | (F.col("host") == "")
+    undecided = judged.filter(~decided)
+    distinct = undecided.select("host", "path").distinct().select(F.struct("host", "path").alias("_row"), tokens(F.col("host"), F.col("path")).alias("tokens"))
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.select(F.col("doc_id").alias("_id"), bad.alias("bad"))
-    labelled = parts.filter("host <> ''").join(known, F.col("page_id") == F.col("_id")).select(tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
-    mined = written(mine_rules(written(labelled)))
-    hits = match(distinct, mined).select(F.col("_row.host").alias("_host"), F.col("_row.path").alias("_path"), F.lit("block").alias("found"))
-    out = judged.join(hits, F.col("verdict").isNull() & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "found", F.lit("allow")).alias("verdict"))
+    with Scratch(pages.sparkSession) as tables:
+        labelled = parts.filter("host <> ''").join(known, F.col("page_id") == F.col("_id")).select(tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
+        mined, stands = mine_rules(tables(labelled), min_rows, min_confidence, tables)
+        hits = written(match(distinct, mined, stands).select(F.col("_row.host").alias("_host"), F.col("_row.path").alias("_path"), F.lit("block").alias("found")))
+    out = undecided.join(hits, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    out = out.select("page_id", "host", "path", "rule", F.coalesce("found", F.lit("allow")).alias("verdict"))
+    return out.unionByName(judged.filter(decided).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")))
 
 
 def op3_url_filters(spark, sf_dir):
