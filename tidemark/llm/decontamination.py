@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import PUNCTUATION, flat, longs, lowered, mix, pieces, span_hash, table, words, written
+from tidemark.llm.packed import heads
 
 #: Edits for each word of an item: one in five.
 EDITS = 5
@@ -36,8 +37,10 @@ EDITS = 5
 SAMPLED, TARGET, AGREE = 3, 0.98, 0.49
 #: Words of an item that are embedded together.
 SEGMENT = 14
-#: Items that one pass over the documents takes; a larger benchmark takes more passes.
-BLOCK_ITEMS = 20_000
+#: Items, and bytes of their texts, that one pass over the documents takes; a larger benchmark takes more passes.
+BLOCK_ITEMS, PASS_BYTES = 20_000, 16 << 20
+#: Places that are looked at together.
+PLACES_AT_ONCE = 500_000
 _U = np.uint64
 
 
@@ -122,8 +125,11 @@ def build_index(ids: list, texts: list, repeats: int = REPEATS) -> _Index:
     blocks = {}
     for size, rows in found.items():
         h, wide, off = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(h, kind="stable")
-        blocks[size] = h[order], wide[order], off[order]
+        # items that share a block at the same place ask for the same window, and do so once
+        order = np.lexsort((off, wide, h))
+        h, wide, off = h[order], wide[order], off[order]
+        new = heads(h, wide, off)
+        blocks[size] = h[new], wide[new], off[new]
     lengths = np.array([len(t) for t in tokens], np.int64)
     keys = {}
     for wide, at in cut.items():
@@ -154,9 +160,12 @@ def _places(row: np.ndarray, name: np.ndarray, index: _Index) -> np.ndarray:
         may = np.zeros(1 << 20, bool)
         may[(hashes & low).astype(np.int64)] = True
         hit = np.flatnonzero(may[(h & low).astype(np.int64)])
-        i, j = _expand(np.searchsorted(hashes, h[hit]), np.searchsorted(hashes, h[hit], "right"))
-        at = start[hit[i]]
-        found.append(np.stack((row[at], at - off[j], wide[j]), 1))
+        lo, hi = np.searchsorted(hashes, h[hit]), np.searchsorted(hashes, h[hit], "right")
+        # a block that stands at very many offsets of items is expanded some hits at a time
+        for some in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(hi - lo) // PLACES_AT_ONCE)) + 1):
+            i, j = _expand(lo[some], hi[some])
+            at = start[hit[some][i]]
+            found.append(np.unique(np.stack((row[at], at - off[j], wide[j]), 1), axis=0))
     return np.unique(np.concatenate(found), axis=0)
 
 
@@ -230,11 +239,12 @@ _SCHEMA = "doc_id long, item_id long, distance long, last_word long, item_words
 
 
 def _passes(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """Ids and texts of the items, ``BLOCK_ITEMS`` at a time on average."""
-    benchmark = benchmark.select("item_id", "text")
-    blocks = 1 + benchmark.count() // BLOCK_ITEMS
+    """Ids and texts of the distinct items, ``BLOCK_ITEMS`` or ``PASS_BYTES`` at a time on average; equal texts are spread."""
+    benchmark = benchmark.select("item_id", "text").distinct()
+    size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks = 1 + max(size[0] // BLOCK_ITEMS, size[1] // PASS_BYTES)
     for n in range(blocks):
-        rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n).collect()
+        rows = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
         yield [r[0] for r in rows], [r[1] for r in rows]
 
 
