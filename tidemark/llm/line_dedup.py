@@ -4,8 +4,8 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-
 points or more count. The reference table holds, exactly, the documents of every key; a key is *active* while
 ``min_docs`` documents or more hold it, and active keys stand in the cuckoo filter of their shard. A document's keys are
 probed in the filters, and only what a filter lets through meets the reference table, which settles it: the line stays in
-the largest doc_id holding it and goes from the others. Cuckoo filters can delete, and references are signed changes, so
-``LineIndex.delete`` takes documents out again and leaves the index as if they had never been inserted.
+the largest doc_id holding it and goes from the others. Cuckoo filters can delete, so ``LineIndex.delete`` takes documents
+out again and leaves the index as if they had never been inserted.
 
 Defined cases: a null or empty text is one empty line; a row without doc_id is left as it is and counts for nothing; rows
 that repeat a doc_id are one document; a document whose lines all go keeps an empty text; input columns of any name come
@@ -15,6 +15,7 @@ through (the working columns are looked up by position, not by name).
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, flat, longs, lowered, pieces, shared_dir, span_hash, table, words, written
+from tidemark.sources.files import Files
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Rows that one probing group and one filter hold at most, on average.
@@ -161,24 +163,24 @@ def build_filters(active: DataFrame, shards: int) -> DataFrame:
     return _sharded(active.select("hi", "lo"), shards).groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
-def update_filters(filters: DataFrame, gone: DataFrame, come: DataFrame, active: DataFrame, shards: int) -> DataFrame:
-    """The filters after keys ceased (``gone``) or began (``come``) to be active; a full filter is rebuilt from ``active``."""
-    change = _sharded(gone.select("hi", "lo", F.lit(-1).alias("change")).unionByName(come.select("hi", "lo", F.lit(1).alias("change"))).unionByName(active.select("hi", "lo", F.lit(0).alias("change"))), shards)
+def update_filters(filters: DataFrame, gone: DataFrame, come: DataFrame, active: DataFrame, shards: int, keep=written) -> DataFrame:
+    """The filters after keys ceased (``gone``) or began (``come``) to be active; one that has become too full is rebuilt from
+    its shard's ``active`` keys. ``keep`` writes a table that is read twice."""
+    change = _sharded(gone.select("hi", "lo", F.lit(-1).alias("change")).unionByName(come.select("hi", "lo", F.lit(1).alias("change"))), shards)
 
     def update(old: pa.Table, changes: pa.Table) -> pa.Table:
         shard = (old if old.num_rows else changes)["shard"][0].as_py()
         keys, what = changes["hi"].to_numpy().view(np.uint64), changes["change"].to_numpy()
-        if old.num_rows:
-            held = CuckooFilter.load(old["filter"][0].as_py())
-            for key in keys[what < 0]:
-                held.delete(int(key))
-            if not all(held.insert(int(key)) for key in keys[what > 0]):
-                held = CuckooFilter.of(keys[what == 0])
-        else:
-            held = CuckooFilter.of(keys[what == 0])
-        return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([held.dump()], pa.binary())})
+        held = CuckooFilter.load(old["filter"][0].as_py()) if old.num_rows else CuckooFilter.of(keys[:0])
+        for key in keys[what < 0]:
+            held.delete(int(key))
+        fits = all(held.insert(int(key)) for key in keys[what > 0])
+        return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([held.dump() if fits else None], pa.binary())})
 
-    return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(update, "shard int, filter binary")
+    changed = keep(filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(update, "shard int, filter binary"))
+    full = changed.filter("filter IS NULL").select("shard")
+    rebuilt = build_filters(_sharded(active.select("hi", "lo"), shards).join(full, "shard", "left_semi"), shards)
+    return changed.filter("filter IS NOT NULL").unionByName(rebuilt)
 
 
 def probe(keys: DataFrame, filters: DataFrame, shards: int, salts: int) -> DataFrame:
@@ -265,43 +267,123 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 class LineIndex:
-    """The incremental form, in a folder of the shared file system. ``insert`` and ``delete`` change it, ``apply`` uses it.
+    """The incremental form, in a folder of the shared file system, which any session can open.
 
-    Every change writes its signed postings and a new generation of references and filters beside the old one, then
-    names the generation in memory; a job that dies half-way leaves the last generation as it was.
+    The index is a set of (line key, doc_id) pairs. ``insert`` adds those that aren't there yet and ``delete`` takes away those
+    that are, so inserting twice is inserting once, deleting what was never inserted changes nothing, and what was inserted
+    and deleted might never have been there. A document inserted with another text under its id has the lines of both.
+
+    Keys are dealt into shards with their own postings, active keys and filter. A change reads and writes those of the shards
+    that it touches, in the folder of a new generation, and takes effect when the generation's manifest is created, which only
+    one writer can: a job that dies half-way leaves the last generation as it was, and the second of two writers at a time
+    gets a ``CommitConflict``. Shards double in number when their active keys outgrow the filters.
     """
 
+    TABLES = {"postings": "hi long, lo long, doc_id long, shard int", "active": "hi long, lo long, keeper long, shard int", "filters": "filter binary, shard int"}
+
     def __init__(self, spark: SparkSession, folder: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = 8) -> None:
-        self.spark, self.min_chars, self.min_docs, self.shards = spark, min_chars, min_docs, shards
+        """Opens the index in ``folder``, or makes one there; one that is there keeps its own parameters."""
+        self.spark = spark
         self.folder = folder or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-        self.generation = 0
-        self.postings: DataFrame | None = None
-        self.active = spark.createDataFrame([], "hi long, lo long, keeper long")
-        self.filters = spark.createDataFrame([], "shard int, filter binary")
+        self.files = Files(spark, self.folder)
+        self.files.ensure("manifest")
+        self._fresh = {"generation": 0, "shards": shards, "min_chars": min_chars, "min_docs": min_docs, "parts": {name: {} for name in self.TABLES}}
+
+    def _manifest(self) -> dict:
+        """What the newest generation consists of: for each table the generation that wrote a shard of it."""
+        made = [n for n in self.files.list("manifest") if n.endswith(".json")]
+        return json.loads(self.files.read(f"manifest/{made[-1]}")) if made else self._fresh
+
+    @property
+    def generation(self) -> int:
+        return self._manifest()["generation"]
 
     def insert(self, docs: DataFrame) -> None:
-        self._change(docs, 1)
+        self._change(docs, True)
 
     def delete(self, docs: DataFrame) -> None:
-        self._change(docs, -1)
-
-    def _save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{self.generation}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _change(self, docs: DataFrame, sign: int) -> None:
-        self.generation += 1
-        change = self._save(line_keys(docs, self.min_chars).withColumn("change", F.lit(sign)), "change")
-        self.postings = change if self.postings is None else self.postings.unionByName(change)
-        active = self._save(references(self.postings).filter(F.col("n_docs") >= self.min_docs).select("hi", "lo", "keeper"), "active")
-        gone, come = self.active.join(active, ["hi", "lo"], "left_anti"), active.join(self.active, ["hi", "lo"], "left_anti")
-        self.filters = self._save(update_filters(self.filters, gone, come, active, self.shards), "filters")
-        self.active = active
+        self._change(docs, False)
+
+    def _read(self, manifest: dict, name: str, shards: Iterable[int] | None = None) -> DataFrame:
+        parts = manifest["parts"][name]
+        by_generation: dict[str, list[str]] = {}
+        for shard in parts if shards is None else (str(x) for x in shards):
+            if shard in parts:
+                by_generation.setdefault(parts[shard], []).append(shard)
+        out = self.spark.createDataFrame([], self.TABLES[name])
+        for folder, some in by_generation.items():
+            base = self.files.at(f"{folder}/{name}")
+            out = out.unionByName(self.spark.read.schema(self.TABLES[name]).option("basePath", base).parquet(*(f"{base}/shard={x}" for x in some)))
+        return out
+
+    def _change(self, docs: DataFrame, insert: bool) -> None:
+        now = self._manifest()
+        shards, folder = now["shards"], f"generations/{now['generation'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        with Scratch(self.spark) as tables:
+            pairs = tables(_sharded(line_keys(docs, now["min_chars"]).distinct(), shards))
+            touched = [r[0] for r in pairs.select("shard").distinct().collect()]
+            if not touched:
+                return
+            was = self._read(now, "postings", touched)
+            pair = ["hi", "lo", "doc_id", "shard"]
+            postings = was.select(pair).unionByName(pairs.select(pair)).distinct() if insert else was.join(pairs, pair, "left_anti")
+            # a key that very many documents hold makes a shard large: its pairs are spread by document
+            salts = F.pmod(F.xxhash64("doc_id"), F.lit(1 + pairs.count() // GROUP_ROWS))
+            parts = {name: dict(now["parts"][name]) for name in self.TABLES}
+            self._save(postings.repartition("shard", salts), folder, "postings", touched, parts)
+            made = {**now, "generation": now["generation"] + 1, "parts": parts}
+            self._settle(made, folder, touched, self._read(now, "active", touched), self._read(now, "filters", touched), tables)
+        self.files.create(f"manifest/{made['generation']:012d}.json", json.dumps(made))
+        if self._read(made, "active").count() > made["shards"] * FILTER_KEYS:
+            self._grow(made)
+
+    def _settle(self, made: dict, folder: str, touched: list[int], was: DataFrame, filters: DataFrame, tables: Scratch) -> None:
+        """Active keys and filters of the shards ``touched`` from their postings."""
+        shards = made["shards"]
+        held = references(self._read(made, "postings", touched).select("hi", "lo", "doc_id", F.lit(1).alias("change")))
+        self._save(_sharded(held.filter(F.col("n_docs") >= made["min_docs"]).select("hi", "lo", "keeper"), shards).repartition("shard"), folder, "active", touched, made["parts"])
+        active = self._read(made, "active", touched)
+        gone, come = was.join(active, ["hi", "lo"], "left_anti"), active.join(was, ["hi", "lo"], "left_anti")
+        self._save(update_filters(filters, gone, come, active, shards, tables), folder, "filters", touched, made["parts"])
+
+    def _save(self, df: DataFrame, folder: str, name: str, touched: list[int], parts: dict) -> None:
+        df.write.partitionBy("shard").parquet(self.files.at(f"{folder}/{name}"))
+        there = set(self.files.list(f"{folder}/{name}"))
+        for shard in map(str, touched):
+            parts[name].pop(shard, None)
+            if f"shard={shard}" in there:
+                parts[name][shard] = folder
+
+    def _grow(self, now: dict) -> None:
+        """The same pairs in as many shards as their active keys need."""
+        shards = now["shards"]
+        while self._read(now, "active").count() > shards * FILTER_KEYS:
+            shards *= 2
+        folder = f"generations/{now['generation'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        made = {**now, "generation": now["generation"] + 1, "shards": shards, "parts": {name: {} for name in self.TABLES}}
+        every = list(range(shards))
+        with Scratch(self.spark) as tables:
+            postings = _sharded(self._read(now, "postings").select("hi", "lo", "doc_id"), shards)
+            salts = F.pmod(F.xxhash64("doc_id"), F.lit(1 + postings.count() // (GROUP_ROWS * shards)))
+            self._save(postings.repartition("shard", salts), folder, "postings", every, made["parts"])
+            empty = lambda name: self.spark.createDataFrame([], self.TABLES[name])
+            self._settle(made, folder, every, empty("active"), empty("filters"), tables)
+        self.files.create(f"manifest/{made['generation']:012d}.json", json.dumps(made))
+
+    def vacuum(self) -> int:
+        """Removes the folders that the newest generation doesn't read; how many. Not while a change is being made."""
+        named = {folder for parts in self._manifest()["parts"].values() for folder in parts.values()}
+        gone = [x for x in (f"generations/{n}" for n in self.files.list("generations")) if x not in named]
+        for x in gone:
+            self.files.remove(x)
+        return len(gone)
 
     def apply(self, docs: DataFrame, digest: bool = False) -> DataFrame:
-        keys = line_keys(docs, self.min_chars)
-        return _rewritten(docs, drops(keys, self.active, self.filters, self.shards, 1 + keys.count() // (GROUP_ROWS * self.shards)), self.min_chars, digest)
+        """``docs`` without the lines that other documents of the index keep, or a digest; see ``dedup_lines``."""
+        now = self._manifest()
+        keys = line_keys(docs, now["min_chars"])
+        salts = 1 + keys.count() // (GROUP_ROWS * now["shards"])
+        return _rewritten(docs, drops(keys, self._read(now, "active").drop("shard"), self._read(now, "filters"), now["shards"], salts), now["min_chars"], digest)
 
 
 def op10_line_dedup(spark, sf_dir):
