@@ -25,9 +25,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that the cluster's machines share")
         found = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)
@@ -35,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder and read back: later jobs start from the files, whichever executor dies."""
-    return _write(df)[0]
+    """``df``, written to the shared folder and read back: later jobs start from the files, whichever executor dies.
+
+    A lazy result may read the table as long as the driver lives, so it goes when the driver ends.
+    """
+    table, path = _write(df)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return table
 
 
 def _write(df: DataFrame) -> tuple[DataFrame, str]:
