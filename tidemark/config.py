@@ -22,6 +22,10 @@ class Config:
     auto_compact: bool = False
     allow_missing_runs: bool = False
     retained_versions: int = 10
+    #: Age at which ``vacuum`` takes a folder that no manifest ever named for what a dead job left, not for a write on its way.
+    orphan_seconds: int = 86_400
+    #: Whether compaction follows the workload (``KvStore.update_workload_characteristics``) in place of ``strategy``.
+    adaptive: bool = False
 
     def problems(self) -> list[str]:
         """All that is wrong, in the order of the fields."""
@@ -42,6 +46,8 @@ class Config:
             found.append("flush_rows must be greater than 0")
         if self.retained_versions < 1:
             found.append("retained_versions must be greater than 0")
+        if self.orphan_seconds < 0:
+            found.append("orphan_seconds must not be negative")
         return found
 
     def validate(self) -> Config:

@@ -1,7 +1,7 @@
 """A Python data source for stores: ``spark.read.format("tidemark").option("path", ...)``.
 
-It gives the versions of a store's runs (k, seq, deleted, tag and the variants' fields), one partition for each run that can
-hold keys under the option ``prefix``. Resolving them is left to ``operators.resolve``, where Catalyst can push filters below
+It gives the versions of a store (k, seq, deleted, tag and the variants' fields): one partition for each run that can hold keys
+under the option ``prefix``, and one for each changelog segment that isn't in a run yet. Resolving them is left to ``operators.resolve``, where Catalyst can push filters below
 it; inside Spark ``KvStore.state`` is the better way in, as it reads Parquet without Python.
 """
 
@@ -27,6 +27,8 @@ _FIELDS = ("tag", "s", "i", "u", "d", "b", "bin", "j")
 @dataclass
 class RunPartition(InputPartition):
     folder: str
+    #: What is added to a row's seq: a segment has ordinals.
+    base: int
 
 
 class KvDataSource(DataSource):
@@ -46,7 +48,11 @@ class KvReader(DataSourceReader):
         self.path, self.prefix, self.version = options["path"].rstrip("/"), options.get("prefix", ""), options.get("version")
 
     def _files(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        """Arrow's file system for the path. Hadoop's names of S3 (s3a, s3n) are Arrow's s3."""
+        if "://" not in self.path and not self.path.startswith("file:"):
+            return fs.LocalFileSystem(), self.path
+        scheme, _, rest = self.path.partition(":")
+        return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
     def partitions(self) -> list[RunPartition]:
         files, root = self._files()
@@ -56,7 +62,8 @@ class KvReader(DataSourceReader):
         name = f"v{int(self.version):012d}.json" if self.version else names[-1]
         manifest = json.loads(files.open_input_stream(f"{root}/manifest/{name}").read())
         high = succ(self.prefix)
-        return [RunPartition(r["path"]) for r in manifest["runs"] if r["largest_key"] >= self.prefix and (not high or r["smallest_key"] < high)]
+        runs = [RunPartition(r["path"], 0) for r in manifest["runs"] if r["largest_key"] >= self.prefix and (not high or r["smallest_key"] < high)]
+        return runs + [RunPartition(folder, int(base)) for base, _, folder in (s.partition(":") for s in manifest["segments"])]
 
     def read(self, partition: RunPartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -69,7 +76,7 @@ class KvReader(DataSourceReader):
         for batch in rows.to_batches(columns=["k", "seq", "deleted", "v", "expires_at"], filter=wanted):
             v = batch.column("v")
             inner = [pc.struct_field(v, name).cast(kinds[name]) for name in _FIELDS]
-            columns = [batch.column("k"), batch.column("seq"), batch.column("deleted"), *inner, batch.column("expires_at")]
+            columns = [batch.column("k"), pc.add(batch.column("seq"), partition.base), batch.column("deleted"), *inner, batch.column("expires_at")]
             yield pa.RecordBatch.from_arrays(columns, ["k", "seq", "deleted", *_FIELDS, "expires_at"])
 
 

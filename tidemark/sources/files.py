@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import SparkSession
 
-from tidemark.errors import CommitConflict, StorageIoError
+from tidemark.errors import CommitConflict, InvalidConfiguration, StorageIoError
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share and that goes when the driver ends: under ``spark.checkpoint.dir``, or a
+    temporary one where that is unset and all is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidConfiguration("spark.checkpoint.dir is not set: it names the folder that the cluster's machines share")
+        shared = tempfile.gettempdir()
+    folder = f"{str(shared).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 class Files:
@@ -42,16 +63,59 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> None:
-        """Writes a file that must not be there yet: a temporary one first, then a rename, which never replaces a file."""
-        temporary = f"{name}.{self._jvm.java.util.UUID.randomUUID()}.tmp"
-        stream = self._fs.create(self._path(temporary), False)
+        """Writes a file that must not be there yet, whole and in one step: of two writers one gets ``CommitConflict``.
+
+        Each kind of file system has its own such step: a hard link on local ones, where renaming replaces; a rename where
+        that refuses to replace (HDFS); and on object stores, whose files appear when they are closed, a conditional put.
+        """
+        scheme = self._fs.getUri().getScheme()
+        if scheme == "file":
+            self._link(unquote(self._fs.makeQualified(self._path(name)).toUri().getPath()), text)
+        elif scheme in ("hdfs", "viewfs"):
+            temporary = f"{name}.{uuid.uuid4().hex}.tmp"
+            self._put(temporary, text)
+            if not self._fs.rename(self._path(temporary), self._path(name)):
+                self._fs.delete(self._path(temporary), False)
+                raise CommitConflict(f"{name} is there already")
+        else:
+            try:
+                self._put(name, text)
+            except Exception as e:
+                if self.exists(name):
+                    raise CommitConflict(f"{name} is there already") from e
+                raise
+
+    def _put(self, name: str, text: str) -> None:
+        builder = self._fs.createFile(self._path(name)).overwrite(False)
+        stream = builder.opt("fs.option.create.conditional.overwrite", "true").build()
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(name) or not self._fs.rename(self._path(temporary), self._path(name)):
-            self._fs.delete(self._path(temporary), False)
-            raise CommitConflict(f"{name} is there already")
+
+    @staticmethod
+    def _link(path: str, text: str) -> None:
+        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+        with open(temporary, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(temporary, path)
+        except FileExistsError as e:
+            raise CommitConflict(f"{path} is there already") from e
+        finally:
+            os.remove(temporary)
+
+    def modified(self, name: str) -> float:
+        """When anything in a folder, or the folder itself, was last changed, in epoch seconds."""
+        last = self._fs.getFileStatus(self._path(name)).getModificationTime()
+        for s in self._fs.listStatus(self._path(name)):
+            inner = s.getModificationTime()
+            if s.isDirectory():
+                inner = max([inner, *(x.getModificationTime() for x in self._fs.listStatus(s.getPath()))])
+            last = max(last, inner)
+        return last / 1000
 
     def rename(self, old: str, new: str) -> None:
         if not self._fs.rename(self._path(old), self._path(new)):

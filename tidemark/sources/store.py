@@ -7,6 +7,7 @@ never see a half-made change. A file that a manifest names and that is gone fail
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -18,14 +19,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import Config
-from tidemark.errors import ColumnFamilyNotFound, InvalidKey, InvalidValue, StorageError, Unsupported
+from tidemark.errors import ColumnFamilyNotFound, CommitConflict, InvalidKey, InvalidValue, StorageError, Unsupported
 from tidemark.functions.keys import CF_SEPARATOR, DEFAULT_CF, cf_key, run_filename, succ
 from tidemark.functions.values import NULL, VALUE_TYPE, decode, encode, serialized_size
-from tidemark.operators import compaction, reads, stats
+from tidemark.operators import adaptive, compaction, reads, stats
 from tidemark.operators.resolve import newest, visible_at
 from tidemark.sources.files import Files
 from tidemark.sources.manifest import Manifest, Manifests, Run
 
+#: How often a change is made again because the manifest has moved on under it.
+TRIES = 10
+#: Compactions that a manifest lists before they go to the history folder.
+LISTED = 100
+
+
+class _Stale(Exception):
+    """What a change was based on is no longer so."""
+
+
 ROW = T.StructType([T.StructField("k", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType()), T.StructField("v", VALUE_TYPE), T.StructField("expires_at", T.LongType())])
 
 
@@ -37,6 +48,9 @@ class KvStore:
         self.files = Files(spark, path)
         self.manifests = Manifests(self.files)
         self._pending: list[tuple[str, bool, tuple | None, int | None]] = []
+        self._bulk = False
+        self._workloads: list[dict] = []
+        self._performance: list[dict] = []
 
     open = classmethod(lambda cls, spark, path, config=Config(), clock=time.time: cls(spark, path, config, clock))
 
@@ -57,15 +71,17 @@ class KvStore:
         self._write(key, None, None)
 
     def batch_put(self, items: Iterable[tuple[str, Any]]) -> None:
-        """In order, so the last of equal keys wins; one changelog segment."""
+        """In order, so the last of equal keys wins; all of it or nothing, as one changelog segment with what is pending."""
         items = list(items)
         if len(items) > self.config.max_batch_size:
             raise InvalidValue(f"batch of {len(items)} exceeds maximum {self.config.max_batch_size}")
+        rows = []
         for key, value in items:
             self._check(key)
-        for key, value in items:
-            self._put_pending(key, value, None)
-        self.sync()
+            rows.append(self._row(key, value, None))
+        if self._pending or rows:
+            self._append_rows([*self._pending, *rows])
+            self._pending = []
 
     def batch_delete(self, keys: Iterable[str]) -> None:
         self.batch_put((k, None) for k in keys)
@@ -74,46 +90,72 @@ class KvStore:
         if not key:
             raise InvalidKey("key cannot be empty")
 
-    def _put_pending(self, key: str, value: Any, expires: int | None) -> None:
+    @staticmethod
+    def _row(key: str, value: Any, expires: int | None) -> tuple[str, bool, tuple | None, int | None]:
         row = encode(value)
         gone = row[0] == NULL
-        self._pending.append((key, gone, None if gone else row, None if gone else expires))
+        return key, gone, None if gone else row, None if gone else expires
 
     def _write(self, key: str, value: Any, expires: int | None) -> None:
         self._check(key)
-        self._put_pending(key, value, expires)
+        self._pending.append(self._row(key, value, expires))
         if len(self._pending) >= self.config.flush_rows:
-            self.flush()
+            self.sync() if self._bulk else self.flush()
+
+    def set_bulk_import(self, enabled: bool) -> None:
+        """While on, writes only append to the changelog: no flush by number of rows and no compaction after a flush."""
+        self._bulk = enabled
 
     def sync(self) -> None:
         """Pending rows become a durable changelog segment."""
-        if not self._pending:
-            return
-        rows = self._pending
+        if self._pending:
+            self._append_rows(self._pending)
+            self._pending = []
+
+    def _append_rows(self, rows: list[tuple]) -> None:
         # seqs are taken from the manifest in the commit that makes the segment visible, so a segment has ordinals
         frame = self.spark.createDataFrame([(k, i, d, v, e) for i, (k, d, v, e) in enumerate(rows)], ROW)
         self._append(frame.coalesce(1), len(rows))
-        self._pending = []
 
-    def append(self, changes: DataFrame) -> None:
-        """Appends a data frame of changes (k, ordinal, v or null, optionally expires_at), of any size, in the order of ordinal."""
+    def append(self, changes: DataFrame, stream: tuple[str, int] | None = None) -> bool:
+        """Appends a data frame of changes (k, ordinal, v or null, optionally expires_at), of any size, in the order of ordinal.
+
+        ``stream`` is the name and batch number of a stream that it is a batch of; they go into the same commit, and a batch
+        that is there already is left out (False).
+        """
         self.sync()
+        if stream and self.manifests.read().streams.get(stream[0], -1) >= stream[1]:
+            return False
         gone = F.col("v").isNull() | (F.col("v")["tag"] == NULL)
         expires = F.col("expires_at").cast("long") if "expires_at" in changes.columns else F.lit(None).cast("long")
         rows = changes.select("k", F.col("ordinal").cast("long").alias("seq"), gone.alias("deleted"), F.when(~gone, F.col("v")).cast(VALUE_TYPE).alias("v"), expires.alias("expires_at"))
-        self._append(rows, None)
+        return self._append(rows, None, stream)
 
-    def _append(self, rows: DataFrame, count: int | None) -> None:
+    def _append(self, rows: DataFrame, count: int | None, stream: tuple[str, int] | None = None) -> bool:
         folder = f"changelog/{uuid.uuid4().hex}"
         rows.write.parquet(self.files.at(folder))
         if count is None:
             most = self.spark.read.schema(ROW).parquet(self.files.at(folder)).agg(F.max("seq")).first()[0]
-            if most is None:
-                self.files.remove(folder)
-                return
-            count = most + 1
-        # the segment's base is part of its name in the manifest: its rows are base + ordinal
-        self.manifests.commit(lambda m: replace(m, segments=(*m.segments, f"{m.next_seq}:{folder}"), next_seq=m.next_seq + count))
+            count = 0 if most is None else most + 1
+
+        def add(m: Manifest) -> Manifest:
+            done = m.streams if stream is None else {**m.streams, stream[0]: stream[1]}
+            if stream and m.streams.get(stream[0], -1) >= stream[1]:
+                raise _Stale
+            # the segment's base is part of its name in the manifest: its rows are base + ordinal
+            named = (*m.segments, f"{m.next_seq}:{folder}") if count else m.segments
+            return replace(m, segments=named, next_seq=m.next_seq + count, streams=done)
+
+        if not count:
+            self.files.remove(folder)
+            if stream is None:
+                return True
+        try:
+            self.manifests.commit(add)
+        except _Stale:
+            self.files.remove(folder)
+            return False
+        return True
 
     def clear(self) -> None:
         """Nothing is left for readers of the new version; older versions keep their files until vacuum."""
@@ -122,9 +164,13 @@ class KvStore:
 
     # ------------------------------------------------------------------------------------------------------- reading
 
-    def _segment(self, name: str) -> DataFrame:
-        base, folder = name.split(":", 1)
-        return self.spark.read.schema(ROW).parquet(self.files.at(folder)).withColumn("seq", F.col("seq") + int(base))
+    def _segments(self, names: Sequence[str]) -> DataFrame:
+        """Changelog segments as one scan; a row's seq is its segment's base and its ordinal."""
+        base = {folder: int(first) for first, folder in (n.split(":", 1) for n in names)}
+        rows = self.spark.read.schema(ROW).parquet(*map(self.files.at, base))
+        bases = F.create_map(*(F.lit(x) for folder, first in base.items() for x in (folder.rpartition("/")[2], first)))
+        first = F.element_at(bases, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+        return rows.select("k", (F.col("seq") + first).alias("seq"), "deleted", "v", "expires_at")
 
     def _runs(self, runs: Sequence[Run]) -> DataFrame:
         if self.config.allow_missing_runs:
@@ -137,8 +183,8 @@ class KvStore:
         """All versions of keys in [low, high), from the runs that can have such keys, the changelog and pending writes."""
         m = manifest or self.manifests.read()
         out = self._runs([r for r in m.runs if r.meets(low, high)])
-        for s in m.segments:
-            out = out.unionByName(self._segment(s))
+        if m.segments:
+            out = out.unionByName(self._segments(m.segments))
         if manifest is None and self._pending:
             rows = [(k, m.next_seq + i, d, v, e) for i, (k, d, v, e) in enumerate(self._pending)]
             out = out.unionByName(self.spark.createDataFrame(rows, ROW))
@@ -332,20 +378,47 @@ class KvStore:
     # ------------------------------------------------------------------------------------------- flush and compaction
 
     def flush(self) -> None:
-        """The changelog becomes one run at level 0."""
+        """The changelog becomes a run at level 0, or as many with disjoint key ranges as its size asks for.
+
+        Should another handle flush or clear the store meanwhile, the run is given up and made from what is left.
+        """
         self.sync()
-        now = self.manifests.read()
-        if now.segments:
-            rows = self._segment(now.segments[0])
-            for s in now.segments[1:]:
-                rows = rows.unionByName(self._segment(s))
-            made = self._write_runs(newest(rows), 0, 1)
-            taken = set(now.segments)
-            last = now.next_seq - 1
-            self.manifests.commit(lambda m: replace(m, runs=(*m.runs, *made), segments=tuple(s for s in m.segments if s not in taken), checkpoint_seq=max(m.checkpoint_seq, last)))
-        if self.config.auto_compact:
+        for _ in range(TRIES):
+            now = self.manifests.read()
+            if not now.segments:
+                break
+            size = sum(self.files.size(s.split(":", 1)[1]) for s in now.segments)
+            made = self._write_runs(newest(self._segments(now.segments)), 0, compaction.target_partitions(size, self.config.levels.target_size))
+            taken, last = set(now.segments), now.next_seq - 1
+
+            def install(m: Manifest, made=made, taken=taken, last=last) -> Manifest:
+                if not taken <= set(m.segments):
+                    raise _Stale
+                return replace(m, runs=(*m.runs, *made), segments=tuple(s for s in m.segments if s not in taken), checkpoint_seq=max(m.checkpoint_seq, last))
+
+            if self._install(install, made):
+                break
+        else:
+            raise CommitConflict(f"no flush in {TRIES} tries")
+        if self.config.auto_compact and not self._bulk:
             self.compact_if_needed()
 
+    def _install(self, change, made: Sequence[Run]) -> bool:
+        """Commits runs; if that can't be, their files go, and the answer is False if they are to be made again."""
+        try:
+            self.manifests.commit(change)
+            return True
+        except _Stale:
+            self._discard(made)
+            return False
+        except BaseException:
+            self._discard(made)
+            raise
+
+    def _discard(self, made: Sequence[Run]) -> None:
+        for folder in {r.path.rpartition("/")[0] for r in made}:
+            self.files.remove(folder)
+
     def _write_runs(self, rows: DataFrame, level: int, parts: int) -> list[Run]:
         """Sorted runs with disjoint key ranges, one folder each, as one job; their entries come from reading them back."""
         folder = f"runs/{run_filename(level, self.manifests.read().next_seq)}_{uuid.uuid4().hex[:8]}"
@@ -380,53 +453,140 @@ class KvStore:
     compact_all = compact
 
     def compact_if_needed(self) -> dict | None:
-        """Compacts the first level that the strategy finds due."""
+        """Compacts the first level that the strategy (or, if adaptive, the policy for the workload) finds due."""
         now = self.manifests.read()
-        due = compaction.should_compact(now.frame(self.spark), self.config.strategy, self.config.levels)
+        strategy, policy, enabled = self._policy() if self.config.adaptive else (self.config.strategy, self.config.levels, None)
+        due = [x for x in compaction.should_compact(now.frame(self.spark), strategy, policy) if enabled is None or x in enabled] if strategy else []
         if not due:
             return None
         level = due[0]
-        return self._merge(now, [r for r in now.runs if r.level == level], min(level + 1, self.config.levels.levels - 1) if level == 0 else level)
+        return self._merge(now, [r for r in now.runs if r.level == level], min(level + 1, policy.levels - 1) if level == 0 else level)
 
     def _merge(self, now: Manifest, inputs: Sequence[Run], level: int) -> dict:
+        """Merges runs. Tombstones, and rows whose time is up, go where nothing older can lie below them; elsewhere rows whose
+        time is up become tombstones. Whether that is so is asked again in the commit, and the merge made again if not."""
         read = self._runs(inputs)
         expected, found = sum(r.entry_count for r in inputs), read.count()
         if expected != found:
             raise StorageError(f"runs have {found} rows, the manifest says {expected}")
         names = {r.run_id for r in inputs}
-        others = [r for r in now.runs if r.run_id not in names]
-        low, high = min(r.smallest_key for r in inputs), max(r.largest_key for r in inputs)
-        # a tombstone may go only if nothing older can lie below it
-        drop = not any(r.meets(low, high + "\x00") and r.min_seq < max(i.max_seq for i in inputs) for r in others)
-        merged = newest(read)
-        if drop:
-            merged = merged.filter(~F.col("deleted"))
+        low, high, last = min(r.smallest_key for r in inputs), max(r.largest_key for r in inputs), max(r.max_seq for r in inputs)
         size = sum(r.file_size for r in inputs)
-        made = self._write_runs(merged, level, compaction.target_partitions(size, self.config.levels.target_size))
-        done = {"at": int(self.clock()), "level": level, "inputs": len(inputs), "outputs": len(made), "processed": expected, "removed": expected - sum(r.entry_count for r in made), "bytes_read": size, "bytes_written": sum(r.file_size for r in made)}
-
-        def install(m: Manifest) -> Manifest:
-            if not names <= {r.run_id for r in m.runs}:
-                raise StorageError("another compaction has taken the same runs")
-            return replace(m, runs=(*(r for r in m.runs if r.run_id not in names), *made), compactions=(*m.compactions, done)[-100:])
 
-        self.manifests.commit(install)
-        return done
+        def lowest(m: Manifest) -> bool:
+            """Whether no other run or segment can have a version older than the newest here of a key in reach."""
+            runs = any(r.meets(low, high + "\x00") and r.min_seq < last for r in m.runs if r.run_id not in names)
+            return not runs and not any(int(s.split(":", 1)[0]) < last for s in m.segments)
+
+        for _ in range(TRIES):
+            drop, clock = lowest(now), int(self.clock())
+            gone = F.col("deleted") | (F.coalesce(F.col("expires_at") <= clock, F.lit(False)))
+            merged = newest(read)
+            if drop:
+                merged = merged.filter(~gone)
+            else:
+                merged = merged.select("k", "seq", gone.alias("deleted"), F.when(~gone, F.col("v")).alias("v"), F.when(~gone, F.col("expires_at")).alias("expires_at"))
+            made = self._write_runs(merged, level, compaction.target_partitions(size, self.config.levels.target_size))
+            done = {"id": uuid.uuid4().hex, "at": clock, "level": level, "inputs": len(inputs), "outputs": len(made), "processed": expected, "removed": expected - sum(r.entry_count for r in made), "bytes_read": size, "bytes_written": sum(r.file_size for r in made)}
+
+            def install(m: Manifest, drop=drop, made=made, done=done) -> Manifest:
+                if not names <= {r.run_id for r in m.runs}:
+                    raise StorageError("another change has taken the same runs")
+                if drop and not lowest(m):
+                    raise _Stale
+                return replace(m, runs=(*(r for r in m.runs if r.run_id not in names), *made), compactions=(*m.compactions, done))
+
+            if self._install(install, made):
+                if len(self.manifests.read().compactions) > LISTED:
+                    self._archive()
+                return done
+            now = self.manifests.read()
+        raise CommitConflict(f"no merge in {TRIES} tries")
+
+    def _archive(self) -> None:
+        """Moves the manifest's list of compactions to a file of the history; an entry that is in both counts once."""
+        m = self.manifests.read()
+        if m.compactions:
+            self.files.ensure("history")
+            self.files.create(f"history/{m.version:012d}-{uuid.uuid4().hex[:8]}.json", json.dumps(m.compactions))
+            ids = {c["id"] for c in m.compactions}
+            self.manifests.commit(lambda now: replace(now, compactions=tuple(c for c in now.compactions if c["id"] not in ids)))
 
     def vacuum(self) -> int:
-        """Removes old manifests and the files that no retained one names; how many folders went."""
-        kept = self.manifests.versions()[-self.config.retained_versions :]
+        """Removes old manifests and the folders that no retained one names; how many folders went.
+
+        What a manifest that goes has named is done with. A folder that no manifest has ever named may be a write that is on
+        its way to its commit, so it stays until ``config.orphan_seconds`` after its last change.
+        """
+        versions = self.manifests.versions()
+        kept = versions[-self.config.retained_versions :]
+        once: set[str] = set()
+        for v in versions[: -self.config.retained_versions]:
+            once |= self.manifests.read(v).folders()
+        there = [f"{top}/{n}" for top in ("runs", "changelog") for n in self.files.list(top)]
+        old = {x for x in there if x not in once and time.time() - self.files.modified(x) > self.config.orphan_seconds}
         if kept:
             self.manifests.forget_before(kept[0])
+        # read last, so that what was committed meanwhile is named
         named: set[str] = set()
-        for v in kept:
-            m = self.manifests.read(v)
-            named |= {r.path.split("/")[1] for r in m.runs} | {s.split("/", 1)[1] for s in m.segments}
-        gone = [f"{top}/{n}" for top in ("runs", "changelog") for n in self.files.list(top) if n not in named]
+        for v in self.manifests.versions():
+            named |= self.manifests.read(v).folders()
+        gone = [x for x in there if x not in named and (x in once or x in old)]
         for name in gone:
             self.files.remove(name)
         return len(gone)
 
+    # ------------------------------------------------------------------------------------------------ adaptive policy
+
+    def is_adaptive_compaction_enabled(self) -> bool:
+        return self.config.adaptive
+
+    def update_workload_characteristics(self, write_ops: int, read_ops: int, write_amplification: float = 1.0, read_latency_ms: float = 0.0, resource_utilization: float = 0.0) -> None:
+        """What the store is used for, of which the last entries are kept; the newest one steers an adaptive store."""
+        entry = {"writes": write_ops, "reads": read_ops, "amplification": float(write_amplification), "p99_ms": 2.0 * read_latency_ms, "resources": float(resource_utilization)}
+        row = self.spark.createDataFrame([(write_ops, read_ops)], "writes long, reads long")
+        entry["workload"] = row.select(adaptive.workload(F.col("writes"), F.col("reads"))).first()[0]
+        self._workloads = [*self._workloads, entry][-adaptive.WORKLOADS_KEPT :]
+
+    def update_performance_metrics(self, write_amplification: float, p50_ms: float, p95_ms: float, p99_ms: float, efficiency: float = 0.0, cpu: float = 0.0, io: float = 0.0, memory: float = 0.0) -> None:
+        """Measured performance; it overrides the workload's estimates."""
+        entry = {"amplification": float(write_amplification), "p50_ms": float(p50_ms), "p95_ms": float(p95_ms), "p99_ms": float(p99_ms), "efficiency": efficiency, "cpu": float(cpu), "io": float(io), "memory": memory}
+        self._performance = [*self._performance, entry][-adaptive.METRICS_KEPT :]
+
+    def get_workload_characteristics(self) -> dict | None:
+        return dict(self._workloads[-1]) if self._workloads else None
+
+    def get_performance_metrics(self) -> dict | None:
+        return dict(self._performance[-1]) if self._performance else None
+
+    def workload_history(self) -> list[dict]:
+        return list(self._workloads)
+
+    def performance_history(self) -> list[dict]:
+        return list(self._performance)
+
+    def reset_adaptive(self) -> None:
+        self._workloads, self._performance = [], []
+
+    def _policy_row(self) -> DataFrame:
+        w = self.get_workload_characteristics() or {"workload": "Unknown", "amplification": 1.0, "p99_ms": 0.0, "resources": 0.0}
+        p = self.get_performance_metrics() or {}
+        row = (w["workload"], p.get("amplification", w["amplification"]), p.get("p99_ms", w["p99_ms"]), w["resources"], p.get("cpu", 0.0), p.get("io", 0.0))
+        return self.spark.createDataFrame([row], "workload string, amplification double, p99_ms double, resources double, cpu double, io double")
+
+    def get_adaptive_level_config(self) -> DataFrame:
+        """The level parameters that the newest workload asks for."""
+        levels = self.config.levels
+        return adaptive.level_config(self._policy_row(), levels.levels, levels.multiplier, levels.max_l0_files).select("level", "workload", "size_multiplier", "max_runs", "compaction_ratio", "enabled")
+
+    def _policy(self) -> tuple[str | None, compaction.LevelPolicy, set[int]]:
+        """Strategy (None: not now), level policy and enabled levels for the newest workload."""
+        wa, p99, kind = F.col("amplification"), F.col("p99_ms"), F.col("workload")
+        chosen = self._policy_row().select(adaptive.strategy(kind, wa, p99, self.config.strategy).alias("strategy"), adaptive.should_schedule(F.col("resources"), F.col("cpu"), F.col("io")).alias("now")).first()
+        rows = self.get_adaptive_level_config().collect()
+        policy = replace(self.config.levels, multiplier=max(rows[0]["size_multiplier"], 1.1), max_l0_files=max(1, rows[0]["max_runs"]))
+        return chosen["strategy"] if chosen["now"] else None, policy, {r["level"] for r in rows if r["enabled"]}
+
     def shutdown(self) -> None:
         self.flush()
 
@@ -446,11 +606,21 @@ class KvStore:
     def level_stats(self) -> DataFrame:
         return stats.level_spine(self.manifest_frame(), self.config.levels.levels)
 
+    def memtable_metrics(self) -> dict[str, int]:
+        """What isn't in runs yet: rows of this handle that aren't durable, and the changelog's segments."""
+        segments = [s.split(":", 1)[1] for s in self.manifests.read().segments]
+        size = sum(2 * len(k.encode()) + sum(len(x) if isinstance(x, (str, bytes)) else 8 for x in v or () if x is not None) for k, _, v, _ in self._pending)
+        return {"active_entries": len(self._pending), "active_size": size, "immutable_count": len(segments), "immutable_size": sum(map(self.files.size, segments))}
+
     def compaction_stats(self) -> list[dict]:
-        return list(self.manifests.read().compactions)
+        """Every compaction since the last reset, in order."""
+        found = {c["id"]: c for name in self.files.list("history") for c in json.loads(self.files.read(f"history/{name}"))}
+        found |= {c["id"]: c for c in self.manifests.read().compactions}
+        return sorted(found.values(), key=lambda c: c["at"])
 
     def reset_compaction_stats(self) -> None:
         self.manifests.commit(lambda m: replace(m, compactions=()))
+        self.files.remove("history")
 
     def column_family_stats(self) -> DataFrame:
         """(cf, keys, bytes) of the families in the catalogue, empty ones too."""

@@ -1,13 +1,12 @@
 """Streams into the store, and latest-value state kept by a stream.
 
-Micro-batches are the group commit: one changelog segment and one manifest commit for each, whatever its size. A batch that
-is run again after a failure is recognised by its number and skipped. Versions arriving late lose by their seq.
+Micro-batches are the group commit: one changelog segment and one manifest commit for each, whatever its size. The commit
+names the stream and the batch, so a batch that is run again after a failure, wherever that was, is recognised and left out.
+Versions arriving late lose by their seq.
 """
 
 from __future__ import annotations
 
-import json
-import tempfile
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidemark.errors import CommitConflict
 from tidemark.operators.resolve import merge_layers, newest
+from tidemark.sources.files import scratch_folder
 from tidemark.sources.store import KvStore
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,15 +26,7 @@ def ingest(changes: DataFrame, store: KvStore, checkpoint: str, name: str = "ing
     """Appends a stream of changes (k, ordinal, v, ...) to a store, each micro-batch once."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = f"ingest/{name}/{number:012d}.json"
-        if store.files.exists(done):
-            return
-        store.append(rows)
-        store.files.ensure(f"ingest/{name}")
-        try:
-            store.files.create(done, json.dumps({"batch": number}))
-        except CommitConflict:
-            pass
+        store.append(rows, stream=(name, number))
         if compact_every and number % compact_every == compact_every - 1:
             store.flush()
             store.compact_if_needed()
@@ -72,12 +63,11 @@ def latest_values(changes: DataFrame) -> DataFrame:
 
 def streamed_state(spark: SparkSession, events: str) -> DataFrame:
     """The live state of the events changelog, read as a stream in micro-batches and resolved into one table a batch."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
     schema = spark.read.parquet(events).schema
     parent, _, file = events.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(parent) if not _is_folder(spark, events) else spark.readStream.schema(schema).parquet(events)
     changes = source.select(F.format_string("user:%06d", "user_id").alias("k"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("deleted"), F.col("value").alias("v"))
-    own = f"{folder.rstrip('/')}/streamed-{spark.sparkContext.applicationId}-{id(changes)}-{pd.Timestamp.now().value}"
+    own = scratch_folder(spark, "streamed")
     tables: list[DataFrame] = []
 
     def batch(rows: DataFrame, number: int) -> None:
