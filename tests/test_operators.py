@@ -84,5 +84,5 @@ def test_batch_get_keeps_order_and_duplicates(spark):
     state = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     got = reads.batch_get(state, reads.positions(spark, ["b", "x", "b", "a"])).collect()
     assert [(r["pos"], r["v"]) for r in got] == [(0, 2), (1, None), (2, 2), (3, 1)]
-    found = reads.key_to_runs(spark.createDataFrame([("k1",), ("k5",), ("z",)], "k string"), spark.createDataFrame([(1, "k0", "k3"), (2, "a", "zz")], "run_id int, smallest_key string, largest_key string"), cell=1)
+    found = reads.key_to_runs(spark.createDataFrame([("k1",), ("k5",), ("z",)], "k string"), spark.createDataFrame([(1, "k0", "k3"), (2, "a", "zz")], "run_id int, smallest_key string, largest_key string"), cells=2)
     assert {tuple(r) for r in found.collect()} == {("k1", 1), ("k1", 2), ("k5", 2), ("z", 2)}

@@ -72,19 +72,20 @@ KINDS = {c.kind: c for c in (KvError, InvalidKey, InvalidValue, KeyNotFound, Sto
 #: Kinds that keep their type when context is added; the others become internal errors.
 _KEEP = {"InvalidKey", "InvalidValue", "Storage", "Io", "Serialization", "Timeout", "Config"}
 
-#: Fixed values. kind: (severity when handled, recoverable, strategy, logged, reported, severity as seen by users, hint).
+#: Fixed values but for the hints. kind: (severity when handled, recoverable, strategy, logged, reported, severity as seen by
+#: users, hint).
 CLASSES = {
-    "InvalidKey": ("Medium", False, "Fail", True, False, "Low", "Check key format and length requirements"),
-    "InvalidValue": ("Medium", False, "Fail", True, False, "Low", "Verify value type and content"),
-    "KeyNotFound": ("Low", False, "Skip", False, False, "Low", "Key may not exist or may have been deleted"),
-    "Storage": ("High", True, "Retry", True, True, "High", "Check storage backend and disk space"),
-    "Io": ("High", True, "Retry", True, True, "High", "Check file permissions and disk space"),
-    "Timeout": ("High", True, "Retry", True, True, "High", "Retry operation or increase timeout"),
-    "Serialization": ("Critical", False, "Fail", True, True, "Medium", "Check data format and encoding"),
-    "Config": ("Critical", False, "Fail", True, True, "Medium", "Check configuration file and environment variables"),
-    "InvalidConfiguration": ("Critical", False, "Fail", True, True, "Medium", "Validate configuration values and format"),
-    "Encryption": ("Critical", False, "Fail", True, True, "High", "Verify encryption keys and algorithms"),
-    "Internal": ("Critical", False, "Fail", True, True, "Critical", "Contact support - this should not happen"),
+    "InvalidKey": ("Medium", False, "Fail", True, False, "Low", "Is the key empty, too long, or of the wrong pattern?"),
+    "InvalidValue": ("Medium", False, "Fail", True, False, "Low", "Is the value of one of the eight variants, and within its limits?"),
+    "KeyNotFound": ("Low", False, "Skip", False, False, "Low", "Nothing is stored under this key now"),
+    "Storage": ("High", True, "Retry", True, True, "High", "Look at the health check, and for runs that are missing"),
+    "Io": ("High", True, "Retry", True, True, "High", "Can the folder be read and written, and is there room?"),
+    "Timeout": ("High", True, "Retry", True, True, "High", "Try once more, or allow more time"),
+    "Serialization": ("Critical", False, "Fail", True, True, "Medium", "Was this written by another format or version?"),
+    "Config": ("Critical", False, "Fail", True, True, "Medium", "Config.problems() lists what is wrong"),
+    "InvalidConfiguration": ("Critical", False, "Fail", True, True, "Medium", "A setting has a value that can't work; see the message"),
+    "Encryption": ("Critical", False, "Fail", True, True, "High", "Is it the key that the data was written with?"),
+    "Internal": ("Critical", False, "Fail", True, True, "Critical", "This is a fault of the store itself; please report it"),
 }
 #: What users read, by the storage layer's own kinds of errors.
 MESSAGES = {
@@ -140,5 +141,5 @@ def handle(error: KvError, operation: Callable[[], T], retries: int = 3, delay:
     if strategy == "Retry" and recoverable:
         return retry(operation, max(0, retries - 1), delay, sleep=sleep)
     if strategy == "Skip":
-        raise KvError("Operation skipped due to error") from error
+        raise KvError(f"skipped: {error}") from error
     raise error

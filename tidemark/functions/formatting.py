@@ -72,3 +72,13 @@ def bloom_bits(n: Column, p: Column) -> Column:
 
 def bloom_hashes(bits: Column, n: Column) -> Column:
     return F.ceil(bits / n * F.ln(F.lit(2.0)))
+
+
+def ops_per_second(operations: Column, milliseconds: Column) -> Column:
+    """Operations in a second, 0 where no time has passed."""
+    return F.coalesce(F.try_divide(operations.cast("double") * 1000, milliseconds.cast("double")), F.lit(0.0))
+
+
+def timestamp_secs() -> Column:
+    """Now, in whole seconds since the epoch."""
+    return F.unix_timestamp()

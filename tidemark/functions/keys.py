@@ -75,6 +75,18 @@ def run_filename(level: int, seq: int) -> str:
     return f"L{level}_{seq:016x}"
 
 
+#: Names of run and write-ahead-log files elsewhere, by level and sequence (decimal).
+SSTABLE_NAME, WAL_NAME = "L%02d_%016d.sst", "wal_%016d.log"
+
+
+def sstable_filename(level: Column, seq: Column) -> Column:
+    return F.format_string(SSTABLE_NAME, level, seq)
+
+
+def wal_filename(seq: Column) -> Column:
+    return F.format_string(WAL_NAME, seq)
+
+
 def parse_run_filename(name: Column) -> tuple[Column, Column]:
     """(level, sequence) of ``L{level}_{hex}.sst`` and ``sstable_l{level}_t{time}[_{hex}].sst``; nulls for other names."""
     new, old = r"^L(\d+)_([0-9a-f]+)\.sst$", r"^sstable_l(\d+)_t(\d+)(?:_([0-9a-f]+))?\.sst$"

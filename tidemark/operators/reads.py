@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import CF_SEPARATOR, prefix_pred, range_pred, strip_prefix
@@ -133,15 +133,25 @@ def in_cf(state: DataFrame, cf: str, prefix: str = "", relative: bool = False) -
     return state.filter(prefix_pred(F.col("k"), full)).withColumn("k", strip_prefix(F.col("k"), cut))
 
 
-def key_to_runs(keys: DataFrame, runs: DataFrame, cell: int = 6) -> DataFrame:
+def key_to_runs(keys: DataFrame, runs: DataFrame, cells: int = 512) -> DataFrame:
     """(k, run_id): the runs (run_id, smallest_key, largest_key) whose range covers a key.
 
-    Keys and runs meet by the first ``cell`` characters, an equi-join with a range check. A run whose ends differ in them
-    is filed under every such beginning that occurs among the keys, found by a range check on the distinct beginnings only.
+    The key space is cut into cells at beginnings of runs, so cells follow the runs whatever the keys look like. A key's cell is
+    found by halving, in an expression of as many levels as ``cells`` has bits; a run is filed under each cell that it
+    reaches. So keys and runs meet by an equi-join with a range check, for which Spark broadcasts the runs if they are small
+    enough and shuffles both sides otherwise.
     """
-    at = F.substring("k", 1, cell)
-    cells = keys.select(at.alias("cell")).distinct()
-    lo, hi = F.substring("smallest_key", 1, cell), F.substring("largest_key", 1, cell)
-    filed = runs.join(cells, F.col("cell").between(lo, hi))
-    met = keys.withColumn("cell", at).join(filed, "cell")
+    # as many beginnings as cells need, drawn by hash, whatever the number of runs
+    drawn = runs.select("smallest_key").filter("smallest_key IS NOT NULL").distinct().orderBy(F.xxhash64("smallest_key"), "smallest_key").limit(cells - 1)
+    cuts = sorted((r[0] for r in drawn.collect()), key=lambda x: x.encode())
+
+    def cell(key: Column, low: int = 0, high: int = len(cuts)) -> Column:
+        """The number of cuts that are not above the key."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < cuts[middle], cell(key, low, middle)).otherwise(cell(key, middle + 1, high))
+
+    filed = runs.select("run_id", "smallest_key", "largest_key", F.explode(F.sequence(cell(F.col("smallest_key")), cell(F.col("largest_key")))).alias("cell"))
+    met = keys.withColumn("cell", cell(F.col("k"))).join(filed.filter("smallest_key <= largest_key"), "cell")
     return met.filter(F.col("k").between(F.col("smallest_key"), F.col("largest_key"))).select("k", "run_id")

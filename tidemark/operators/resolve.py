@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CONTROL = ("k", "seq", "deleted")
+#: Seqs that are looked at together where the order of all versions matters.
+BLOCK = 100_000
 
 
 def _orderable(kind: T.DataType) -> bool:
@@ -63,23 +65,36 @@ def apply_layer(state: DataFrame, layer: DataFrame) -> DataFrame:
     return state.join(layer.select("k"), "k", "left_anti").unionByName(puts.select(state.columns))
 
 
-def put_effects(df: DataFrame) -> DataFrame:
-    """Each version with ``effect``: Inserted, UpdatedLive, Resurrected or Tombstone, and ``delta``, its change of the count."""
-    before = F.lag("deleted").over(Window.partitionBy("k").orderBy("seq"))
+def put_effects(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each version with ``effect``: Inserted, UpdatedLive, Resurrected or Tombstone, and ``delta``, its change of the count.
+
+    What was before is looked for among the versions of a key in the same block of seqs; only a block's first version of a
+    key asks for the key's last version in an earlier block, of which there is one row a key and block. So a key that has a
+    large part of all versions is sorted in pieces, not in one task.
+    """
+    at = df.withColumn("_b", F.floor(F.col("seq") / block))
+    near = F.lag("deleted").over(Window.partitionBy("k", "_b").orderBy("seq"))
+    ends = at.groupBy("k", "_b").agg(F.max_by("deleted", "seq").alias("_last"))
+    ends = ends.select(F.col("k").alias("_k"), F.col("_b").alias("_of"), F.lag("_last").over(Window.partitionBy("k").orderBy("_b")).alias("_far"))
+    met = at.withColumn("_near", near).join(ends, F.col("k").eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_of")), "left")
+    before = F.coalesce("_near", "_far")
     effect = F.when(F.col("deleted"), "Tombstone").when(before.isNull(), "Inserted").when(before, "Resurrected").otherwise("UpdatedLive")
     live = F.coalesce(~before, F.lit(False)).cast("int")
-    return df.withColumn("effect", effect).withColumn("delta", F.when(F.col("deleted"), -live).otherwise(1 - live).cast("long"))
+    out = met.withColumn("effect", effect).withColumn("delta", F.when(F.col("deleted"), -live).otherwise(1 - live).cast("long"))
+    return out.select(*df.columns, "effect", "delta")
 
 
-def live_count_running(df: DataFrame) -> DataFrame:
+def live_count_running(df: DataFrame, block: int = BLOCK, fan: int = 1000) -> DataFrame:
     """(seq, live): the number of live keys after each version.
 
-    The running sum is over blocks of seqs first and then within them, so no task sorts the whole log.
+    The running sum is over groups of ``fan`` blocks first, then over a group's blocks, then within a block, so no task
+    sorts more than a block of the log or a group of blocks; the one task over groups has a row for every ``block * fan`` seqs.
     """
-    block = 100_000
-    steps = put_effects(df).select("seq", F.floor(F.col("seq") / block).alias("_b"), "delta")
-    totals = steps.groupBy("_b").agg(F.sum("delta").alias("n"))
-    before = totals.select("_b", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    steps = put_effects(df, block).select("seq", F.floor(F.col("seq") / block).alias("_b"), "delta")
+    blocks = steps.groupBy("_b").agg(F.sum("delta").alias("n")).withColumn("_g", F.floor(F.col("_b") / fan))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = blocks.groupBy("_g").agg(F.sum("n").alias("n")).select("_g", upto(Window.orderBy("_g")).alias("far"))
+    before = blocks.withColumn("near", upto(Window.partitionBy("_g").orderBy("_b"))).join(groups, "_g").select("_b", (F.col("near") + F.col("far")).alias("base"))
     within = Window.partitionBy("_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return steps.join(before, "_b").select("seq", (F.col("base") + F.sum("delta").over(within)).cast("long").alias("live"))
 
