@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import Config
 from tidemark.errors import CLASSES, error_dimension
 from tidemark.functions import formatting, keys, validation, values
 from tidemark.operators import adaptive, compaction, reads, resolve, stats
 from tidemark.plans import fixtures as fx
+from tidemark.sources.files import scratch_folder
+from tidemark.sources.store import KvStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,27 +169,27 @@ def live_count_running(spark, sf):
 
 
 @query("""WITH {cl}, l1 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl WHERE run < 4),
-u AS (SELECT k, seq, deleted, v FROM l1 WHERE rn = 1 UNION ALL SELECT k, seq, deleted, v FROM cl WHERE run BETWEEN 4 AND 8)
+u AS (SELECT k, seq, deleted, v FROM l1 WHERE rn = 1 UNION ALL SELECT k, seq, deleted, v FROM cl WHERE run >= 4)
 SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM u) WHERE rn = 1 AND NOT deleted""")
 def union_layers(spark, sf):
     c = fx.changelog(spark, sf)
     pick = lambda df: df.select("k", "seq", "deleted", "v")
-    merged = resolve.merge_layers(resolve.newest(pick(c.filter("run < 4"))), pick(c.filter("run BETWEEN 4 AND 8")))
+    merged = resolve.merge_layers(resolve.newest(pick(c.filter("run < 4"))), pick(c.filter("run >= 4")))
     return resolve.latest_wins(merged).select("k", "v", "seq")
 
 
 @query("""WITH {cl}, f AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl WHERE run < 4) WHERE rn = 1 AND NOT deleted),
-n AS (SELECT k, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl WHERE run = 4) WHERE rn = 1)
+n AS (SELECT k, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl WHERE run >= 4) WHERE rn = 1)
 SELECT k, v FROM f WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT k, v FROM n WHERE NOT deleted""")
 def apply_layer(spark, sf):
     c = fx.changelog(spark, sf).select("k", "seq", "deleted", "v", "run")
     base = resolve.latest_wins(c.filter("run < 4").drop("run")).select("k", "v")
-    return resolve.apply_layer(base, resolve.newest(c.filter("run = 4").drop("run")).select("k", "deleted", "v"))
+    return resolve.apply_layer(base, resolve.newest(c.filter("run >= 4").drop("run")).select("k", "deleted", "v"))
 
 
-@query("SELECT k, v FROM (SELECT event_type || ':' || user_id AS k, value AS v, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id < 2000) WHERE rn = 1")
+@query("SELECT k, v FROM (SELECT event_type || ':' || user_id AS k, value AS v, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
 def batch_put_last_wins(spark, sf):
-    e = fx.table(spark, sf, "events").filter("event_id < 2000")
+    e = fx.table(spark, sf, "events")
     batch = e.select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("k"), F.col("event_id").alias("seq"), F.lit(False).alias("deleted"), F.col("value").alias("v"))
     return resolve.latest_wins(batch).select("k", "v")
 
@@ -231,9 +234,10 @@ def cf_drop(spark, sf):
     return reads.batch_delete(spaced, spaced.filter(keys.prefix_pred(F.col("k"), "P#")))
 
 
-@query("SELECT o_orderstatus AS cf, count(*) AS keys, sum(o_totalprice) > 0 AS has_value FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS cf, count(*) AS keys, round(sum(o_totalprice), 2) AS total, 8 * count(*) AS bytes FROM orders GROUP BY 1")
 def cf_stats(spark, sf):
-    return fx.orders(spark, sf).groupBy("cf").agg(F.count("*").alias("keys"), (F.sum("v") > 0).alias("has_value"))
+    size = values.serialized_size(values.value(values.FLOAT64, F.col("v")))
+    return fx.orders(spark, sf).groupBy("cf").agg(F.count("*").alias("keys"), F.round(F.sum("v"), 2).alias("total"), F.sum(size).alias("bytes"))
 
 
 # ------------------------------------------------------------------------------------------------------- aggregates
@@ -265,15 +269,16 @@ def level_spine(spark, sf):
     return stats.level_spine(fx.event_runs(spark, sf), 5)
 
 
-@query("SELECT event_type, count(*) AS ops, CAST(sum(strlen(props)) AS BIGINT) AS bytes, min(value) AS min_latency, max(value) AS max_latency FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS ops, CAST(sum(strlen(props)) AS BIGINT) AS bytes, min(value) AS min_latency, max(value) AS max_latency, round(sum(value), 2) AS avg_times_ops FROM events GROUP BY 1")
 def latency_stats(spark, sf):
+    # a mean is shown times its count: the values have two decimals, and so has that, however their sum was rounded
     e = fx.table(spark, sf, "events").withColumn("size", F.octet_length("props").cast("long"))
-    return stats.latency_stats(e, ["event_type"], "value", "size").drop("avg_latency")
+    return stats.latency_stats(e, ["event_type"], "value", "size").withColumn("avg_times_ops", F.round(F.col("avg_latency") * F.col("ops"), 2)).drop("avg_latency")
 
 
-@query("SELECT user_id, event_id, count(*) OVER w AS n, min(value) OVER w AS least, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("SELECT user_id, event_id, count(*) OVER w AS n, min(value) OVER w AS least, max(value) OVER w AS most, round(sum(value) OVER w, 2) AS mean_times_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def running_latency(spark, sf):
-    return stats.running_latency(fx.table(spark, sf, "events"), ["user_id"], "event_id", "value").drop("mean")
+    return stats.running_latency(fx.table(spark, sf, "events"), ["user_id"], "event_id", "value").withColumn("mean_times_n", F.round(F.col("mean") * F.col("n"), 2)).drop("mean")
 
 
 @query("SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = CAST(floor((n - 1) * 99.0::DOUBLE / 100 + 0.5::DOUBLE) AS BIGINT)")
@@ -303,20 +308,20 @@ def checksum_fold(spark, sf):
     return fx.state(spark, sf).agg(F.count("*").alias("n"), F.sum("seq").alias("checksum"))
 
 
-@query("SELECT CAST(user_id AS BIGINT) AS user_id, event_id, count(*) OVER w AS n, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, event_id, count(*) OVER w AS n, round(sum(value) OVER w, 2) AS mean_times_n, max(value) OVER w AS most, round(2 * sum(value) OVER w, 2) AS p99_times_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 def history_last10(spark, sf):
-    return adaptive.history(fx.table(spark, sf, "events"), ["user_id"], "event_id", "value").select("user_id", "event_id", "n", "most")
+    return adaptive.history(fx.table(spark, sf, "events"), ["user_id"], "event_id", "value").withColumns({f"{x}_times_n": F.round(F.col(x) * F.col("n"), 2) for x in ("mean", "p99")}).drop("mean", "p99")
 
 
 # -------------------------------------------------------------------------------------------------------- compaction
 
 
-@query("WITH {cl} SELECT count(*) AS processed, count(*) - count(*) FILTER (rn = 1 AND NOT deleted) AS removed FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl)")
+@query("WITH {cl} SELECT count(*) AS processed, count(*) - count(*) FILTER (rn = 1 AND NOT deleted) AS removed, count(*) * 100 AS bytes_read, count(*) FILTER (rn = 1 AND NOT deleted) * 100 AS bytes_written, (count(*) - count(*) FILTER (rn = 1 AND NOT deleted)) * 100 AS bytes_reclaimed FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl)")
 def compaction_stats(spark, sf):
     c = fx.changelog(spark, sf)
     one = lambda df: df.agg(F.count("*").alias("entry_count")).select("entry_count", (F.col("entry_count") * 100).alias("file_size"))
     kept = resolve.dedupe_runs(c.filter("run < 4").select("k", "seq", "deleted", "v"), c.filter("run >= 4").select("k", "seq", "deleted", "v"), drop_tombstones=True)
-    return compaction.compaction_stats(one(c), one(kept)).select("processed", "removed")
+    return compaction.compaction_stats(one(c), one(kept))
 
 
 @query("WITH {runs} SELECT level, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes, CASE WHEN level = 0 THEN count(*) > 3 ELSE sum(file_size) > 30000 * pow(10, level) END AS due FROM runs GROUP BY level")
@@ -373,7 +378,7 @@ def greedy_pack(spark, sf):
 @query("""WITH b AS (SELECT CAST(floor(l_orderkey / 1500.0) AS INT) AS run_id, min(printf('order:%08d', l_orderkey)) AS lo, max(printf('order:%08d', l_orderkey)) AS hi FROM lineitem GROUP BY 1)
 SELECT printf('order:%08d', o_orderkey) AS k, run_id FROM orders JOIN b ON printf('order:%08d', o_orderkey) BETWEEN lo AND hi""")
 def key_to_run_range_join(spark, sf):
-    return reads.key_to_runs(fx.orders(spark, sf).select("k"), fx.order_blocks(spark, sf), cell=12)
+    return reads.key_to_runs(fx.orders(spark, sf).select("k"), fx.order_blocks(spark, sf))
 
 
 @query("WITH {runs} SELECT greatest(max(min_seq), max(min_seq + entry_count)) + 1 AS next_seq FROM runs")
@@ -480,9 +485,9 @@ def overall_health(spark, sf):
     return r.select("user_id", stats.overall_health(hit, (F.col("user_id") % 100).cast("double"), F.when(F.col("writes") > 100, 11).otherwise(0), (F.col("user_id") % 7 == 6).cast("int")).alias("health"))
 
 
-@query("WITH {runs} SELECT 'Compaction' AS category, 'High' AS priority, 'Too many L0 files' AS title FROM runs WHERE level = 0 HAVING count(*) > 4 UNION ALL SELECT 'Performance', 'High', 'High read latency detected' UNION ALL SELECT 'Compaction', 'Low', 'No compaction performed'")
+@query("WITH {runs} SELECT 'Compaction' AS category, 'High' AS priority, 'Level 0 is crowded' AS title, printf('reads may have to resolve %d overlapping runs', count(*)) AS description, 'compact level 0' AS action FROM runs WHERE level = 0 HAVING count(*) > 4 UNION ALL SELECT 'Performance', 'High', 'Reads are slow', 'a read takes 120.00 ms on average', 'compact, so that a read meets fewer runs' UNION ALL SELECT 'Compaction', 'Low', 'Never compacted', '5000 operations and not one compaction', 'compact once, or turn automatic compaction on'")
 def recommendations(spark, sf):
-    return stats.recommendations(fx.event_runs(spark, sf), 120.0, 10.0, 0, 5000).drop("description")
+    return stats.recommendations(fx.event_runs(spark, sf), 120.0, 10.0, 0, 5000)
 
 
 @query("SELECT metric, value, \"at\" FROM (SELECT event_type AS metric, value, event_id AS \"at\", row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -623,3 +628,223 @@ def live_state_streamed(spark, sf):
     from tidemark.streaming.ingest import streamed_state
 
     return streamed_state(spark, f"{sf}/events.parquet")
+
+
+# ------------------------------------------------------------------------------------------------- round trips of a store
+
+
+def _store(spark, **options) -> KvStore:
+    """A new store that goes when the driver ends; its clock stands still."""
+    return KvStore.open(spark, scratch_folder(spark, "store"), Config(**options), clock=lambda: _TTL_NOW)
+
+
+def _events_as_changes(spark, sf) -> DataFrame:
+    log = fx.changelog(spark, sf)
+    return log.select("k", F.col("seq").alias("ordinal"), F.when(~F.col("deleted"), values.value(values.FLOAT64, F.col("v"))).alias("v"), "run")
+
+
+def _pairs(scan: DataFrame) -> DataFrame:
+    return scan.select("k", F.col("v.d").alias("v"))
+
+
+def _orders_in_families(spark, sf) -> DataFrame:
+    o = fx.orders(spark, sf)
+    return o.select(keys.cf_key_column(F.col("cf"), F.col("k")).alias("k"), F.col("n").alias("ordinal"), values.value(values.FLOAT64, F.col("v")).alias("v"))
+
+
+@query("WITH {st} SELECT k, v FROM st")
+def store_append_flush_read(spark, sf):
+    store = _store(spark)
+    store.append(_events_as_changes(spark, sf).drop("run"))
+    store.flush()
+    return _pairs(store.scan_all())
+
+
+@query("WITH {st} SELECT k, v FROM st")
+def store_compacted_read(spark, sf):
+    """Two runs at level 0 merged into level 1."""
+    store, changes = _store(spark), _events_as_changes(spark, sf)
+    for part in ("run < 4", "run >= 4"):
+        store.append(changes.filter(part).drop("run"))
+        store.flush()
+    store.compact()
+    return _pairs(store.scan_all())
+
+
+@query("WITH {cl} SELECT CAST(1 AS INT) AS level, n AS processed, n - m AS removed, m AS entries FROM (SELECT count(*) FILTER (newest) AS n FROM (SELECT row_number() OVER (PARTITION BY k, run < 4 ORDER BY seq DESC) = 1 AS newest FROM cl)), (SELECT count(*) FILTER (NOT deleted) AS m FROM (SELECT deleted, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl) WHERE rn = 1)")
+def store_compaction_counts(spark, sf):
+    """What the merge of two runs read, removed and left."""
+    store, changes = _store(spark), _events_as_changes(spark, sf)
+    for part in ("run < 4", "run >= 4"):
+        store.append(changes.filter(part).drop("run"))
+        store.flush()
+    store.compact()
+    done = spark.createDataFrame([(c["level"], c["processed"], c["removed"]) for c in store.compaction_stats()], "level int, processed long, removed long")
+    return done.crossJoin(store.manifest_frame().agg(F.sum("entry_count").alias("entries")))
+
+
+@query("WITH {st} SELECT k, v FROM st WHERE starts_with(k, 'user:00001') ORDER BY k")
+def store_layered_prefix(spark, sf):
+    """A run below and a changelog segment above it, scanned by prefix."""
+    store, changes = _store(spark), _events_as_changes(spark, sf)
+    store.append(changes.filter("run < 4").drop("run"))
+    store.flush()
+    store.append(changes.filter("run >= 4").drop("run"))
+    return _pairs(store.scan_prefix_with_values("user:00001"))
+
+
+@query("WITH {st} SELECT k, v FROM st WHERE k >= 'user:00001' AND k < 'user:00003' ORDER BY k LIMIT 7")
+def store_range_limit(spark, sf):
+    store = _store(spark)
+    store.append(_events_as_changes(spark, sf).drop("run"))
+    return _pairs(store.scan_range_limit_with_values("user:00001", "user:00002", 7))
+
+
+@query("WITH {st} SELECT p.pos, st.v FROM (SELECT event_id AS pos, printf('user:%06d', user_id * 2) AS k FROM events) p LEFT JOIN st ON p.k = st.k")
+def store_multi_get(spark, sf):
+    store = _store(spark)
+    store.append(_events_as_changes(spark, sf).drop("run"))
+    store.flush()
+    asked = fx.table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.format_string("user:%06d", F.col("user_id") * 2).alias("k"))
+    return store.batch_get_frame(asked).select("pos", F.col("v.d").alias("v"))
+
+
+@query("WITH {cl} SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM cl WHERE run < 4) WHERE rn = 1 AND NOT deleted")
+def store_snapshot(spark, sf):
+    """A snapshot before more is written, flushed and compacted, read afterwards."""
+    store, changes = _store(spark), _events_as_changes(spark, sf)
+    store.append(changes.filter("run < 4").drop("run"))
+    before = store.snapshot()
+    store.append(changes.filter("run >= 4").drop("run"))
+    store.compact()
+    return _pairs(before.scan_prefix())
+
+
+_EXPIRING = "w AS (SELECT printf('user:%06d', user_id) AS k, max(event_id) AS seq, max_by(value, event_id) AS v, max(CAST(floor(epoch(ts)) AS BIGINT)) + 86400 AS expires_at FROM events GROUP BY user_id)"
+
+
+def _expiring(spark, sf) -> DataFrame:
+    """Each user's last value, until a day after the last event."""
+    e = fx.table(spark, sf, "events")
+    last = e.groupBy(F.format_string("user:%06d", "user_id").alias("k")).agg(F.max("event_id").alias("ordinal"), F.max_by("value", "event_id").alias("v"), (F.max(F.unix_timestamp("ts")) + 86400).alias("expires_at"))
+    return last.withColumn("v", values.value(values.FLOAT64, F.col("v")))
+
+
+@query(f"WITH {_EXPIRING} SELECT k, v FROM w WHERE expires_at > {_TTL_NOW}")
+def store_time_to_live(spark, sf):
+    store = _store(spark)
+    store.append(_expiring(spark, sf))
+    store.flush()
+    return _pairs(store.scan_all())
+
+
+@query(f"WITH {_EXPIRING} SELECT count(*) FILTER (expires_at > {_TTL_NOW}) AS entries, count(*) FILTER (expires_at <= {_TTL_NOW}) AS removed FROM w")
+def store_time_to_live_reclaimed(spark, sf):
+    """Compaction removes what has expired: the manifest's entries afterwards."""
+    store = _store(spark)
+    store.append(_expiring(spark, sf))
+    done = store.compact()
+    return store.manifest_frame().agg(F.coalesce(F.sum("entry_count"), F.lit(0)).cast("long").alias("entries"), F.lit(done["removed"]).cast("long").alias("removed"))
+
+
+@query("SELECT printf('order:%08d', o_orderkey) AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F' ORDER BY k")
+def store_family_scan(spark, sf):
+    store = _store(spark)
+    store.create_column_family("F")
+    store.append(_orders_in_families(spark, sf))
+    store.flush()
+    return _pairs(store.scan_all_cf("F"))
+
+
+@query("SELECT o_orderstatus || '#' || printf('order:%08d', o_orderkey) AS k, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'")
+def store_family_dropped(spark, sf):
+    store = _store(spark)
+    store.create_column_family("P")
+    store.append(_orders_in_families(spark, sf))
+    store.drop_column_family("P")
+    store.compact()
+    return _pairs(store.scan_all())
+
+
+@query("WITH f AS (SELECT o_orderstatus AS cf, count(*) AS keys, 8 * count(*) AS bytes FROM orders GROUP BY 1) SELECT s.cf, coalesce(keys, 0) AS keys, coalesce(bytes, 0) AS bytes FROM (VALUES ('default'), ('F'), ('O'), ('P'), ('none')) s(cf) LEFT JOIN f USING (cf)")
+def store_family_stats(spark, sf):
+    store = _store(spark)
+    for name in ("F", "O", "P", "none"):
+        store.create_column_family(name)
+    store.append(_orders_in_families(spark, sf))
+    store.flush()
+    return store.column_family_stats()
+
+
+@query("WITH {st} SELECT k, v FROM st WHERE k NOT IN (SELECT k FROM cl WHERE deleted)")
+def store_deletes(spark, sf):
+    """Every key that ever had an error is deleted by a frame of changes, over runs and segments."""
+    store, changes = _store(spark), _events_as_changes(spark, sf)
+    store.append(changes.drop("run"))
+    store.flush()
+    gone = changes.filter("v IS NULL").select("k").distinct().withColumn("ordinal", F.lit(0)).withColumn("v", values.value(values.NULL))
+    store.append(gone)
+    return _pairs(store.scan_all())
+
+
+@query("WITH {st} SELECT k, v, seq FROM st")
+def store_data_source(spark, sf):
+    """The data source over a run and a segment that isn't flushed, resolved by seq."""
+    from tidemark.sources.datasource import register
+
+    store, changes = _store(spark), _events_as_changes(spark, sf)
+    store.append(changes.filter("run < 4").drop("run"))
+    store.flush()
+    first = store.manifests.read().next_seq
+    store.append(changes.filter("run >= 4").withColumn("ordinal", F.col("ordinal") - first).drop("run"))
+    register(spark)
+    rows = spark.read.format("tidemark").option("path", store.files.root).load()
+    return resolve.latest_wins(rows.select("k", "seq", "deleted", "d")).select("k", F.col("d").alias("v"), "seq")
+
+
+@query("WITH {st} SELECT k, v FROM st")
+def store_ingested(spark, sf):
+    """The changelog as a stream into a store, and its batches once more under another checkpoint, which changes nothing."""
+    from tidemark.streaming.ingest import ingest
+
+    store, folder = _store(spark), scratch_folder(spark, "ingested")
+    _events_as_changes(spark, sf).drop("run").write.mode("overwrite").parquet(f"{folder}/in")
+    for name in ("a", "b"):
+        changes = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+        ingest(changes, store, f"{folder}/{name}").awaitTermination()
+    return _pairs(store.scan_all())
+
+
+@query(f"""WITH {{st}} SELECT 'storage_total_keys' AS metric, (SELECT count(*) FROM st)::DOUBLE AS value UNION ALL SELECT 'storage_health_status', 1.0::DOUBLE
+UNION ALL SELECT 'storage_error_count', count(*)::DOUBLE FROM events WHERE event_type = 'error' UNION ALL SELECT 'alert:r1_{_TTL_NOW}', (SELECT count(*) FROM st)::DOUBLE""")
+def store_monitored(spark, sf):
+    """What a monitor of the store collects, with the alert that its one rule raises."""
+    from tidemark.monitor import AlertRule, Monitor
+
+    store = _store(spark)
+    store.append(_events_as_changes(spark, sf).drop("run"))
+    store.flush()
+    errors = fx.table(spark, sf, "events").filter("event_type = 'error'").count()
+    monitor = Monitor(store)
+    monitor.update_stats(error_count=errors)
+    monitor.add_alert_rule(AlertRule("r1", "storage_total_keys", "GreaterThan", 0.0))
+    monitor.collect()
+    monitor.collect()
+    shown = [(name, monitor.get_metrics()[name]) for name in ("storage_total_keys", "storage_health_status", "storage_error_count")]
+    return spark.createDataFrame(shown + [(f"alert:{a['alert_id']}", a["value"]) for a in monitor.get_alerts()], "metric string, value double")
+
+
+@query("SELECT CAST(s.level AS INT) AS level, 'WriteHeavy' AS workload, round(10 * least(2.0::DOUBLE, 1.0::DOUBLE + (1.2::DOUBLE * 1.1::DOUBLE - 1.0::DOUBLE) * 0.5::DOUBLE), 6) AS size_multiplier, CAST(15 AS BIGINT) AS max_runs, 0.15::DOUBLE AS compaction_ratio, true AS enabled FROM range(7) s(level)")
+def store_adaptive_levels(spark, sf):
+    """The level parameters of a store that is told of its own writes."""
+    store = _store(spark, adaptive=True)
+    writes = fx.table(spark, sf, "events").count()
+    store.update_workload_characteristics(writes, 0, write_amplification=2.5)
+    out = store.get_adaptive_level_config()
+    return out.withColumns({"size_multiplier": F.round("size_multiplier", 6), "compaction_ratio": F.round("compaction_ratio", 6)})
+
+
+@query("SELECT o_orderkey AS r, printf('L%02d_%016d.sst', o_orderkey % 7, o_orderkey) AS run, printf('wal_%016d.log', o_orderkey) AS wal, round(o_orderkey::DOUBLE * 1000 / 7, 6) AS rate FROM orders")
+def file_names(spark, sf):
+    r = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("r"))
+    return r.select("r", keys.sstable_filename(F.col("r") % 7, F.col("r")).alias("run"), keys.wal_filename(F.col("r")).alias("wal"), F.round(formatting.ops_per_second(F.col("r"), F.lit(7)), 6).alias("rate"))
