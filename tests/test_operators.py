@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,36 @@ def test_batch_get_keeps_order_and_duplicates(spark):
     assert [(r["pos"], r["v"]) for r in got] == [(0, 2), (1, None), (2, 2), (3, 1)]
     found = reads.key_to_runs(spark.createDataFrame([("k1",), ("k5",), ("z",)], "k string"), spark.createDataFrame([(1, "k0", "k3"), (2, "a", "zz")], "run_id int, smallest_key string, largest_key string"), cells=2)
     assert {tuple(r) for r in found.collect()} == {("k1", 1), ("k1", 2), ("k5", 2), ("z", 2)}
+
+
+def test_key_to_runs_of_many_runs_and_one_prefix(spark):
+    n = 10_000
+    runs_ = spark.range(n).selectExpr("CAST(id AS int) AS run_id", "format_string('order:%08d', id * 10) AS smallest_key", "format_string('order:%08d', id * 10 + 9) AS largest_key")
+    wide = spark.createDataFrame([(-1, "order:", "order:9"), (-2, "order:00050000", "order:00060000"), (-3, "b", "a")], "run_id int, smallest_key string, largest_key string")
+    keys = spark.range(0, 10 * n, 37).selectExpr("format_string('order:%08d', id) AS k", "id")
+    found = reads.key_to_runs(keys, runs_.unionByName(wide))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    got = {tuple(r) for r in found.collect()}
+    ids = range(0, 10 * n, 37)
+    want = {(f"order:{i:08d}", i // 10) for i in ids} | {(f"order:{i:08d}", -1) for i in ids} | {(f"order:{i:08d}", -2) for i in ids if 50_000 <= i <= 60_000}
+    assert got == want
+    # a cell holds no more runs than a few times its share
+    assert reads.key_to_runs(keys, wide.filter("false")).count() == 0
+
+
+def test_effects_and_counts_in_blocks(spark):
+    rng = random.Random(3)
+    # one key has half of all versions
+    rows = [(rng.choice(["hot", f"k{rng.randrange(9)}"]), i, rng.random() < 0.4) for i in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "k string, seq long, deleted boolean")
+    live, want, running = {}, {}, []
+    for k, seq, deleted in sorted(rows, key=lambda r: r[1]):
+        was = live.get(k)
+        want[seq] = "Tombstone" if deleted else "Inserted" if was is None else "UpdatedLive" if was else "Resurrected"
+        live[k] = not deleted
+        running.append((seq, sum(live.values())))
+    for block, fan in ((100_000, 1000), (50, 1000), (7, 3)):
+        assert {r["seq"]: r["effect"] for r in resolve.put_effects(df, block).collect()} == want
+        assert sorted((r["seq"], r["live"]) for r in resolve.live_count_running(df, block, fan).collect()) == running
+    assert resolve.live_count_running(df.filter("false")).count() == 0
