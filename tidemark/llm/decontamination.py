@@ -39,8 +39,8 @@ SAMPLED, TARGET, AGREE = 3, 0.98, 0.49
 SEGMENT = 14
 #: Items, and bytes of their texts, that one pass over the documents takes; a larger benchmark takes more passes.
 BLOCK_ITEMS, PASS_BYTES = 20_000, 16 << 20
-#: Places that are looked at together.
-PLACES_AT_ONCE = 500_000
+#: Places that are looked at together, and how far before a text one can begin.
+PLACES_AT_ONCE, MARGIN = 500_000, 64
 _U = np.uint64
 
 
@@ -150,7 +150,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _places(row: np.ndarray, name: np.ndarray, index: _Index) -> np.ndarray:
     """Distinct (row, start, length): where a segment of that length would begin, wherever one of its item's blocks occurs."""
-    found = [np.empty((0, 3), np.int64)]
+    found = [np.empty(0, np.int64)]
     low = _U((1 << 20) - 1)
     for size, (hashes, wide, off) in index.blocks.items():
         if len(name) < size:
@@ -165,8 +165,10 @@ def _places(row: np.ndarray, name: np.ndarray, index: _Index) -> np.ndarray:
         for some in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(hi - lo) // PLACES_AT_ONCE)) + 1):
             i, j = _expand(lo[some], hi[some])
             at = start[hit[some][i]]
-            found.append(np.unique(np.stack((row[at], at - off[j], wide[j]), 1), axis=0))
-    return np.unique(np.concatenate(found), axis=0)
+            # one number a place, which sorts faster: 26 bits of row, 32 of start (which can lie before the text), 5 of length
+            found.append(np.unique(row[at] << 37 | at - off[j] + MARGIN << 5 | wide[j]))
+    place = np.unique(np.concatenate(found))
+    return np.stack((place >> 37, (place >> 5 & (1 << 32) - 1) - MARGIN, place & 31), 1)
 
 
 def edit_distance(item: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
