@@ -77,3 +77,40 @@ def test_one_of_each(spark):
             want.append(min(ids) if ids else None)
     want += [r[0] for r, s in zip(rows, sets, strict=True) if not s]
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_phrase_that_many_unlike_classes_share(spark, monkeypatch):
+    """Short texts around one phrase: its shingles are in all prefixes, and its rows meet in blocks."""
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 10)
+    monkeypatch.setattr("tidemark.llm.common.LEAST_HOT", 5)
+    rng = random.Random(7)
+    phrase = sentence(rng, 9)
+    rows = [(i, f"{sentence(rng, rng.randrange(1, 4))} {phrase} {sentence(rng, rng.randrange(3))}", "en", "s", 0) for i in range(120)]
+    rows += near(5, 40) + [(None, phrase, "en", "s", 0)] * 3
+    assert sorted((tuple(r) for r in near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_very_many_copies_and_near_copies(spark):
+    """5,000 near copies in a few components, and as many exact copies; no join deals a component or class to one task."""
+    rng = random.Random(8)
+    bases = [sentence(rng, 60).split() for _ in range(3)]
+    rows = []
+    for i in range(5000):
+        w = list(bases[i % 3])
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    rows += [(10_000 + i, "one text that is copied very often and has more than five words", "en", "s", 0) for i in range(5000)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows).repartition(6)).collect()}
+    assert {got[i] for i in range(10_000, 15_000)} == {10_000}
+    assert all(got[i] == i % 3 for i in range(5000))
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    from tidemark.llm.common import spread_join
+
+    monkeypatch.setattr("tidemark.llm.common.LEAST_HOT", 10)
+    left = spark.createDataFrame([(i, None if i % 5 == 0 else 1 if i % 5 < 3 else i) for i in range(200)], "id long, k long")
+    right = spark.createDataFrame([(k, k * 2) for k in (1, 3, 4, 8, 500)], "k long, v long")
+    for how in ("left", "inner", "left_semi"):
+        assert sorted(map(str, spread_join(left, right, ["k"], ["id"], how).collect())) == sorted(map(str, left.join(right, ["k"], how).collect()))

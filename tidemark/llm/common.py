@@ -85,6 +85,26 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows from which a key can be hot, how many of the most frequent keys are, and in how many parts the rows of each are dealt.
+LEAST_HOT, HOT_KEYS, PARTS = 1000, 1024, 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, the rows of hot keys (nulls too) dealt in parts by the columns ``by`` of ``left``.
+
+    The hot keys are the ``HOT_KEYS`` most frequent in ``left``, which the driver lists; any other key has less than one in so
+    many of the rows. Only their rows of ``right`` are repeated, once a part. ``left`` is read twice, so it should be a table.
+    """
+    name = F.xxhash64(*keys)
+    often = left.groupBy(name.alias("_h")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_HOT)
+    hot = [r[0] for r in often.orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).collect()]
+    if not hot:
+        return left.join(right, keys, how)
+    part = F.when(name.isin(hot), F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int")).otherwise(0)
+    parts = F.when(name.isin(hot), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("_part", part).join(right.withColumn("_part", F.explode(parts)), [*keys, "_part"], how).drop("_part")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

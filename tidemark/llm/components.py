@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, release, written
+from tidemark.llm.common import Scratch, release, spread_join, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    met = spread_join(both, least, ["u"], ["v"], "inner")
     out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
@@ -26,8 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Callable[[Dat
     """(node, component) for every node of an edge, the component being its least node. Nodes are longs; ``keep`` writes
     the result.
 
-    Each pair of rounds is written to the shared folder. The rounds end when a pair leaves the edges as they were, which
-    takes a number of rounds logarithmic in the longest path; then every edge points at its component.
+    Each round is written to the shared folder; a node with very many neighbours has them dealt in parts. The rounds end when a
+    pair of them leaves the edges as they were, which takes a number of rounds logarithmic in the longest path; then every
+    edge points at its component.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -37,7 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Callable[[Dat
         edges = tables(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
         was = state(edges)
         while True:
-            edges = tables(_star(_star(edges, True), False))
+            edges = tables(_star(tables(_star(edges, True)), False))
             release(edges.sparkSession)
             now = state(edges)
             if now == was:

@@ -11,15 +11,17 @@ one. Documents with equal sets are one *class*, known by 64 bits of the set. Two
    meet by shingle, bucket by bucket, and those of shingles with one class end there. Shingles so frequent that their rows
    could fill a task skip the buckets and are grouped by Spark with partial aggregation.
 3. Shingles of few classes give all their pairs that pass the length and positional filters. For the others candidates come
-   in rounds. In a star round each shingle's rows are compared with one leader of about their own size
-   (first the one with the fewest rarer shingles, then others), which is linear in the rows; what links is merged, and only shingles that still join
-   different components go on. The last round takes all pairs of different components that share a shingle there and pass
-   the length and positional filters. So thousands of near copies cost a few comparisons each instead of all their pairs,
-   and no link that could change a component is missed.
-   The suffix filter works on candidates of every round before a text is touched: of hashed cells, those in which the two
+   in two rounds. First each shingle's rows are compared with one leader of about their own size, the one with the fewest
+   rarer shingles, which is linear in the rows; what links is merged, and only shingles that still join different components
+   go on. The second round takes all pairs of different components that share a shingle there and pass the length and
+   positional filters. So thousands of near copies cost a few comparisons each instead of all their pairs, and no link that
+   could change a component is missed. The rows of a shingle that very many classes share are dealt in blocks, and each pair
+   of blocks meets by itself, so such a shingle is the work of many tasks.
+   The suffix filter works on candidates of both rounds before a text is touched: of hashed cells, those in which the two
    sets have numbers of different parity bound their symmetric difference from below. 256 cells go with the rows, and as many
    as the set is large with the pairs.
 4. A candidate pair is verified once, by intersecting the sets exactly.
+5. Classes and components of very many documents are joined in parts (``common.spread_join``).
 
 Defined cases: null text or no words: no set, linked with nothing, component is the own doc_id; null doc_id: takes part in
 links, and a component's id is its least doc_id that is not null (null if there is none); repeated rows: one class.
@@ -34,16 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, distinct_sorted, flat, lowered, mix, pieces, release, span_hash, stable_order, table, words, written
+from tidemark.llm.common import Scratch, distinct_sorted, flat, lowered, mix, pieces, release, span_hash, spread_join, stable_order, table, words, written
 from tidemark.llm.components import components
 from tidemark.llm.packed import BUCKET_BYTES, SCHEMA, heads, pack, text_bytes, reduce_buckets
 
 SHINGLE = 5
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-STAR_ROUNDS = 1
-#: Bounds on the slots of the frequency table (4 bytes each when broadcast).
-MIN_SLOTS, MAX_SLOTS = 1 << 17, 1 << 23
+#: Bounds on the slots of the frequency table (4 bytes each when broadcast and in what a task sends), and in how many pieces a
+#: task sends its counts. Beyond the most slots rare shingles can't be told apart, but those are still that fill a slot.
+MIN_SLOTS, MAX_SLOTS, CHUNKS = 1 << 17, 1 << 20, 256
+#: Rows of a shingle that make a block.
+BLOCK_ROWS = 2000
 #: A shingle's rows skip the buckets if its slot counts this many and four times the mean.
 HOT = 4096
 #: Packed bytes for each byte of (compressed) input, measured; only sets the number of buckets.
@@ -110,7 +114,7 @@ def _ceil(a, b):
 
 
 def _profile(docs: DataFrame, slots: int) -> DataFrame:
-    """Rows of two kinds: (slot, n) of a task's shingle counts, and (doc_id, sid, n, sketch) of documents (slot null)."""
+    """Rows of two kinds: (chunk, counts) of a task's shingle counts, and (doc_id, sid, n, sketches) of documents (chunk null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(slots, np.int64)
@@ -120,12 +124,35 @@ def _profile(docs: DataFrame, slots: int) -> DataFrame:
             sid = _set_ids(rows, hashes, sizes)
             sketch = dict(zip(_SKETCH, _sketches(rows, hashes, len(sizes)), strict=True))
             fine = pa.array(_fine_sketches(rows, hashes, sizes), pa.binary())
-            yield table(slot=pa.nulls(len(sizes), pa.int32()), doc_id=piece.column("doc_id").cast(pa.int64()), sid=pa.array(sid, mask=sizes == 0), n=sizes, **sketch, fine=fine)
-        at = np.flatnonzero(seen)
-        none = pa.nulls(len(at), pa.int64())
-        yield table(slot=at.astype(np.int32), doc_id=none, sid=none, n=seen[at], **dict.fromkeys(_SKETCH, none), fine=pa.nulls(len(at), pa.binary()))
+            yield table(chunk=pa.nulls(len(sizes), pa.int32()), counts=pa.nulls(len(sizes), pa.binary()), doc_id=piece.column("doc_id").cast(pa.int64()), sid=pa.array(sid, mask=sizes == 0), n=sizes, **sketch, fine=fine)
+        if seen.any():
+            none = pa.nulls(CHUNKS, pa.int64())
+            counts = pa.array([x.tobytes() for x in np.minimum(seen, 0xFFFFFFFF).astype(np.uint32).reshape(CHUNKS, -1)], pa.binary())
+            yield table(chunk=np.arange(CHUNKS, dtype=np.int32), counts=counts, doc_id=none, sid=none, n=none, **dict.fromkeys(_SKETCH, none), fine=pa.nulls(CHUNKS, pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slot int, doc_id long, sid long, n long, " + ", ".join(f"{x} long" for x in _SKETCH) + ", fine binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk int, counts binary, doc_id long, sid long, n long, " + ", ".join(f"{x} long" for x in _SKETCH) + ", fine binary")
+
+
+def _frequencies(profile: DataFrame, slots: int) -> np.ndarray:
+    """The counts of all tasks added up; a reduce task holds one piece of the table."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(slots // CHUNKS, np.int64)
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if now is not None and chunk != now:
+                    yield table(chunk=[now], counts=pa.array([total.tobytes()], pa.binary()))
+                    total[:] = 0
+                now = chunk
+                total += np.frombuffer(counts.as_buffer(), np.uint32)
+        if now is not None:
+            yield table(chunk=[now], counts=pa.array([total.tobytes()], pa.binary()))
+
+    added = profile.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk long, counts binary")
+    often = np.zeros((CHUNKS, slots // CHUNKS), np.int64)
+    for r in added.collect():
+        often[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(often.ravel(), 0xFFFFFFFF).astype(np.uint32)
 
 
 # ------------------------------------------------------------------------------------------------------------ prefixes
@@ -255,18 +282,22 @@ def _meet(bucket: int, held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
 
 
 def _bloom(wanted: DataFrame) -> np.ndarray:
-    """Two bits of at most 2**25 for each sid in ``wanted`` (sid), packed: 4 MB at most, whatever the number of sids."""
-    bits = 1 << min(25, max(16, int(np.ceil(np.log2(wanted.count() * 8 + 1)))))
+    """Two bits of at most 2**27 for each sid in ``wanted`` (sid), packed: 16 MB at most, whatever the number of sids.
+
+    It only saves shuffling: the joins behind it are exact. Beyond some hundred million sids it lets most through, and then
+    the texts of the documents are shuffled whole.
+    """
+    bits = 1 << min(27, max(16, int(np.ceil(np.log2(wanted.count() * 8 + 1)))))
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = np.zeros(bits, bool)
+        made = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for at in _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                made[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(made).tobytes()], pa.binary())], ["bits"])
+                np.bitwise_or.at(made, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], ["bits"])
 
     made = np.zeros(bits // 8, np.uint8)
-    for row in wanted.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
+    for row in wanted.coalesce(4).mapInArrow(fill, "bits binary").toLocalIterator():
         made |= np.frombuffer(row[0], np.uint8)
     return made
 
@@ -278,8 +309,7 @@ def _bloom_bits(sid: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _may_hold(made: np.ndarray, sid: np.ndarray) -> np.ndarray:
     one, two = _bloom_bits(sid, len(made) * 8)
-    held = np.unpackbits(made).astype(bool)
-    return held[one] & held[two]
+    return ((made[one >> 3] >> (one & 7)) & (made[two >> 3] >> (two & 7)) & 1).astype(bool)
 
 
 def _held(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -377,48 +407,58 @@ def _open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of shingles that still join two components, with their component."""
     rows = shared.select("key", "sid", "n", "pos", *_SKETCH).join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     spread = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(spread, "key", "left_semi")
+    return spread_join(rows, spread, ["key"], ["sid"], "left_semi")
 
 
-def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each row with the leader of its shingle and size class, if their components differ.
+def _star(rows: DataFrame) -> DataFrame:
+    """Pairs of each row with the leader of its shingle and size class.
 
-    The first leader is the class in which the shingle stands earliest: it has the fewest rarer shingles, so of near copies
-    it is the one with the fewest changes of its own. Later leaders are drawn by hash.
+    The leader is the class in which the shingle stands earliest: it has the fewest rarer shingles, so of near copies it is the
+    one with the fewest changes of its own.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM)))).cast("int")
-    rows = rows.select("key", "sid", "n", "pos", "component", *_SKETCH, band.alias("band"))
-    rank = [F.xxhash64("sid", F.lit(turn)).alias("h")] if turn else [F.col("pos").alias("first"), F.xxhash64("sid").alias("h")]
-    lead = rows.groupBy("key", "band").agg(F.min(F.struct(*rank, *(F.col(c).alias(c) for c in ("sid", "n", "pos", "component", *_SKETCH)))).alias("lead"))
-    met = rows.join(lead, ["key", "band"]).filter("component <> lead.component").filter(_in_reach("n", "lead.n", "pos", "lead.pos") & _alike("n", "lead.n", "", "lead."))
+    rows = rows.select("key", "sid", "n", "pos", *_SKETCH, band.alias("band"))
+    first = F.struct(F.col("pos").alias("first"), F.xxhash64("sid").alias("h"), *(F.col(c).alias(c) for c in ("sid", "n", "pos", *_SKETCH)))
+    lead = rows.groupBy("key", "band").agg(F.min(first).alias("lead"))
+    met = spread_join(rows, lead, ["key", "band"], ["sid"], "inner").filter("sid <> lead.sid").filter(_in_reach("n", "lead.n", "pos", "lead.pos") & _alike("n", "lead.n", "", "lead."))
     return met.select(F.greatest("sid", "lead.sid").alias("a"), F.least("sid", "lead.sid").alias("b")).distinct()
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components that share a shingle and pass the length and positional filters."""
+    """Pairs of different components that share a shingle and pass the length and positional filters.
+
+    A shingle's rows are dealt in blocks of ``BLOCK_ROWS`` on average, and two blocks meet under their two numbers: a row goes
+    to as many places as its shingle has blocks, and the pairs of a shingle are spread over all of them.
+    """
     columns = ("sid", "n", "pos", "component", *_SKETCH)
-    x = rows.select("key", *(F.col(c).alias(f"x_{c}") for c in columns))
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
+    rows = spread_join(rows, blocks, ["key"], ["sid"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    place = ["key", "lo", "hi"]
+    x = rows.select(*place, F.col("block").alias("x_block"), *(F.col(c).alias(f"x_{c}") for c in columns))
     # the shorter one needs only its indexing prefix
-    y = rows.filter(F.col("pos") < F.col("n") - F.ceil(2 * NUM * F.col("n") / (NUM + DEN)) + 1).select("key", *(F.col(c).alias(f"y_{c}") for c in columns))
-    met = x.join(y, "key").filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") > F.col("y_sid"))))).filter(_in_reach("x_n", "y_n", "x_pos", "y_pos") & _alike("x_n", "y_n", "x_", "y_"))
+    y = rows.filter(F.col("pos") < F.col("n") - F.ceil(2 * NUM * F.col("n") / (NUM + DEN)) + 1).select(*place, F.col("block").alias("y_block"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    # rows of one block are together wherever it meets another; they are a pair where it meets itself
+    met = x.join(y, place).filter((F.col("lo") == F.least("x_block", "y_block")) & (F.col("hi") == F.greatest("x_block", "y_block"))).filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") > F.col("y_sid"))))).filter(_in_reach("x_n", "y_n", "x_pos", "y_pos") & _alike("x_n", "y_n", "x_", "y_"))
     return met.select(F.greatest("x_sid", "y_sid").alias("a"), F.least("x_sid", "y_sid").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sid, component): one row a document of ``docs`` (doc_id, text); sid and component are classes."""
+    """(doc_id, n_shingles, sid, component, least): one row a document of ``docs`` (doc_id, text); sid and component are classes
+    (null without words), least is the component's least doc_id."""
     docs = docs.select("doc_id", "text")
     size = text_bytes(docs)
     slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << max(0, int(np.ceil(np.log2(size / 4096 + 1))))))
     with Scratch(docs.sparkSession) as tables:
         profile = tables(_profile(docs, slots))
-        counted = profile.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        often = np.zeros(slots, np.uint32)
-        often[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 0xFFFFFFFF)
+        often = _frequencies(profile, slots)
         counts = docs.sparkSession.sparkContext.broadcast(often)
         buckets = max(8, round(size * PACKED_RATIO / BUCKET_BYTES))
         met = tables(reduce_buckets(_prefixes(docs, counts, slots, HOT + 4 * int(often.mean()), buckets), buckets, _meet, _SHARED))
         release(docs.sparkSession)
-        classes = profile.filter("slot is null").select("doc_id", "sid", F.col("n").alias("n_shingles"))
+        classes = profile.filter("chunk IS NULL").select("doc_id", "sid", F.col("n").alias("n_shingles"))
         rows = met.filter("key is not null")
         wanted = tables(met.select("sid").unionByName(met.filter("key is null").select(F.col("lead").alias("sid"))).distinct())
         sketches = tables(_held(profile.filter("sid is not null").select("sid", "n", *_SKETCH, "fine"), wanted).join(wanted, "sid", "left_semi").groupBy("sid").agg(*(F.min(p).alias(p) for p in ("n", *_SKETCH, "fine"))))
@@ -427,31 +467,30 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         near = met.filter((F.col("lead") != F.col("sid")) & _in_reach("n", "lead_n", "pos", "lead_pos")).select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"), (F.col("n") + F.col("lead_n")).alias("both")).distinct()
         one, two = (sketches.select(F.col("sid").alias(x), *(F.col(p).alias(f"{x}_{p}") for p in _SKETCH)) for x in "ab")
         near = near.join(one, "a").join(two, "b").withColumn("zero", F.lit(0)).filter(_alike("both", "zero", "a_", "b_")).select("a", "b")
-        hot = shared.join(rows.filter("lead is null").select("key").distinct(), "key", "left_semi").withColumn("component", F.col("sid"))
-        pairs = tables(_close(near.unionByName(_star(hot, 0)).distinct(), sketches))
+        hot = tables(shared.join(rows.filter("lead is null").select("key").distinct(), "key", "left_semi"))
+        pairs = tables(_close(near.unionByName(_star(hot)).distinct(), sketches))
         texts = tables(_texts_of(docs, tables(_sids(pairs).distinct())))
         release(docs.sparkSession)
         tested, links = pairs, tables(_links(pairs, texts))
         release(docs.sparkSession)
         comps = components(links, keep=tables)
-        for turn in range(1, STAR_ROUNDS + 1):
-            shared = tables(_open_rows(shared, comps))
-            if not shared.take(1):
-                break
-            last = turn == STAR_ROUNDS
-            pairs = tables(_close((_all_pairs(shared) if last else _star(shared, turn)).join(tested, ["a", "b"], "left_anti"), sketches))
+        shared = tables(_open_rows(tables(shared), comps))
+        if shared.take(1):
+            pairs = tables(_close(_all_pairs(shared).join(tested, ["a", "b"], "left_anti"), sketches))
             if pairs.take(1):
                 more = tables(_texts_of(docs, tables(_sids(pairs).distinct())))
-                tested, links = tested.unionByName(pairs), links.unionByName(tables(_links(pairs, more)))
-                comps = components(links, keep=tables)
-        return written(classes.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component")))
+                comps = components(links.unionByName(tables(_links(pairs, more))), keep=tables)
+        # the least document of each class, then of each component
+        least = classes.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        comps = tables(comps.select(F.col("node").alias("sid"), "component").join(least, "sid"))
+        of = tables(spread_join(comps.select("sid", "component"), comps.groupBy("component").agg(F.min("least").alias("least")), ["component"], ["sid"]))
+        every = of.unionByName(least.join(of.select("sid"), "sid", "left_anti").select("sid", F.col("sid").alias("component"), "least"))
+        return written(spread_join(classes, every, ["sid"], ["doc_id"]).select("doc_id", "n_shingles", "sid", "component", "least"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that links reach from each document."""
-    found = jaccard_classes(docs)
-    least = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return found.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return jaccard_classes(docs).select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
