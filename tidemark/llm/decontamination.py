@@ -172,19 +172,22 @@ def _places(row: np.ndarray, name: np.ndarray, index: _Index) -> np.ndarray:
 
 
 def edit_distance(item: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``around`` the least edits between ``item`` and any passage of the row, and that passage's end.
+    """For each row of ``around`` the least edits between ``item`` (one for all rows, or one each) and any passage of the row,
+    and that passage's end.
 
     Zeros in ``around`` are filler that equals no word.
     """
     n, width = around.shape
-    ramp = np.arange(width + 1)
-    row = np.zeros((n, width + 1), np.int64)  # a passage may begin anywhere
-    for i, word in enumerate(item, 1):
+    around = np.ascontiguousarray(around.T)
+    ramp = np.arange(width + 1, dtype=np.int32)[:, None]
+    row = np.zeros((width + 1, n), np.int32)  # a passage may begin anywhere
+    for i, word in enumerate(np.atleast_2d(item).T, 1):
         new = np.empty_like(row)
-        new[:, 0] = i
-        new[:, 1:] = np.minimum(row[:, :-1] + (around != word), row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - ramp, 1) + ramp
-    return row.min(1), row.argmin(1)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (around != word), row[1:] + 1)
+        new -= ramp
+        row = np.minimum.accumulate(new, 0) + ramp
+    return row.min(0).astype(np.int64), row.argmin(0)
 
 
 def _search(piece: pa.RecordBatch, index: _Index) -> Iterator[pa.RecordBatch]:
@@ -207,19 +210,20 @@ def _matches(places: np.ndarray, m: int, name: np.ndarray, bounds: np.ndarray, i
     length = index.lengths[items[j]]
     # beginnings of one item less than its allowed edits apart are verified together
     step = np.maximum(length // EDITS, 1)
-    pairs = np.unique(np.stack((items[j], row[w], (at[w] - offsets[j]) // step * step), 1), axis=0)
-    for i, begin, end in zip(*_runs(pairs[:, 0]), strict=True):
-        size, slack = len(index.tokens[i]), len(index.tokens[i]) // EDITS
+    pairs = np.unique(np.stack((length, items[j], row[w], (at[w] - offsets[j]) // step * step), 1), axis=0)
+    # items of one length together
+    for size, begin, end in zip(*_runs(pairs[:, 0]), strict=True):
+        slack = size // EDITS
         width = size + 2 * slack + max(slack, 1) - 1
-        some = max(1, 2_000_000 // width)
+        some = max(1, 500_000 // width)
         for a in range(begin, end, some):
-            r, start = pairs[a : min(a + some, end), 1:].T
-            distance, last = edit_distance(index.tokens[i], _cut(name, start - slack, width, bounds[r], bounds[r + 1]))
+            item, r, start = pairs[a : min(a + some, end), 1:].T
+            distance, last = edit_distance(np.stack([index.tokens[i] for i in item.tolist()]), _cut(name, start - slack, width, bounds[r], bounds[r + 1]))
             good = distance <= slack
-            r, start, distance, last = r[good], start[good], distance[good], last[good]
+            item, r, start, distance, last = item[good], r[good], start[good], distance[good], last[good]
             if len(r):
                 yield table(
-                    doc_id=pa.array(ids[r], mask=null[r]), item_id=pa.array([index.ids[i]] * len(r), pa.int64()), distance=distance,
+                    doc_id=pa.array(ids[r], mask=null[r]), item_id=pa.array([index.ids[i] for i in item.tolist()], pa.int64()), distance=distance,
                     last_word=start - slack + last - 1 - bounds[r], item_words=np.full(len(r), size), row_hash=span_hash(name, bounds[r], bounds[r + 1]).view(np.int64),
                 )
 
