@@ -8,6 +8,7 @@ QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
     "op3_url_filters": url_filter.op3_url_filters,
+    "url_filters_planted": url_filter.url_filters_planted,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_fm.op5_quality_classifier,
     "op6_token_counts": token_count.op6_token_counts,
@@ -20,6 +21,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "url_filters_planted": url_filter.PLANTED_SQL,
     "op7_ngram_jaccard": ngram_join.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,

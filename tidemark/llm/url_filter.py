@@ -149,3 +149,32 @@ def judge_urls(pages: DataFrame, labels: DataFrame, min_rows: int = MIN_ROWS, mi
 def op3_url_filters(spark, sf_dir):
     pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
     return judge_urls(pages, labels)
+
+
+def url_filters_planted(spark, sf_dir):
+    """The same over labels that do depend on the urls: a page is bad if its host says blog and its path en.
+
+    With the confidence asked for here no other combination is a rule, so the verdicts can be told by SQL.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host, path = split_url(F.col("url"))
+    words = tokens(host, path)
+    bad = F.array_contains(words, "host=blog") & F.array_contains(words, "path=en")
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    return judge_urls(pages, labels, min_confidence=0.9)
+
+
+PLANTED_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS (SELECT *, regexp_matches(host, '(^|[^a-z0-9])blog([^a-z0-9]|$)') AND regexp_matches(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])en([^a-z0-9]|$)') AS bad,
+             CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM s),
+n AS (SELECT count(*) FILTER (bad)::DOUBLE AS n FROM b),
+-- all n rows of the combination are bad, so the lower end of the interval is n / (n + z^2)
+m AS (SELECT n >= 20 AND n / (n + 1.64 * 1.64) >= 0.9 AS mined FROM n)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR (bad AND mined) THEN 'block' ELSE 'allow' END AS verdict FROM b, m
+"""
