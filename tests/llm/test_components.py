@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidemark.llm.components import components
 
 
@@ -11,7 +13,10 @@ def brute(edges):
     return group
 
 
-def test_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_chains_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr("tidemark.llm.components.FEW", few)
+    monkeypatch.setattr("tidemark.llm.common.LEAST_HOT", 10)
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(30)]

@@ -54,6 +54,19 @@ def test_against_brute_force(spark, rows):
     assert [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in got] == [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in want]
 
 
+def test_many_sources(spark, monkeypatch):
+    """Ranks over several ranges, caps that are reached one after the other, and sizes of zero."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, rng.choice((0, 1, 3, 9, 27, 81, 243))), "en", f"d{rng.randrange(90)}.example", 0) for i in range(240)]
+    got = sorted((tuple(r) for r in mix_sources(frame(spark, rows)).collect()), key=str)
+    want = brute(rows)
+    assert [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in got] == [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in want]
+    monkeypatch.setattr("tidemark.llm.common.LEAST_HOT", 5)
+    assert [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in sorted((tuple(r) for r in mix_sources(frame(spark, rows + odd())).collect()), key=str)] == [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in brute(rows + odd())]
+    plan = mix_sources(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Python" not in plan
+
+
 def test_near_the_target_and_never_above_the_cap(spark):
     rows = unequal(3)
     got = mix_sources(frame(spark, rows), keep=("source",)).collect()

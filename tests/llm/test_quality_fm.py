@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from tests.llm.corpora import frame, odd, sentence
-from tidemark.llm.quality_fm import FACTORS, Machine, Features, features, fit, score, train
+from tidemark.llm.quality_fm import FACTORS, Features, Machine, _thinned, features, fit, score, train
 
 import pyarrow as pa
 
@@ -39,6 +39,24 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     assert one.bias == two.bias and (one.linear == two.linear).all() and (one.factors == two.factors).all()
 
 
+def test_sample_is_bounded_in_words_too(spark):
+    rows, labels = corpus(60)
+    long_ = " ".join(f"w{i}" for i in range(20_000))
+    of = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 5)
+    rows, labels = [*rows, (of, long_, "en", "s", 0)], [*labels, (of, 1, 0)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = fit(frame(spark, rows), known, sample_words=500)
+    assert 15_000 < one.left_out < 20_000 and (one.linear != 0).sum() < 3_000
+    whole = fit(frame(spark, rows), known, sample_words=10**6)
+    assert whole.left_out == 0 and (whole.linear != 0).sum() > 15_000
+    # what is left is the same for every order of the words, and the statistics stay
+    texts = pa.array([long_, " ".join(reversed(long_.split())), "a b"])
+    thin, left = _thinned(features(texts, np.zeros(3, np.int64)), 100)
+    bins = [thin.bin[thin.row == r] for r in range(3)]
+    stats = features(pa.array([""]), np.zeros(1, np.int64)).bin.size
+    assert sorted(bins[0]) == sorted(bins[1]) and len(bins[0]) == 100 + stats and len(bins[2]) == 2 + stats and left[2] == 0
+
+
 def test_odd_cases(spark):
     rows, labels = corpus(100)
     docs = frame(spark, odd(), clash=True).drop("score")

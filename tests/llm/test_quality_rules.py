@@ -57,6 +57,12 @@ def test_against_brute_force(spark, rows):
     assert sorted((tuple(r) for r in judge(frame(spark, rows, clash=True)).collect()), key=str) == brute(rows)
 
 
+def test_large_hosts_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.common.LEAST_HOT", 3)
+    rows = dirty() + odd()
+    assert sorted((tuple(r) for r in judge(frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
 def test_prior_takes_sampling_off():
     rng = np.random.default_rng(3)
     n = 5

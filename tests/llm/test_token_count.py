@@ -28,6 +28,15 @@ def test_ties_and_unknowns_as_the_tokenizer():
     assert counts(pa.array(texts), Counter(SMALL)).tolist() == want
 
 
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr("tidemark.llm.token_count.REMEMBERED", 3000)
+    counter, texts = Counter(SMALL), ["ab" * 5000, *(f"{'a' * (i % 50)}b" for i in range(300)), "é ab aba"]
+    want = [len(e.ids) for e in tokenizer(SMALL).encode_batch(texts, add_special_tokens=False)]
+    for text, n in zip(texts, want, strict=True):
+        assert counts(pa.array([text]), counter).tolist() == [n]
+        assert sum(map(len, counter.known)) <= 3000
+
+
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file here")
 def test_documents_as_the_tokenizer(spark):
     vocabulary = load_vocabulary()

@@ -8,6 +8,7 @@ over the bytes (or over word hashes), finished by a bit mixer.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -80,8 +81,13 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Collects garbage, so that Spark's cleaner drops shuffle files that nothing refers to."""
+    """Collects garbage, so that Spark's cleaner drops shuffle files that nothing refers to, and gives free memory back."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    # glibc keeps what large arrays have left; other C libraries have no such call
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
     spark._jvm.System.gc()
 
 
@@ -89,19 +95,24 @@ def release(spark: SparkSession) -> None:
 LEAST_HOT, HOT_KEYS, PARTS = 1000, 1024, 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "left") -> DataFrame:
+def hot_keys(left: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the most frequent keys of ``left``, ``HOT_KEYS`` at most; any other has less than one in so many of the rows."""
+    often = left.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_HOT)
+    return [r[0] for r in often.orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "left", hot: tuple[list[str], list[int]] | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``, the rows of hot keys (nulls too) dealt in parts by the columns ``by`` of ``left``.
 
-    The hot keys are the ``HOT_KEYS`` most frequent in ``left``, which the driver lists; any other key has less than one in so
-    many of the rows. Only their rows of ``right`` are repeated, once a part. ``left`` is read twice, so it should be a table.
+    Only the hot keys' rows of ``right`` are repeated, once a part. ``left`` is read twice, so it should be a table; or ``hot`` says
+    which of the keys tell, and the hashes of those that are hot.
     """
-    name = F.xxhash64(*keys)
-    often = left.groupBy(name.alias("_h")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_HOT)
-    hot = [r[0] for r in often.orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).collect()]
-    if not hot:
+    told, found = hot or (keys, hot_keys(left, keys))
+    if not found:
         return left.join(right, keys, how)
-    part = F.when(name.isin(hot), F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int")).otherwise(0)
-    parts = F.when(name.isin(hot), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    is_hot = F.xxhash64(*told).isin(found)
+    part = F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int")).otherwise(0)
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     return left.withColumn("_part", part).join(right.withColumn("_part", F.explode(parts)), [*keys, "_part"], how).drop("_part")
 
 

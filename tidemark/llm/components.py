@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, release, spread_join, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges up to which a node's neighbours are not worth dealing in parts: one task takes them in seconds.
+FEW = 200_000
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """Large: every node links its larger neighbours to its least neighbour; small: its smaller ones, and itself."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = spread_join(both, least, ["u"], ["v"], "inner")
+    met = both.join(least, "u") if few else spread_join(both, least, ["u"], ["v"], "inner")
     out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
@@ -26,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Callable[[Dat
     """(node, component) for every node of an edge, the component being its least node. Nodes are longs; ``keep`` writes
     the result.
 
-    Each round is written to the shared folder; a node with very many neighbours has them dealt in parts. The rounds end when a
+    Rounds are written to the shared folder; a node with very many neighbours has them dealt in parts. The rounds end when a
     pair of them leaves the edges as they were, which takes a number of rounds logarithmic in the longest path; then every
     edge points at its component.
     """
@@ -38,7 +42,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Callable[[Dat
         edges = tables(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
         was = state(edges)
         while True:
-            edges = tables(_star(tables(_star(edges, True)), False))
+            few = was[0] <= FEW
+            once = _star(edges, True, few)
+            edges = tables(_star(once if few else tables(once), False, few))
             release(edges.sparkSession)
             now = state(edges)
             if now == was:

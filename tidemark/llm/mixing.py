@@ -10,10 +10,12 @@ its own hash and its source's threshold only, and a larger budget keeps every do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_words, written
+from tidemark.llm.common import Scratch, hot_keys, n_words, spread_join, written
 
 #: Bits of the hash that one histogram resolves, and the number of histograms.
 BITS, LEVELS = 12, 4
@@ -25,30 +27,42 @@ def document_hash(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(both), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
-def targets(sources: DataFrame, cap: int = 3, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+def _weighted(sources: DataFrame, weights: tuple[int, ...], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The sources with the weight of their place in the order of code points, null last.
+
+    They are dealt by ranges of that order; a source's place is that in its range and the number of sources in the ranges
+    before, of which the driver holds one number each. So no task sorts all sources, be they as many as domains.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = keep(sources.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["n"] for r in dealt.groupBy("range").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    start = F.element_at(F.array(*map(F.lit, before or [0])), F.col("range") + 1)
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1 + start
+    return dealt.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long").alias("weight"))
+
+
+def targets(sources: DataFrame, cap: int = 3, weights: tuple[int, ...] = (5, 2, 1), keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Targets from (source, source_size): shares of the whole by weight, none above ``cap`` times its source's size.
 
-    Resharing the excess until none is above its cap ends where every uncapped source has the same target for each unit of
-    weight. With the sources in order of cap over weight, the capped ones come first, so running sums find that level
-    without iterating. The windows run over one row a source.
+    What capped sources leave is reshared among the others by weight, which can bring more of them to their caps; that is
+    done again until none is added. Each time is one aggregation over the sources to two numbers. ``keep`` writes a table.
     """
-    names = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(names) - 1) % len(weights) + 1)
-    ranked = sources.withColumn("weight", weight.cast("long")).withColumn("cap", F.lit(cap) * F.col("source_size"))
-    every = Window.partitionBy(F.lit(0))
-    order = every.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    left = ranked.select(
-        "source", "source_size", "weight", "cap",
-        (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(order), F.lit(0))).alias("rest"),
-        (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(order), F.lit(0))).alias("weights"),
-        F.row_number().over(every.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")).alias("nth"),
-    )
-    # the first source whose cap is not below its share of what is left; it and all after it are uncapped
-    fits = F.col("cap") * F.col("weights") >= F.col("weight") * F.col("rest")
-    first = F.min(F.when(fits, F.struct("nth", "rest", "weights"))).over(every)
-    free = F.col("nth") >= F.col("first.nth")
-    share = F.col("weight") * F.col("first.rest") / F.col("first.weights")
-    return left.withColumn("first", first).select("source", "source_size", F.when(free, share).otherwise(F.col("cap").cast("double")).alias("target"))
+    ranked = keep(_weighted(sources, weights, keep).withColumn("cap", F.lit(cap) * F.col("source_size")))
+    whole = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    rest, shares, capped = whole[0] or 0, whole[1] or 1, 0
+    exact = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("decimal(38,0)")
+    while True:
+        above = exact(F.col("cap")) * exact(shares) < exact(F.col("weight")) * exact(rest)
+        found = ranked.filter(above).agg(F.count("*"), F.sum("cap"), F.sum("weight")).first()
+        if found[0] == capped:
+            break
+        capped, rest, shares = found[0], whole[0] - found[1], whole[1] - found[2]
+    share = (F.col("weight") * F.lit(rest)).cast("double") / F.lit(float(shares))
+    return ranked.select("source", "source_size", F.when(above, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def _digit(level: int) -> Column:
@@ -63,35 +77,41 @@ def mix_sources(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (5, 2,
     after the last histogram (one hash value), the nearer side is chosen. Empty input gives no rows. ``keep`` names input
     columns to return besides.
     """
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"), *(F.col(x).alias(f"_{x}") for x in keep)))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sums, cap, weights)
-    # at a cap the quotient is whole and nothing is left over
-    budget = F.when(F.col("source_size") > 0, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(0.0)
-    plan = written(plan.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", budget))
-    found = plan.select("source", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
-    for level in range(LEVELS):
-        high = F.shiftright("hash", BITS * (LEVELS - level))
-        edge = found.select(F.col("source").alias("s"), "prefix", "left")
-        bins = sized.join(edge, F.col("source").eqNullSafe(F.col("s")) & (high == F.col("prefix"))).groupBy("source", "prefix", "left", _digit(level).alias("digit")).agg(F.sum("size").alias("n"))
-        run = Window.partitionBy("source").orderBy("digit")
-        bins = bins.withColumn("upto", F.sum("n").over(run))
-        last = level == LEVELS - 1
-        # the first bin with which the budget is passed; at the last level the nearer side of it
-        stop = (F.col("upto") - F.col("left") > F.col("left") - (F.col("upto") - F.col("n"))) if last else F.col("upto") > F.col("left")
-        full = Window.partitionBy("source")
-        edges = bins.withColumn("bin", F.min(F.when(stop, F.col("digit"))).over(full)).groupBy("source", "prefix", "left").agg(F.first("bin").alias("bin"), F.coalesce(F.sum(F.when(F.col("digit") < F.col("bin"), F.col("n"))), F.lit(0)).alias("below"))
-        # no bin passes it: everything under this prefix is taken
-        found = written(edges.select("source", (F.col("prefix") * (1 << BITS) + F.coalesce("bin", F.lit(1 << BITS))).alias("prefix"), F.when(F.col("bin").isNotNull(), F.col("left") - F.col("below")).otherwise(0.0).alias("left"), F.col("bin").isNull().alias("all")))
-        if level == 0:
-            done = found.filter("all").select("source", (F.col("prefix") * (1 << BITS * (LEVELS - 1))).alias("threshold"))
-        else:
-            done = done.unionByName(found.filter("all").select("source", (F.col("prefix") * (1 << BITS * (LEVELS - 1 - level))).alias("threshold")))
-        found = found.filter("not all").drop("all")
-    done = done.unionByName(found.select("source", F.col("prefix").alias("threshold")))
-    terms = plan.join(done.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("t"), "source_size", "target", "copies", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    # a null source is a key like any other
+    key = lambda df: df.withColumns({"_s": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
+    sized = written(docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_none"), n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"), *(F.col(x).alias(f"_{x}") for x in keep)))
+    # the documents of large sources are joined in parts
+    named = ["_s", "_none"]
+    hot = named, hot_keys(sized, named)
+    with Scratch(docs.sparkSession) as tables:
+        sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+        plan = targets(sums, cap, weights, tables)
+        # at a cap the quotient is whole and nothing is left over
+        budget = F.when(F.col("source_size") > 0, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(0.0)
+        plan = written(plan.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", budget))
+        found = plan.select("source", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
+        for level in range(LEVELS):
+            high = F.shiftright("hash", BITS * (LEVELS - level))
+            edge = key(found).select(*named, "prefix", "left")
+            bins = spread_join(sized.withColumn("prefix", high), edge, [*named, "prefix"], ["hash"], "inner", hot).groupBy("source", "prefix", "left", _digit(level).alias("digit")).agg(F.sum("size").alias("n"))
+            run = Window.partitionBy("source").orderBy("digit")
+            bins = bins.withColumn("upto", F.sum("n").over(run))
+            last = level == LEVELS - 1
+            # the first bin with which the budget is passed; at the last level the nearer side of it
+            stop = (F.col("upto") - F.col("left") > F.col("left") - (F.col("upto") - F.col("n"))) if last else F.col("upto") > F.col("left")
+            full = Window.partitionBy("source")
+            edges = bins.withColumn("bin", F.min(F.when(stop, F.col("digit"))).over(full)).groupBy("source", "prefix", "left").agg(F.first("bin").alias("bin"), F.coalesce(F.sum(F.when(F.col("digit") < F.col("bin"), F.col("n"))), F.lit(0)).alias("below"))
+            # no bin passes it: everything under this prefix is taken
+            found = tables(edges.select("source", (F.col("prefix") * (1 << BITS) + F.coalesce("bin", F.lit(1 << BITS))).alias("prefix"), F.when(F.col("bin").isNotNull(), F.col("left") - F.col("below")).otherwise(0.0).alias("left"), F.col("bin").isNull().alias("all")))
+            if level == 0:
+                done = found.filter("all").select("source", (F.col("prefix") * (1 << BITS * (LEVELS - 1))).alias("threshold"))
+            else:
+                done = done.unionByName(found.filter("all").select("source", (F.col("prefix") * (1 << BITS * (LEVELS - 1 - level))).alias("threshold")))
+            found = found.filter("not all").drop("all")
+        done = written(done.unionByName(found.select("source", F.col("prefix").alias("threshold"))))
+    terms = key(plan).join(key(done).drop("source"), named, "left").select(*named, "source_size", "target", "copies", F.coalesce("threshold", F.lit(0)).alias("threshold"))
     taken = F.col("size") * (F.col("copies") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0))
-    out = sized.join(terms, F.col("source").eqNullSafe(F.col("t")))
+    out = spread_join(sized, terms, named, ["hash"], "inner", hot)
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"_{x}").alias(x) for x in keep))
 
 

@@ -8,8 +8,10 @@ document's n_chars. The score is the logistic of
 
 whose pairwise term is half the sum over factors of ``(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2``, so a text is scored in time
 linear in its features. The model is trained on the driver from a bounded sample of labelled rows: of those whose
-crc32(doc_id as text) leaves a remainder modulo ``FOLDS``, the ``SAMPLE`` rows with the least hash of doc_id. Its size is
-fixed (``BINS * (FACTORS + 1)`` floats), so it can be broadcast whatever the corpus.
+crc32(doc_id as text) leaves a remainder modulo ``FOLDS``, the ``SAMPLE`` rows with the least hash of doc_id. Of a sampled
+text with more than ``SAMPLE_WORDS`` bins of distinct words, training sees those with the least hash, a sample of the whole text
+(``Machine.left_out`` counts the others), so the driver holds at most ``SAMPLE * SAMPLE_WORDS`` of them; scoring takes all. The
+model's size is fixed (``BINS * (FACTORS + 1)`` floats), so it can be broadcast whatever the corpus.
 
 Defined cases: a null or empty text has only its statistics and is scored by them; a null n_chars counts as 0; a null
 doc_id is never held out and never in the sample; without any labelled row every score is 0.5; several labels for one
@@ -23,16 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import distinct_sorted, flat, longs, lowered, pieces, span_hash, words
+from tidemark.llm.common import distinct_sorted, flat, longs, lowered, mix, pieces, release, span_hash, words
 
 WORD_BINS = 1 << 17
 STATISTICS, LEVELS = 16, 32
 BINS = WORD_BINS + STATISTICS * LEVELS
 FACTORS = 8
-SAMPLE = 12_000
+SAMPLE, SAMPLE_WORDS = 12_000, 2_048
 FOLDS = 5
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.05, 1e-5
@@ -98,6 +101,8 @@ class Machine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    #: Bins of long sampled texts that training hasn't seen.
+    left_out: int = 0
 
     def logits(self, x: Features) -> np.ndarray:
         return self._forward(x)[0]
@@ -156,23 +161,38 @@ def _n_chars(docs: DataFrame) -> Column:
     return F.coalesce(F.col("n_chars"), F.lit(0)).cast("long") if "n_chars" in docs.columns else F.lit(0).cast("long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """The machine trained on at most ``sample`` labelled rows outside the held-out fold."""
+def _thinned(x: Features, most: int) -> tuple[Features, np.ndarray]:
+    """At most ``most`` bins of words a row, those with the least hash, and all statistics; and how many are left out by row."""
+    word = x.bin < WORD_BINS
+    order = np.lexsort((mix(x.bin.astype(np.uint64)), ~word, x.row))
+    starts = np.searchsorted(x.row, np.arange(x.rows))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - starts[x.row[order]]
+    keep = ~word | (rank < most)
+    return Features(x.row[keep], x.bin[keep], x.weight[keep], x.rows), np.bincount(x.row[~keep], minlength=x.rows)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Machine:
+    """The machine trained on at most ``sample`` labelled rows outside the held-out fold, ``sample_words`` bins of each."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).filter((fold(F.col("_id")) != 0) & F.col("label").isNotNull())
     known = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample)
     rows = docs.select("doc_id", "text", _n_chars(docs).alias("n_chars")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            x = features(piece.column("text"), longs(piece.column("n_chars"))[0])
+            x, left = _thinned(features(piece.column("text"), longs(piece.column("n_chars"))[0]), sample_words)
             ends = np.searchsorted(x.row, np.arange(x.rows + 1)).astype(np.int32)
             lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(a, kind))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label"), lists(x.bin, pa.int32()), lists(x.weight, pa.float32())], ["doc_id", "label", "bin", "weight"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label"), lists(x.bin, pa.int32()), lists(x.weight, pa.float32()), pa.array(left)], ["doc_id", "label", "bin", "weight", "left"])
 
-    got = rows.select("doc_id", "text", "n_chars", "label").mapInArrow(run, "doc_id long, label int, bin array<int>, weight array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    got = rows.select("doc_id", "text", "n_chars", "label").mapInArrow(run, "doc_id long, label int, bin array<int>, weight array<float>, left long").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     bins, weights = got["bin"].combine_chunks(), got["weight"].combine_chunks()
     sizes = bins.value_lengths().to_numpy(zero_copy_only=False) if len(bins) else np.empty(0, np.int64)
-    return train(np.repeat(np.arange(len(sizes)), sizes), bins.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False), got["label"].to_numpy())
+    machine = train(np.repeat(np.arange(len(sizes)), sizes), bins.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False), got["label"].to_numpy())
+    machine.left_out = int(pc.sum(got["left"]).as_py() or 0)
+    del got, bins, weights
+    release(docs.sparkSession)
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

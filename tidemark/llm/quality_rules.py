@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, written
+from tidemark.llm.common import WORD, spread_join, written
 
 LIMIT = 0.5
 #: Bounds on the prior's weight, in documents. The most stands where hosts don't differ. The least is for corpora of few hosts,
@@ -101,7 +101,9 @@ def judge(docs: DataFrame) -> DataFrame:
         any_failed = any_failed | F.col(r)
     for r in BASE:
         base_failed = base_failed | F.col(r)
-    out = judged.join(verdicts, F.col("host").eqNullSafe(F.col("_host")))
+    # a null host is a key like any other, and a host of very many documents is joined in parts
+    key = lambda df, host: df.withColumns({"_h": F.coalesce(host, F.lit("")), "_none": F.col(host).isNull()})
+    out = spread_join(key(judged, "host"), key(verdicts, "_host"), ["_h", "_none"], ["doc_id", *MEASURES], "inner")
     return out.select("doc_id", *MEASURES, base_failed.alias("base_failed"), (~base_failed & ~(F.col("suspect") & any_failed)).alias("kept"))
 
 

@@ -11,7 +11,8 @@ Text is cut before every space, and a space becomes the sign U+2581, which also
 so a text's count is the sum over its units, and a unit is segmented once for each distinct one in a piece of a batch.
 
 The vocabulary file is a parameter and is read on the driver; what is broadcast is the list of pieces, of fixed size. Files of
-byte-pair vocabularies have ranks in place of scores; their pieces get log probabilities by Zipf's law over the ranks.
+byte-pair vocabularies have ranks in place of scores; their pieces get log probabilities by Zipf's law over the ranks, so what
+is counted is what a unigram tokenizer with these pieces and scores gives, not what the file's own merges do.
 
 Defined cases: a null or empty text has 0 tokens; text is counted whole; repeated rows are counted one by one.
 """
@@ -35,8 +36,8 @@ VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32
 MARK = "▁"
 #: What an unknown character costs below the least likely piece.
 UNKNOWN_PENALTY = 10.0
-#: Units whose counts a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+#: Bytes of units (and of what it takes to file one) whose counts a worker remembers; the memory is emptied when it is full.
+REMEMBERED, FILED = 32 << 20, 120
 _SPACE_ONLY = np.arange(256) == 0x20
 
 
@@ -68,6 +69,7 @@ class Counter:
         self.machine.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.known: dict[bytes, int] = {}
+        self.held = 0
 
     def count(self, unit: str) -> int:
         best: list[float | None] = [0.0] + [None] * len(unit)
@@ -98,9 +100,12 @@ class Counter:
         """The count of a space (as MARK) and ``raw``."""
         found = self.known.get(raw)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[raw] = self.count(MARK + raw.decode())
+            found = self.count(MARK + raw.decode())
+            self.held += len(raw) + FILED
+            if self.held > REMEMBERED:
+                self.known, self.held = {}, len(raw) + FILED
+            if self.held <= REMEMBERED:
+                self.known[raw] = found
         return found
 
 
