@@ -83,14 +83,19 @@ class Scratch:
 def release(spark: SparkSession) -> None:
     """Collects garbage, so that Spark's cleaner drops shuffle files that nothing refers to, and gives free memory back."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    # glibc keeps what large arrays have left; other C libraries have no such call
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives back what Arrow and the C library keep of freed memory: a worker outlives its task, and so would that."""
+    pa.default_memory_pool().release_unused()
+    # other C libraries than glibc have no such call
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 #: Rows from which a key can be hot, how many of the most frequent keys are, and in how many parts the rows of each are dealt.
 LEAST_HOT, HOT_KEYS, PARTS = 1000, 1024, 64
 
@@ -139,6 +144,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

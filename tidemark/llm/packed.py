@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import trim
+
 #: Packed bytes that one bucket should hold.
 BUCKET_BYTES = 8 << 20
 SCHEMA = "bucket int, kind int, rows binary"
@@ -54,6 +56,8 @@ def reduce_buckets(packed: DataFrame, buckets: int, run: Callable[[int, dict[int
                 held.setdefault(kind, []).append(rows.as_py())
         if held:
             yield from run(now, {k: b"".join(v) for k, v in held.items()})
+        now, held = None, {}
+        trim()
 
     to = F.col("bucket")
     if buckets <= _SPREAD:
