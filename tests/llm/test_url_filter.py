@@ -73,8 +73,9 @@ def test_against_brute_force_miner(spark, seed):
     assert {i: v[3] for i, v in got.items()} == want and any(len(g) > 2 for g in good) and "block" in want.values()
 
 
-def test_long_urls_that_come_often(spark):
-    """A bad url of many tokens, seen often, is one item, not all combinations of its tokens."""
+def test_long_urls_that_come_often(spark, monkeypatch):
+    """A bad url of many tokens, seen often, is one item, not all combinations of its tokens; its baskets are made in parts."""
+    monkeypatch.setattr("tidemark.llm.url_filter.COPIES", 7)
     long_ = "/".join(f"part{i}word" for i in range(300))
     pages = [(i, f"https://deep.example.org/{long_}") for i in range(40)] + [(100 + i, f"https://deep.example.org/part{i}word/fine") for i in range(60)]
     labels = [(i, 0, 0) for i in range(40)] + [(100 + i, 1, 0) for i in range(60)]

@@ -21,6 +21,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op3_url_filters": url_filter.OP3_SQL,
     "url_filters_planted": url_filter.PLANTED_SQL,
     "op7_ngram_jaccard": ngram_join.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,

@@ -40,6 +40,8 @@ BASE_RULES = (
 )
 #: Urls a mined rule covers at least, and the least share of them that is bad (lower bound).
 MIN_ROWS, MIN_CONFIDENCE = 20, 0.5
+#: Equal baskets that one row becomes at a time.
+COPIES = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -99,7 +101,9 @@ def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: fl
     # tokens with equal sums are few, so they meet by an aggregation and not by a window over all
     shared = keep(rest.groupBy(*by).agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select("item", "n", F.explode("tokens").alias("token")))
     bad = filed.filter("n_bad > 0").join(shared.select("token", "item"), "token").groupBy("tokens", "n", "n_bad").agg(F.collect_set("item").alias("items"))
-    bad = keep(bad.filter(F.size("items") > 1).select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad")).alias("_i")).drop("_i"))
+    # a basket for each bad url again; those of a url that comes very often are made by many tasks
+    bad = bad.filter(F.size("items") > 1).select("items", "n_bad", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bad") - 1, F.lit(COPIES).cast("long"))).alias("_from")).repartition("items", "_from")
+    bad = keep(bad.select("items", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n_bad") - F.col("_from"), F.lit(COPIES).cast("long")))).alias("_i")).drop("_i"))
     rows = bad.count()
     if rows < least:
         return singles, alone
@@ -164,17 +168,32 @@ def url_filters_planted(spark, sf_dir):
     return judge_urls(pages, labels, min_confidence=0.9)
 
 
-PLANTED_SQL = r"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PARTS_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-b AS (SELECT *, regexp_matches(host, '(^|[^a-z0-9])blog([^a-z0-9]|$)') AND regexp_matches(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])en([^a-z0-9]|$)') AS bad,
-             CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
-                  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
-                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
-                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
-                  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM s),
-n AS (SELECT count(*) FILTER (bad)::DOUBLE AS n FROM b),
+s AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM s)"""
+_BASE_SQL = "CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR ({}) THEN 'block' ELSE 'allow' END AS verdict"
+
+#: Every subset of every labelled url's tokens is counted: the definition of the rules, without any of the mining.
+OP3_SQL = rf"""{_PARTS_SQL},
+t AS (SELECT *, list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(host, '[a-z0-9]+'), lambda x: 'host=' || x),
+        list_transform(list_filter(regexp_extract_all({_LOWER.format("path")}, '[a-z0-9]+'), lambda x: NOT regexp_matches(x, '^[0-9]*$')), lambda x: 'path=' || x)))) AS w FROM b),
+l AS (SELECT w, coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 AS bad FROM t JOIN labels ON page_id = doc_id WHERE host <> ''),
+c AS (SELECT list_filter(w, lambda x, i: (m >> (i - 1)) & 1 = 1) AS needs, bad FROM (SELECT w, bad, unnest(range(1, CAST(1 AS BIGINT) << len(w))) AS m FROM l)),
+n AS (SELECT needs, count(*)::DOUBLE AS n, (count(*) FILTER (bad))::DOUBLE AS k FROM c GROUP BY needs HAVING count(*) >= {MIN_ROWS}),
+g AS (SELECT needs FROM n WHERE (k / n + 1.64 * 1.64 / (2 * n) - 1.64 * sqrt(k / n * (1 - k / n) / n + 1.64 * 1.64 / (4 * n * n))) / (1 + 1.64 * 1.64 / n) >= {MIN_CONFIDENCE})
+SELECT page_id, host, path, rule, {_BASE_SQL.format("host <> '' AND EXISTS (SELECT 1 FROM g WHERE list_has_all(w, needs))")} FROM t
+"""
+
+PLANTED_SQL = rf"""{_PARTS_SQL},
+d AS (SELECT *, regexp_matches(host, '(^|[^a-z0-9])blog([^a-z0-9]|$)') AND regexp_matches({_LOWER.format("path")}, '(^|[^a-z0-9])en([^a-z0-9]|$)') AS bad FROM b),
+n AS (SELECT count(*) FILTER (bad)::DOUBLE AS n FROM d),
 -- all n rows of the combination are bad, so the lower end of the interval is n / (n + z^2)
-m AS (SELECT n >= 20 AND n / (n + 1.64 * 1.64) >= 0.9 AS mined FROM n)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR (bad AND mined) THEN 'block' ELSE 'allow' END AS verdict FROM b, m
+m AS (SELECT n >= {MIN_ROWS} AND n / (n + 1.64 * 1.64) >= 0.9 AS mined FROM n)
+SELECT page_id, host, path, rule, {_BASE_SQL.format("bad AND mined")} FROM d, m
 """
