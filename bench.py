@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query is run once to warm up and then timed, with its rows written to the noop sink, so all columns of all rows are
-made. The store's phases (bulk load and flush, 50,000 gets as one join, prefix scan, compaction) are timed once, cold.
+made. The store's phases (bulk load and flush, 50,000 gets as one join, prefix scan, counts, compaction) are timed once, cold:
+over the line items (``store_*``), and over 5,150,000 rows of 24-byte hexadecimal keys and 150-byte values (``slo_*``).
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import sys
 import tempfile
 import time
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import FLOAT64, value
+from tidemark.functions.values import FLOAT64, STRING, value
 from tidemark.plans.registry import QUERIES
 from tidemark.sources.store import KvStore
 
@@ -37,37 +38,46 @@ def timed(spark: SparkSession, name: str) -> float:
     return round(time.time() - began, 3)
 
 
-def store_phases(spark: SparkSession) -> dict[str, float]:
+def store_phases(spark: SparkSession, name: str, changes: DataFrame, prefix: str) -> dict[str, float]:
     folder = tempfile.mkdtemp(prefix="bench-")
     took, last = {}, time.time()
 
-    def lap(name: str) -> None:
+    def lap(phase: str) -> None:
         nonlocal last
-        took[name], last = round(time.time() - last, 3), time.time()
+        took[f"{name}_{phase}"], last = round(time.time() - last, 3), time.time()
 
     try:
         store = KvStore.open(spark, folder)
-        rows = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
-        changes = rows.select(F.format_string("li:%08d:%d", "l_orderkey", "l_linenumber").alias("k"), F.row_number().over(Window.orderBy("l_orderkey")).alias("ordinal"), value(FLOAT64, F.col("l_extendedprice")).alias("v"))
-        last = time.time()
         store.append(changes)
         store.flush()
-        lap("store_bulk_load")
-        asked = rows.select(F.format_string("li:%08d:%d", "l_orderkey", "l_linenumber").alias("k")).limit(50_000).withColumn("pos", F.monotonically_increasing_id())
+        lap("bulk_load")
+        asked = changes.select("k").limit(50_000).withColumn("pos", F.monotonically_increasing_id())
         store.batch_get_frame(asked).write.format("noop").mode("overwrite").save()
-        lap("store_get_50k")
-        store.scan_prefix_with_values("li:0000").write.format("noop").mode("overwrite").save()
-        lap("store_prefix_scan")
+        lap("get_50k")
+        store.scan_prefix_with_values(prefix).write.format("noop").mode("overwrite").save()
+        lap("prefix_scan")
         store.count()
-        lap("store_count")
-        store.append(changes.filter("ordinal % 10 = 0"))
+        lap("count")
+        store.approx_count()
+        lap("approx_count")
+        store.append(changes.filter(F.pmod(F.xxhash64("k"), F.lit(10)) == 0))
         store.compact()
-        lap("store_compact")
+        lap("compact")
     finally:
         shutil.rmtree(folder, ignore_errors=True)
     return took
 
 
+def lines(spark: SparkSession) -> DataFrame:
+    rows = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    return rows.select(F.format_string("li:%08d:%d", "l_orderkey", "l_linenumber").alias("k"), F.monotonically_increasing_id().alias("ordinal"), value(FLOAT64, F.col("l_extendedprice")).alias("v"))
+
+
+def chunks(spark: SparkSession, rows: int = 5_150_000) -> DataFrame:
+    digest = F.md5(F.col("id").cast("string"))
+    return spark.range(rows).select(F.substring(digest, 1, 24).alias("k"), F.col("id").alias("ordinal"), value(STRING, F.rpad(digest, 150, "x")).alias("v"))
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -80,10 +90,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     took = {name: timed(spark, name) for name in HEADLINE}
-    took |= store_phases(spark)
+    took |= store_phases(spark, "store", lines(spark), "li:0000")
+    took |= store_phases(spark, "slo", chunks(spark), "00")
     try:
         from tidemark.llm.registry import QUERIES as corpus
-    except ImportError:
+    except ModuleNotFoundError:
         corpus = {}
     for name, run in corpus.items():
         began = time.time()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Units of bytes, by powers of 1024; the limits and texts of the functions below are fixed, too.
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 

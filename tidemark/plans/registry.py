@@ -361,18 +361,19 @@ def leveled_select(spark, sf):
     return compaction.sort_leveled(fx.event_runs(spark, sf).filter("level = 0")).select("run_id")
 
 
-@query("""WITH RECURSIVE s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, 2 * strlen(printf('doc:%08d', doc_id)) + strlen(text) + 64 AS size FROM documents),
-p(n, doc_id, fill, bin) AS (SELECT n, doc_id, size, 0 FROM s WHERE n = 1 UNION ALL
-SELECT s.n, s.doc_id, CASE WHEN p.fill + s.size > 65536 THEN s.size ELSE p.fill + s.size END, p.bin + CAST(p.fill + s.size > 65536 AS INT) FROM p JOIN s ON s.n = p.n + 1)
-SELECT bin, count(*) AS entries, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM p GROUP BY bin""")
+@query("""WITH RECURSIVE b AS (SELECT CAST(floor(event_id / 1000.0) AS INT) AS run_id, sum(2 * strlen(printf('user:%06d', user_id)) + strlen(props) + 64) AS size FROM events GROUP BY 1),
+s AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS n, size FROM b),
+p(n, run_id, fill, bin) AS (SELECT n, run_id, size, 0 FROM s WHERE n = 1 UNION ALL
+SELECT s.n, s.run_id, CASE WHEN p.fill + s.size > 250000 THEN s.size ELSE p.fill + s.size END, p.bin + CAST(p.fill + s.size > 250000 AS INT) FROM p JOIN s ON s.n = p.n + 1)
+SELECT bin, count(*) AS runs, min(run_id) AS first_run, max(run_id) AS last_run FROM p GROUP BY bin""")
 def greedy_pack(spark, sf):
-    d = fx.table(spark, sf, "documents")
-    size = compaction.entry_bytes(F.format_string("doc:%08d", "doc_id"), F.octet_length("text"))
-    # the plan is over (id, size) pairs, as over a manifest; the texts stay where they are
-    one = d.agg(F.array_sort(F.collect_list(F.struct("doc_id", size.alias("size")))).alias("e"))
-    packed = one.select("e", compaction.greedy_pack(F.transform("e", lambda x: x["size"]), 65536).alias("bins"))
-    rows = packed.select(F.explode(F.arrays_zip("e", "bins")).alias("r")).select(F.col("r.e.doc_id").alias("doc_id"), F.col("r.bins").alias("bin"))
-    return rows.groupBy("bin").agg(F.count("*").alias("entries"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    """Runs packed into compactions: a plan over a manifest, which has an entry a run and not a row each."""
+    size = compaction.entry_bytes(F.format_string("user:%06d", "user_id"), F.octet_length("props"))
+    runs = fx.table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 1000).cast("int").alias("run_id")).agg(F.sum(size).alias("size"))
+    one = runs.agg(F.array_sort(F.collect_list(F.struct("run_id", "size"))).alias("e"))
+    packed = one.select("e", compaction.greedy_pack(F.transform("e", lambda x: x["size"]), 250_000).alias("bins"))
+    rows = packed.select(F.explode(F.arrays_zip("e", "bins")).alias("r")).select(F.col("r.e.run_id").alias("run_id"), F.col("r.bins").alias("bin"))
+    return rows.groupBy("bin").agg(F.count("*").alias("runs"), F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"))
 
 
 @query("""WITH b AS (SELECT CAST(floor(l_orderkey / 1500.0) AS INT) AS run_id, min(printf('order:%08d', l_orderkey)) AS lo, max(printf('order:%08d', l_orderkey)) AS hi FROM lineitem GROUP BY 1)
@@ -848,3 +849,192 @@ def store_adaptive_levels(spark, sf):
 def file_names(spark, sf):
     r = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("r"))
     return r.select("r", keys.sstable_filename(F.col("r") % 7, F.col("r")).alias("run"), keys.wal_filename(F.col("r")).alias("wal"), F.round(formatting.ops_per_second(F.col("r"), F.lit(7)), 6).alias("rate"))
+
+
+# ------------------------------------------------------------------------- operations on single keys, families and versions
+
+
+def _nation_rows(spark, sf) -> list:
+    """The table of nations, which is the same at every size and small enough for writes from the driver."""
+    return fx.table(spark, sf, "nation").orderBy("n_nationkey").collect()
+
+
+def _nations(spark, sf, **options) -> KvStore:
+    """A store with a put for every nation."""
+    store = _store(spark, **options)
+    for r in _nation_rows(spark, sf):
+        store.put(f"nation:{r['n_nationkey']:02d}", r["n_name"])
+    return store
+
+
+_NATION_SQL = "n AS (SELECT n_nationkey AS i, printf('nation:%02d', n_nationkey) AS k, n_name AS v, n_regionkey AS r FROM nation)"
+
+
+def nation_query(sql: str):
+    return query(f"WITH {_NATION_SQL} " + sql)
+
+
+@nation_query("SELECT k, CASE WHEN r = 0 THEN NULL WHEN r = 1 THEN 'again' ELSE v END AS v, r <> 0 AS there FROM n")
+def store_put_get_delete(spark, sf):
+    """put, put again, delete, get and exists, one key at a time, over a run, a segment and pending writes."""
+    store = _nations(spark, sf)
+    store.flush()
+    rows = _nation_rows(spark, sf)
+    for r in rows:
+        key = f"nation:{r['n_nationkey']:02d}"
+        if r["n_regionkey"] == 0:
+            store.delete(key)
+        elif r["n_regionkey"] == 1:
+            store.put_durable(key, "again")
+    asked = [f"nation:{r['n_nationkey']:02d}" for r in rows]
+    found = [(k, v, e is not None) for k, v, e in zip(asked, store.batch_get(asked), store.batch_get(asked), strict=True)]
+    assert store.get(asked[-1]) == found[-1][1] and store.exists(asked[-1]) == found[-1][2]
+    return spark.createDataFrame(found, "k string, v string, there boolean")
+
+
+@nation_query("SELECT k, v FROM n WHERE i >= 10")
+def store_batch_round_trip(spark, sf):
+    """batch_put and batch_delete from the driver, read by another handle of the same folder after a crash."""
+    store, rows = _store(spark), _nation_rows(spark, sf)
+    store.batch_put([(f"nation:{r['n_nationkey']:02d}", "first") for r in rows] + [(f"nation:{r['n_nationkey']:02d}", r["n_name"]) for r in rows])
+    store.batch_delete([f"nation:{i:02d}" for i in range(10)])
+    store.put("nation:99", "pending, so lost")
+    return KvStore.open(spark, store.files.root).scan_all().select("k", F.col("v.s").alias("v"))
+
+
+@nation_query("SELECT i // 7 AS page, k, v FROM n")
+def store_cursor_pages(spark, sf):
+    """A cursor by pages of seven, with writes and a compaction behind its back."""
+    store = _nations(spark, sf)
+    store.flush()
+    cursor, out, page = store.cursor("nation:"), [], 0
+    while not cursor.eof:
+        rows, _ = cursor.next_n(7)
+        out += [(page, r["k"], r["v"]["s"]) for r in rows]
+        page += 1
+        store.put(f"nation:{page}x", "late")
+        store.compact()
+    return spark.createDataFrame(out, "page long, k string, v string")
+
+
+@nation_query("SELECT k, v FROM n WHERE k >= 'nation:05' AND k < 'nation:09' UNION ALL SELECT 'visited', CAST((SELECT count(*) FROM n WHERE k < 'nation:20') + 1 AS VARCHAR) UNION ALL SELECT 'next', v FROM n WHERE i = 21")
+def store_iterators(spark, sf):
+    """iter_range, for_each that stops, and scan_next."""
+    store = _nations(spark, sf)
+    out = [(k, v) for k, v in store.iter_range("nation:05", "nation:08")]
+    out.append(("visited", str(store.for_each("nation:", lambda k, v: k < "nation:20"))))
+    out += [("next", r["v"]["s"]) for r in store.scan_next("nation:", "nation:20").collect()]
+    return spark.createDataFrame(out, "k string, v string")
+
+
+@nation_query("SELECT 'r' || r AS cf, printf('%02d', i) AS k, v, true AS there FROM n WHERE i % 2 = 0 UNION ALL SELECT 'r' || r, printf('%02d', i), NULL, false FROM n WHERE i % 2 = 1")
+def store_family_points(spark, sf):
+    """put_cf, batch_put_cf, batch_delete_cf, get_cf, batch_get_cf and exists_cf in a family for each region."""
+    store, rows = _store(spark), _nation_rows(spark, sf)
+    by: dict[str, list] = {}
+    for r in rows:
+        by.setdefault(f"r{r['n_regionkey']}", []).append((f"{r['n_nationkey']:02d}", r["n_name"]))
+    out = []
+    for cf, pairs in by.items():
+        store.create_column_family(cf)
+        store.put_cf(*pairs[0], cf)
+        store.batch_put_cf(pairs[1:], cf)
+        store.batch_delete_cf([k for k, _ in pairs if int(k) % 2], cf)
+        found = store.batch_get_cf([k for k, _ in pairs], cf)
+        assert store.get_cf(pairs[0][0], cf) == found[0] and store.exists_cf(pairs[0][0], cf) == (found[0] is not None)
+        out += [(cf, k, v, v is not None) for (k, _), v in zip(pairs, found, strict=True)]
+    return spark.createDataFrame(out, "cf string, k string, v string, there boolean")
+
+
+@nation_query("SELECT 'prefix' AS scan, printf('%02d', i) AS k FROM n WHERE i < 10 UNION ALL SELECT 'relative', printf('%d', i) FROM n WHERE i < 10 UNION ALL SELECT 'range', printf('%02d', i) FROM n WHERE i BETWEEN 5 AND 20 UNION ALL SELECT 'limit', printf('%02d', i) FROM n WHERE i BETWEEN 5 AND 7 UNION ALL SELECT 'inclusive', printf('%02d', i) FROM n WHERE i BETWEEN 3 AND 4")
+def store_family_scans(spark, sf):
+    """scan_prefix_cf (plain and relative), scan_range_cf, scan_range_limit_cf and iter_range_cf."""
+    store = _store(spark)
+    store.create_column_family("all")
+    store.batch_put_cf([(f"{r['n_nationkey']:02d}", r["n_name"]) for r in _nation_rows(spark, sf)], "all")
+    named = lambda name, scan: scan.select(F.lit(name).alias("scan"), "k")
+    out = named("prefix", store.scan_prefix_cf("0", "all")).unionByName(named("relative", store.scan_prefix_cf("0", "all", relative=True)))
+    out = out.unionByName(named("range", store.scan_range_cf("05", "20", "all"))).unionByName(named("limit", store.scan_range_limit_cf("05", "20", 3, "all")))
+    return out.unionByName(spark.createDataFrame([("inclusive", k) for k, _ in store.iter_range_cf("03", "04", "all")], "scan string, k string"))
+
+
+@nation_query("SELECT 'all' AS what, count(*) AS n FROM n UNION ALL SELECT 'prefix', count(*) FROM n WHERE i < 10 UNION ALL SELECT 'range', count(*) FROM n WHERE i BETWEEN 5 AND 12 UNION ALL SELECT 'approximate', count(*) FROM n UNION ALL SELECT 'cleared', 0 UNION ALL SELECT 'before', count(*) FROM n UNION ALL SELECT 'after vacuum', 1")
+def store_counts_and_clear(spark, sf):
+    """count, count_prefix, count_range, approx_count, clear with a snapshot from before, and vacuum."""
+    store = _nations(spark, sf, retained_versions=1)
+    store.flush()
+    out = [("all", store.count()), ("prefix", store.count_prefix("nation:0")), ("range", store.count_range("nation:05", "nation:12")), ("approximate", store.approx_count())]
+    before = store.snapshot()
+    store.clear()
+    out += [("cleared", store.count()), ("before", before.scan_range("nation:", "nation:").count())]
+    store.put("one", 1)
+    store.flush()
+    store.vacuum()
+    return spark.createDataFrame([*out, ("after vacuum", KvStore.open(spark, store.files.root).count())], "what string, n long")
+
+
+@nation_query("SELECT count(*) AS total_keys, CAST(sum(strlen(v)) AS BIGINT) AS total_value_bytes, round(avg(strlen(v)), 9) AS avg_value_bytes, 1 AS runs, 'Healthy' AS health, 'Unhealthy' AS without_files, 'Keys: ' || count(*) AS summary, 'tidemark_next_seq ' || count(*) AS prometheus FROM n")
+def store_statistics(spark, sf):
+    """stats, health_check with and without the run's files, the summary and the exposition text."""
+    store = _nations(spark, sf)
+    store.flush()
+    row = store.stats().first()
+    shown = [line for line in store.export_metrics_prometheus().splitlines() if line.startswith("tidemark_next_seq")]
+    out = [row["total_keys"], row["total_value_bytes"], round(row["avg_value_bytes"], 9), row["runs"], store.health_check()]
+    summary = store.metrics_summary().split(",")[0]
+    store.files.remove(store.manifests.read().runs[0].path)
+    return spark.createDataFrame([(*out, store.health_check(), summary, shown[0])], "total_keys long, total_value_bytes long, avg_value_bytes double, runs int, health string, without_files string, summary string, prometheus string")
+
+
+@nation_query("SELECT k, v FROM n WHERE r <> 2")
+def store_leveled_churn(spark, sf):
+    """A flush after every fifth write with automatic compaction and few runs at level 0, deletes between, opened again."""
+    store = _store(spark, auto_compact=True, levels=compaction.LevelPolicy(max_l0_files=2))
+    for i, r in enumerate(_nation_rows(spark, sf)):
+        key = f"nation:{r['n_nationkey']:02d}"
+        store.put(key, "old")
+        store.put(key, r["n_name"])
+        if r["n_regionkey"] == 2:
+            store.delete(key)
+        if i % 5 == 4:
+            store.flush()
+    store.shutdown()
+    assert sum(r.level == 0 for r in store.manifests.read().runs) <= 3
+    return KvStore.open(spark, store.files.root).scan_all().select("k", F.col("v.s").alias("v"))
+
+
+@query("""WITH {runs}, z AS (SELECT level, count(*) AS n, sum(file_size) AS b FROM runs GROUP BY level),
+t AS (SELECT level FROM runs GROUP BY level, file_size // 1048576 HAVING count(*) >= 4),
+w AS (SELECT created_at // 3600 AS w FROM runs GROUP BY 1 HAVING count(*) >= 2 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT 'leveled' AS strategy, level FROM z WHERE CASE WHEN level = 0 THEN n > 3 ELSE b > 30000 * pow(10, level) END UNION ALL SELECT DISTINCT 'size_tiered', level FROM t
+UNION ALL SELECT DISTINCT 'time_windowed', level FROM runs WHERE created_at // 3600 IN (SELECT w FROM w)
+UNION ALL SELECT 'hybrid', 0 FROM z WHERE level = 0 AND n > 3 UNION ALL SELECT DISTINCT 'hybrid', level FROM t WHERE level > 0""")
+def compaction_due(spark, sf):
+    """The levels that each strategy finds due."""
+    policy, runs = compaction.LevelPolicy(max_l0_files=3, target_size=30000), fx.event_runs(spark, sf)
+    return spark.createDataFrame([(s, level) for s in ("leveled", "size_tiered", "time_windowed", "hybrid") for level in compaction.should_compact(runs, s, policy)], "strategy string, level int")
+
+
+@query("SELECT max(event_id) AS generation, max(event_id) * 3 AS position FROM events WHERE event_type <> 'error'")
+def durable_watermark(spark, sf):
+    """The newest slot whose checksum is right; errors stand for slots that were cut off."""
+    e = fx.table(spark, sf, "events")
+    data = F.encode("props", "UTF-8")
+    slots = e.select(F.col("event_id").alias("generation"), (F.col("event_id") * 3).alias("position"), data.alias("data"), (F.crc32(data) + (F.col("event_type") == "error").cast("long")).alias("checksum"))
+    return resolve.durable_watermark(slots)
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN printf('Size mismatch: expected %d, got %d', strlen(props) + 1, strlen(props)) WHEN event_type = 'click' THEN 'checksum' END AS reason FROM events")
+def integrity_checks(spark, sf):
+    e = fx.table(spark, sf, "events")
+    data = F.encode("props", "UTF-8")
+    reason = validation.integrity_error(data, values.byte_sum(data) + (F.col("event_type") == "click").cast("long"), F.octet_length("props") + (F.col("event_type") == "error").cast("int"))
+    return e.select("event_id", F.when(F.startswith(reason, F.lit("Checksum mismatch")), "checksum").otherwise(reason).alias("reason"))
+
+
+@query("SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS began, count(*) AS n FROM events GROUP BY 1")
+def hourly_windows(spark, sf):
+    from tidemark.streaming.windows import tumbling
+
+    e = fx.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return tumbling(e, "ts", 3600).select(F.unix_timestamp("began").alias("began"), "n")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -68,10 +67,13 @@ class Files:
         Each kind of file system has its own such step: a hard link on local ones, where renaming replaces; a rename where
         that refuses to replace (HDFS); and on object stores, whose files appear when they are closed, a conditional put.
         """
-        scheme = self._fs.getUri().getScheme()
-        if scheme == "file":
-            self._link(unquote(self._fs.makeQualified(self._path(name)).toUri().getPath()), text)
-        elif scheme in ("hdfs", "viewfs"):
+        folder, _, leaf = name.rpartition("/")
+        self.ensure(folder)
+        # where the folder really is, as a view's files can be in any file system
+        there = self._fs.resolvePath(self._path(folder)).toUri()
+        if there.getScheme() == "file":
+            self._link(f"{there.getPath()}/{leaf}", text)
+        elif there.getScheme() == "hdfs":
             temporary = f"{name}.{uuid.uuid4().hex}.tmp"
             self._put(temporary, text)
             if not self._fs.rename(self._path(temporary), self._path(name)):
