@@ -22,7 +22,6 @@ LIMIT = 0.5
 #: Bounds on the prior's weight, in documents. The most stands where hosts don't differ. The least is for corpora of few hosts,
 #: where the moments say little: it keeps a host's single document from making the host suspect.
 LEAST_WEIGHT, MOST_WEIGHT = 5.0, 1e6
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rule: SQL condition under which a document fails it. The first two are the base rules.
 RULES = {
@@ -40,10 +39,13 @@ def measures(text: Column, frame: DataFrame) -> DataFrame:
     """``frame`` with the measures of ``text``. Repeated windows are found by sorting a document's window hashes."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    at = frame.select("*", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("_w"), lines.alias("_l"), F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+    at = frame.select("*", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("_w"), lines.alias("_l"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"))
     word = lambda i: F.get("_w", i)
-    windows = F.when(F.size("_w") >= 4, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("h"), i.alias("i"))))
-    at = at.select("*", F.array_sort(windows).alias("_g"))
+    hashes = F.when(F.size("_w") >= 4, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))))
+    at = at.select("*", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), hashes.alias("_h"))
+    # most documents repeat no window, which a set of their hashes tells without sorting
+    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
+    at = at.select("*", F.when(repeats, F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("_g"))
     near = lambda k: F.get("_g", k)["h"]
     again = F.filter("_g", lambda x, k: ((k > 0) & (near(k - 1) == x["h"])) | F.coalesce(near(k + 1) == x["h"], F.lit(False)))
     at = at.select("*", F.array_sort(F.transform(again, lambda x: x["i"])).alias("_p"))
