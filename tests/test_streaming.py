@@ -55,6 +55,12 @@ def test_windows(spark):
     assert sorted(r["n"] for r in tumbling(rows, "at", 10).collect()) == [1, 3]
 
 
+def test_a_gap_of_full_length_ends_a_session(spark):
+    rows = spark.createDataFrame([("u", 0), ("u", 10_000_000), ("w", 0), ("w", 9_999_999), ("x", 0), ("x", 10_000_001)], "k string, t long").withColumn("at", F.timestamp_micros("t"))
+    got = sessions(rows, "k", "at", 10).select("k", F.unix_micros("began"), F.unix_micros("ended"), "n").collect()
+    assert sorted(map(tuple, got)) == [("u", 0, 10_000_000, 1), ("u", 10_000_000, 20_000_000, 1), ("w", 0, 19_999_999, 2), ("x", 0, 10_000_000, 1), ("x", 10_000_001, 20_000_001, 1)]
+
+
 def test_data_source(spark, tmp_path):
     store = KvStore.open(spark, str(tmp_path / "s"))
     store.batch_put([("a1", 1), ("a2", "x"), ("b", b"y")])
