@@ -1,8 +1,13 @@
+from glob import glob
+
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import INT64, value
 from tidemark.operators.resolve import latest_wins
-from tidemark.sources.datasource import register
+from tidemark.sources import datasource
+from tidemark.sources.datasource import KvReader, register
 from tidemark.sources.store import KvStore, rows_of
 from tidemark.streaming.ingest import ingest, latest_values
 from tidemark.streaming.windows import sessions, tumbling
@@ -72,3 +77,45 @@ def test_data_source(spark, tmp_path):
     assert read.load().count() == 4
     live = latest_wins(read.option("prefix", "a").load()).collect()
     assert sorted((r["k"], r["i"], r["s"]) for r in live) == [("a1", 5, None), ("a2", None, "x")]
+
+
+@pytest.mark.parametrize("prefix", ["", "k0", "k7", "none"])
+def test_data_source_tasks_are_bounded(spark, tmp_path, monkeypatch, prefix):
+    store, path = KvStore.open(spark, str(tmp_path / "s")), str(tmp_path / "s")
+    changes = spark.range(1000).select(F.format_string("k%03d", "id").alias("k"), F.col("id").alias("ordinal"), value(INT64, F.col("id")).alias("v"))
+    store.append(changes.coalesce(1))
+    store.flush()
+    # a segment of a file with one row group and one with many
+    store.append(changes.repartitionByRange(2, "k"))
+    want = [(r["k"], r["seq"], r["deleted"], r["v"]["i"]) for r in store.versions().filter(F.col("k").startswith(prefix)).collect()]
+    segment = store.manifests.read().segments[0].split(":", 1)[1]
+    file = sorted(glob(f"{path}/{segment}/*.parquet"))[0]
+    pq.write_table(pq.read_table(file), file, row_group_size=70)
+    monkeypatch.setattr(datasource, "ROWS", 100, raising=False)
+    reader = KvReader({"path": path, "prefix": prefix})
+    found = [[r for batch in reader.read(p) for r in batch.select(["k", "seq", "deleted", "i"]).to_pylist()] for p in reader.partitions()]
+    assert max(map(len, found), default=0) <= 100
+    assert sorted(tuple(r.values()) for rows in found for r in rows) == sorted(want)
+    # row groups that can't hold the prefix are left out
+    assert len(found) == 0 if prefix == "none" else not prefix or len(found) < len(KvReader({"path": path}).partitions())
+    # small parts are read together
+    monkeypatch.setattr(datasource, "ROWS", 1100)
+    assert len(reader.partitions()) == (0 if prefix == "none" else 2)
+
+
+def test_data_source_tasks_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    store, path = KvStore.open(spark, str(tmp_path / "s")), str(tmp_path / "s")
+    store.batch_put([(f"k{i}", f"{i:05d}" * 200) for i in range(100)])
+    monkeypatch.setattr(datasource, "BYTES", 10_000, raising=False)
+    reader = KvReader({"path": path})
+    found = [sum(batch.num_rows for batch in reader.read(p)) for p in reader.partitions()]
+    assert sum(found) == 100 and max(found) <= 10
+
+
+def test_data_source_without_a_run_fails(spark, tmp_path):
+    store, path = KvStore.open(spark, str(tmp_path / "s")), str(tmp_path / "s")
+    store.batch_put([("a", 1)])
+    store.flush()
+    store.files.remove(store.manifests.read().runs[0].path)
+    with pytest.raises(FileNotFoundError):
+        [list(KvReader({"path": path}).read(p)) for p in KvReader({"path": path}).partitions()]
